@@ -1,0 +1,44 @@
+"""Join helpers: broadcast only behind a size check, with a bounded fallback."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# Largest pattern table broadcast to every task in one piece.
+MAX_BROADCAST_PATTERNS = 20_000
+
+
+def theta_join_bounded(left: DataFrame, right: DataFrame, cond_fn, key_col: str,
+                       max_rows: int = MAX_BROADCAST_PATTERNS) -> DataFrame:
+    """``left`` joined to ``right`` on an arbitrary (non-equi) condition.
+
+    Spark can only run such a join as a nested loop, so ``right`` is
+    broadcast. Its row count is measured first; above ``max_rows`` it is cut
+    into hash slices of ``key_col``, each verified to be under the bound, and
+    the slices are joined one after another, so no broadcast exceeds the bound.
+    ``cond_fn(l, r) -> Column`` builds the condition.
+    """
+    n = right.count()
+    if n <= max_rows:
+        return left.join(F.broadcast(right), cond_fn(left, right), "inner")
+    k = math.ceil(2 * n / max_rows)
+    while True:
+        sliced = right.withColumn("_slice", F.pmod(F.xxhash64(F.col(key_col)), F.lit(k)))
+        biggest = sliced.groupBy("_slice").count().agg(F.max("count")).first()[0]
+        if biggest <= max_rows:
+            break
+        k *= 2
+    out = None
+    for i in range(k):
+        part = sliced.where(F.col("_slice") == i).drop("_slice")
+        j = left.join(F.broadcast(part), cond_fn(left, part), "inner")
+        out = j if out is None else out.unionByName(j)
+    return out
+
+
+def regex_cond(text: Column, pattern: Column, ignore_case: bool = True) -> Column:
+    """``re.search(pattern, text, re.IGNORECASE)`` with a per-row pattern."""
+    return F.regexp(text, F.concat(F.lit("(?iu)"), pattern) if ignore_case else pattern)
