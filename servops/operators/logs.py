@@ -95,8 +95,8 @@ def run_duration(lines: DataFrame) -> DataFrame:
     """First/last timestamp of a run and its uptime as ``Xh Ym Zs`` (zero h/m left out)."""
     g = lines.groupBy("run_id").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
                                     F.count(F.lit(1)).alias("n_lines"))
-    secs = (F.unix_micros(F.col("last_ts").cast("timestamp")) -
-            F.unix_micros(F.col("first_ts").cast("timestamp"))) / 1e6
+    # timestamp_ntz difference: independent of the session time zone
+    secs = F.timestamp_diff("MICROSECOND", F.col("first_ts"), F.col("last_ts")) / 1e6
     whole = F.floor(secs).cast("long")
     h, m, s = F.floor(whole / 3600), F.floor(whole / 60) % 60, whole % 60
     text = F.concat(F.when(h > 0, F.concat(h.cast("string"), F.lit("h "))).otherwise(F.lit("")),

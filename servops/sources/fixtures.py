@@ -236,13 +236,18 @@ def prompts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def answers(spark: SparkSession, d: str) -> DataFrame:
-    """The answer that followed each user turn (when one did), with a usage count."""
-    from pyspark.sql import Window
+    """The answer that followed each user turn (when one did), with a usage count.
+
+    Turns are numbered densely from 0, so "the next turn" is an equi-join on
+    ``turn + 1`` (hash-partitioned on both keys; a long conversation is not
+    one task as it would be under a per-conversation window).
+    """
     c = read_table(spark, d, "conversations")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    t = c.select("conv_id", "turn", "role",
-                 F.lead("text").over(w).alias("nxt"), F.lead("role").over(w).alias("nrole"))
-    return t.where((F.col("role") == "user") & (F.col("nrole") == "assistant")).select(
+    u = c.where(F.col("role") == "user").select("conv_id", "turn")
+    a = c.where(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("nxt"))
+    t = u.join(a, ["conv_id", "turn"], "inner")
+    return t.select(
         F.col("conv_id").alias("request_id"), F.col("turn").alias("prompt_no"),
         F.col("nxt").alias("answer"),
         F.when(F.col("turn") % 4 == 0, F.length("nxt").cast("int")).otherwise(F.lit(0)).alias("usage_tokens"),
