@@ -65,7 +65,8 @@ def is_exit_marker(line) -> Column:
 
 
 def is_errorish(line) -> Column:
-    return any_contains(F.lower(col_(line)), ERRORISH_WORDS)
+    """lower(line) contains any of the words (one pass over the line)."""
+    return F.lower(col_(line)).rlike("|".join(ERRORISH_WORDS))
 
 
 def is_crash_sentinel(line) -> Column:

@@ -140,4 +140,8 @@ def message_routes(msgs: DataFrame) -> DataFrame:
             .when(typ.isin("output", "progress"), data)
             .when(typ == "error", F.get_json_object(data, "$.message"))
             .when(typ == "status", F.get_json_object(data, "$.running")))
-    return t.select("msg_id", route.alias("route"), body.alias("body")).where(F.col("route") != "drop")
+    # Emit 0 or 1 row per message through a generator: a plain filter on
+    # ``route`` would be pushed below the projection and parse the JSON twice.
+    one = F.filter(F.array(F.struct(F.col("msg_id"), route.alias("route"), body.alias("body"))),
+                   lambda x: x["route"] != "drop")
+    return t.select(F.inline(one))

@@ -13,6 +13,16 @@ from pyspark.sql import functions as F
 from .tables import read_table
 
 
+def _as_table(df: DataFrame) -> DataFrame:
+    """Give a derived table the boundary of a stored one.
+
+    Rows pass through a one-element ``inline``; filters of later operators
+    then apply to the finished rows instead of being pushed into (and
+    repeating) the expressions that build them.
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def _k() -> Column:
     return F.get_json_object("props", "$.k").cast("int")
 
@@ -87,8 +97,9 @@ def model_path_lookups(spark: SparkSession, d: str) -> DataFrame:
 
 def log_lines(spark: SparkSession, d: str) -> DataFrame:
     """Engine log lines: one run per user, events in id order are the lines."""
-    e = read_table(spark, d, "events")
-    k = _k()
+    e = read_table(spark, d, "events").select("user_id", "event_id", "ts", "event_type", "value",
+                                              _k().alias("k"))
+    k = F.col("k")
     et = F.col("event_type")
     line = (
         F.when((et == "error") & (k >= 90),
@@ -118,8 +129,8 @@ def log_lines(spark: SparkSession, d: str) -> DataFrame:
               F.concat(F.lit("Downloading \\u2588\\u2588 "), k.cast("string"), F.lit("%")))
         .otherwise(F.concat(F.lit("INFO request "), F.col("event_id").cast("string")))
     )
-    return e.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("line_no"),
-                    "ts", line.alias("line"))
+    return _as_table(e.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("line_no"),
+                              "ts", line.alias("line")))
 
 
 def run_models(spark: SparkSession, d: str) -> DataFrame:
@@ -146,8 +157,8 @@ def error_catalog(spark: SparkSession) -> DataFrame:
 
 def gpu_csv_lines(spark: SparkSession, d: str) -> DataFrame:
     """nvidia-smi style CSV text (no header, no units) with blank, short and [N/A] rows."""
-    e = read_table(spark, d, "events")
-    k = _k()
+    e = read_table(spark, d, "events").select("event_id", "ts", "user_id", "value", _k().alias("k"))
+    k = F.col("k")
     eid = F.col("event_id")
     idx = (F.col("user_id") % 8).cast("int").cast("string")
     fields = [
@@ -163,12 +174,13 @@ def gpu_csv_lines(spark: SparkSession, d: str) -> DataFrame:
     line = (F.when(eid % 53 == 0, F.lit(""))
             .when(eid % 61 == 0, F.concat_ws(", ", *fields[:5]))
             .otherwise(F.concat_ws(", ", *fields)))
-    return e.select(eid.alias("sample_id"), "ts", line.alias("line"))
+    return _as_table(e.select(eid.alias("sample_id"), "ts", line.alias("line")))
 
 
 def gpu_process_csv_lines(spark: SparkSession, d: str) -> DataFrame:
-    e = read_table(spark, d, "events").where(F.col("event_type").isin("purchase", "signup"))
-    k = _k()
+    e = read_table(spark, d, "events").where(F.col("event_type").isin("purchase", "signup")) \
+        .select("event_id", "user_id", "value", _k().alias("k"))
+    k = F.col("k")
     eid = F.col("event_id")
     name = (F.when(k % 3 == 0, F.lit("/usr/bin/python3"))
             .when(k % 3 == 1, F.lit("VLLM::EngineCore_worker_process"))
@@ -176,13 +188,13 @@ def gpu_process_csv_lines(spark: SparkSession, d: str) -> DataFrame:
     fields = [(F.col("user_id") % 8).cast("int").cast("string"), (eid + 1000).cast("string"), name,
               (F.col("value") * 10).cast("decimal(18,2)").cast("string")]
     line = F.when(eid % 59 == 0, F.concat_ws(", ", *fields[:3])).otherwise(F.concat_ws(", ", *fields))
-    return e.select(eid.alias("sample_id"), line.alias("line"))
+    return _as_table(e.select(eid.alias("sample_id"), line.alias("line")))
 
 
 def api_log_lines(spark: SparkSession, d: str) -> DataFrame:
     """API access log lines ``asctime - name - level - message``."""
-    e = read_table(spark, d, "events")
-    k = _k()
+    e = read_table(spark, d, "events").select("event_id", "ts", "event_type", _k().alias("k"))
+    k = F.col("k")
     eid = F.col("event_id")
     et = F.col("event_type")
     method = F.when(et.isin("purchase", "signup"), F.lit("POST")).otherwise(F.lit("GET"))
@@ -193,7 +205,7 @@ def api_log_lines(spark: SparkSession, d: str) -> DataFrame:
                                F.when(et == "error", F.lit("500")).when(k >= 95, F.lit("404"))
                                .otherwise(F.lit("200")))))
     line = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss,SSS"), F.lit(" - vllm-api - INFO - "), msg)
-    return e.select(eid.alias("line_no"), line.alias("value"))
+    return _as_table(e.select(eid.alias("line_no"), line.alias("value")))
 
 
 def messages(spark: SparkSession, d: str) -> DataFrame:
@@ -215,7 +227,7 @@ def messages(spark: SparkSession, d: str) -> DataFrame:
            .when(k_line.contains("Maximum concurrency"), js("status", F.lit('{"running": true}')))
            .when(ln % 5 == 0, k_line)
            .otherwise(js("output", q(k_line))))
-    return lines.select(ln.alias("msg_id"), msg.alias("message"))
+    return _as_table(lines.select(ln.alias("msg_id"), msg.alias("message")))
 
 
 def prompts(spark: SparkSession, d: str) -> DataFrame:
