@@ -2,8 +2,12 @@
 
 Error-ish lines are kept per run in ``applyInPandasWithState`` state (the
 reference never clears its buffer); every crash sentinel emits the buffer
-so far. Runs that stay silent longer than the timeout are finished and
-their state is dropped. ``foreachBatch`` then matches each micro-batch of
+so far. A run whose log is silent for ``idle`` of *event time* is finished
+and its state dropped: the timeout follows a watermark on the line
+timestamp, so replaying old logs (or an ``availableNow`` trigger) ends, and
+a restarted job times runs out exactly as the first attempt did. A
+processing-time timeout would keep scheduling empty state-cleanup batches.
+``foreachBatch`` then matches each micro-batch of
 crashes against the catalog (known errors) and mines the rest.
 """
 
@@ -23,7 +27,7 @@ OUTPUT_SCHEMA = "run_id long, line_no long, ts timestamp_ntz, crash_no long, n_l
 STATE_SCHEMA = "buffer string, n_lines long, crash_no long, last_line_no long"
 
 
-def _crash_fn(timeout_ms: int):
+def _crash_fn(idle_ms: int):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -47,19 +51,26 @@ def _crash_fn(timeout_ms: int):
                 parts = [buffer]
                 out.append((key[0], r.line_no, r.ts, crash_no, n_lines, buffer))
         state.update(("".join(parts), n_lines, crash_no, last))
-        state.setTimeoutDuration(timeout_ms)
+        state.setTimeoutTimestamp(int(batch["event_ms"].max()) + idle_ms)
         if out:
             yield pd.DataFrame(out, columns=["run_id", "line_no", "ts", "crash_no", "n_lines", "buffer"])
     return fn
 
 
-def live_crashes(lines: DataFrame, idle_timeout_ms: int = 30 * 60 * 1000) -> DataFrame:
-    """``lines``: streaming (run_id, line_no, ts, line). Returns one row per crash."""
-    e = lines.where(L.is_errorish("line")).select(
-        "run_id", "line_no", "ts", "line", L.is_crash_sentinel("line").alias("is_crash"))
+def live_crashes(lines: DataFrame, idle_minutes: int = 30) -> DataFrame:
+    """``lines``: streaming (run_id, line_no, ts, line). Returns one row per crash.
+
+    Lines later than the watermark (``idle_minutes`` behind the newest
+    timestamp seen) are dropped, so they must arrive within that delay.
+    """
+    e = (lines.withColumn("event_time", F.col("ts").cast("timestamp"))
+              .withWatermark("event_time", f"{idle_minutes} minutes")
+              .where(L.is_errorish("line"))
+              .select("run_id", "line_no", "ts", "line", L.is_crash_sentinel("line").alias("is_crash"),
+                      F.unix_millis("event_time").alias("event_ms"), "event_time"))
     return e.groupBy("run_id").applyInPandasWithState(
-        _crash_fn(idle_timeout_ms), OUTPUT_SCHEMA, STATE_SCHEMA, "append",
-        GroupStateTimeout.ProcessingTimeTimeout)
+        _crash_fn(idle_minutes * 60 * 1000), OUTPUT_SCHEMA, STATE_SCHEMA, "append",
+        GroupStateTimeout.EventTimeTimeout)
 
 
 def alert_batch(catalog: DataFrame, hits_path: str, new_errors_path: str):

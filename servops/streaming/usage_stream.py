@@ -31,3 +31,22 @@ def start(df: DataFrame, checkpoint: str, sink: str = "memory", query_name: str
         w = w.option("path", path)
     w = w.trigger(**(trigger or {"processingTime": "5 seconds"}))
     return w.start()
+
+
+def start_to_parquet(df: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
+    """Append every micro-batch of changed totals with its epoch (restartable).
+
+    A replayed epoch rewrites identical rows, so readers that keep the
+    latest epoch per model (``current_totals``) see each model once.
+    """
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        batch.withColumn("epoch", F.lit(epoch_id)).write.mode("append").parquet(path)
+    return (df.writeStream.outputMode("update").foreachBatch(write)
+              .option("checkpointLocation", checkpoint)
+              .trigger(**(trigger or {"processingTime": "5 seconds"})).start())
+
+
+def current_totals(spark: SparkSession, path: str) -> DataFrame:
+    t = spark.read.parquet(path)
+    cols = [c for c in t.columns if c not in ("model_id", "epoch")]
+    return t.groupBy("model_id").agg(F.max_by(F.struct(*cols), "epoch").alias("_t")).select("model_id", "_t.*")
