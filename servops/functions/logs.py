@@ -46,8 +46,8 @@ def any_contains(c, needles) -> Column:
 
 def is_blank(line) -> Column:
     """``not line.strip()`` (Python whitespace)."""
-    from .text import PY_WHITESPACE_CLASS
-    return F.coalesce(col_(line).rlike("^" + PY_WHITESPACE_CLASS + r"*\z"), F.lit(True))
+    from .text import py_is_blank
+    return py_is_blank(line)
 
 
 def is_server_progress(line) -> Column:

@@ -15,6 +15,8 @@ PY_WHITESPACE_CLASS = (
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
 PY_NON_WHITESPACE_RUN = PY_WHITESPACE_CLASS.replace("[", "[^", 1) + "+"
+# The same set as characters, derived from Python itself, for btrim().
+PY_WHITESPACE_CHARS = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
 PY_STRIP_PATTERN = "^" + PY_WHITESPACE_CLASS + "+|" + PY_WHITESPACE_CLASS + r"+\z"
 
 # Characters Python's re.escape() prefixes with a backslash.
@@ -26,8 +28,16 @@ def col_(c) -> Column:
 
 
 def py_strip(c) -> Column:
-    """``str.strip()`` with Python's whitespace set (Spark trim() strips spaces only)."""
-    return F.regexp_replace(col_(c), PY_STRIP_PATTERN, "")
+    """``str.strip()`` with Python's whitespace set (plain trim() strips spaces only).
+
+    ``btrim`` with an explicit character set: no regex, stays in codegen.
+    """
+    return F.btrim(col_(c), F.lit(PY_WHITESPACE_CHARS))
+
+
+def py_is_blank(c) -> Column:
+    """``not s.strip()``; a null counts as blank."""
+    return F.coalesce(F.char_length(py_strip(c)) == 0, F.lit(True))
 
 
 def py_word_count(c) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import gpu as G
-from ..functions.text import PY_WHITESPACE_CLASS, py_strip
+from ..functions.text import py_is_blank, py_strip
 
 SAMPLE_FIELDS = [("gpu_index", "int"), ("name", "string"), ("temperature", "double"),
                  ("utilization", "double"), ("mem_used", "double"), ("mem_total", "double"),
@@ -20,13 +20,11 @@ def _parse_csv(lines: DataFrame, fields, keep: list[str]) -> DataFrame:
     Numbers that do not parse become null (a deliberate difference: the
     reference fails the whole poll on one bad cell).
     """
-    parts = F.transform(F.split("line", ","), lambda x: py_strip(x))
-    blank = F.col("line").rlike("^" + PY_WHITESPACE_CLASS + r"*\z")
-    t = lines.where(~F.coalesce(blank, F.lit(True))).withColumn("_parts", parts)
-    t = t.where(F.size("_parts") >= len(fields))
+    parts = F.split("line", ",")  # stripping never changes the field count
+    t = lines.where(~py_is_blank("line") & (F.size(parts) >= len(fields)))
     cols = []
     for i, (name, typ) in enumerate(fields):
-        v = F.element_at("_parts", i + 1)
+        v = py_strip(F.element_at(parts, i + 1))
         cols.append((v if typ == "string" else (v).try_cast(typ)).alias(name))
     return t.select(*keep, *cols)
 
