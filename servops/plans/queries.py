@@ -18,6 +18,7 @@ from ..operators import inference as I
 from ..operators import logs as L
 from ..operators import usage as U
 from ..sources import api_log, fixtures as fx
+from ..session import cut_lineage
 from ..sources.sinks import to_json_lines
 
 # Fixed registration time of derived configurations (the reference uses now()).
@@ -134,8 +135,11 @@ def q_known_error_match(spark, d):
 
 
 def _mined(spark, d):
-    crashes = _crashes(spark, d)
-    cat = _catalog(spark)
+    # Crashes and the validated catalog feed matching, mining and counting:
+    # materialise them once (reliable checkpoint) instead of rebuilding the
+    # buffers from the whole log for every branch.
+    crashes = cut_lineage(_crashes(spark, d))
+    cat = cut_lineage(_catalog(spark))
     hits = E.match_known_errors(crashes, cat)
     first_id = cat.agg(F.max("id")).first()[0] or 0
     return crashes, cat, E.mine_new_errors(crashes, hits, int(first_id))
