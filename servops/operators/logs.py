@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import logs as L
 from ..functions.text import unescape_unicode
-from .ordering import group_sizes, ordered_index, with_next, with_prev
+from .ordering import group_sizes, ordered_index, with_neighbour
 
 
 def classify_lines(lines: DataFrame) -> DataFrame:
@@ -29,8 +29,7 @@ def progress_collapse(lines: DataFrame) -> DataFrame:
     So within a stretch of consecutive progress lines only the last survives.
     """
     nb = lines.where(~L.is_blank("line")).withColumn("_p", L.is_ui_progress("line"))
-    idx = ordered_index(nb, ["run_id"], "line_no", "_i")
-    j = with_next(idx, ["run_id"], "_i", ["_p"])
+    j = with_neighbour(nb, ["run_id"], "line_no", ["_p"], following=True)
     keep = ~(F.col("_p") & F.coalesce(F.col("next__p"), F.lit(False)))
     return j.where(keep).select("run_id", "line_no", "line")
 
@@ -41,8 +40,7 @@ def server_state_timeline(lines: DataFrame) -> DataFrame:
     stopped = L.any_contains("line", L.STOPPED_MARKERS)
     state = F.when(stopped, F.lit("stopped")).when(running, F.lit("running"))
     marks = lines.select("run_id", "line_no", "ts", state.alias("state")).where(F.col("state").isNotNull())
-    idx = ordered_index(marks, ["run_id"], "line_no", "_i")
-    j = with_prev(idx, ["run_id"], "_i", ["state"])
+    j = with_neighbour(marks, ["run_id"], "line_no", ["state"], following=False)
     return j.select("run_id", "line_no", "ts", "state", F.col("prev_state"),
                     (~F.col("state").eqNullSafe(F.col("prev_state"))).alias("changed"))
 

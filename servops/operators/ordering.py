@@ -41,12 +41,35 @@ def ordered_index(df: DataFrame, keys: list[str], order_col: str, out: str = "id
     return prefix_sum(df, keys, order_col, F.lit(1), out, inclusive=False, block=block)
 
 
-def with_next(df: DataFrame, keys: list[str], idx: str, cols: list[str], prefix: str = "next_") -> DataFrame:
-    """Attach columns of the following row (position ``idx + 1``) by an equi-join.
-
-    Unlike ``lead`` over a group window, the join hashes on (keys, position),
-    so a huge group spreads over all tasks.
+def with_neighbour(df: DataFrame, keys: list[str], order_col: str, cols: list[str], following: bool = True,
+                   prefix: str | None = None, block: int = DEFAULT_BLOCK) -> DataFrame:
+    """Attach ``cols`` of the next (``following``) or previous row of the group in ``order_col`` order.
+
+    Same result as ``lead``/``lag`` over a per-group window, without putting
+    a whole group in one task: rows are windowed inside (group, block of
+    ``order_col``) partitions, and a row at a block edge takes its neighbour
+    from a per-block edge table (first/last row of each block, one row per
+    block, partially aggregated before its shuffle). The data itself is
+    shuffled once; the left join to the edge table keeps that partitioning.
+    ``(keys, order_col)`` must be unique and ``order_col`` integral.
     """
+    prefix = prefix if prefix is not None else ("next_" if following else "prev_")
+    b = df.withColumn("_blk", F.floor(F.col(order_col) / F.lit(block)).cast("long"))
+    w = Window.partitionBy(*keys, "_blk").orderBy(order_col)
+    shift = F.lead if following else F.lag
+    inner = b.withColumn("_in", shift(F.struct(*cols)).over(w)) \
+             .withColumn("_has", shift(F.lit(True)).over(w).isNotNull())
+    edge = F.min_by if following else F.max_by
+    edges = b.groupBy(*keys, "_blk").agg(edge(F.struct(*cols), F.col(order_col)).alias("_e"))
+    wb = Window.partitionBy(*keys).orderBy("_blk")
+    nb = edges.select(*keys, "_blk", shift("_e").over(wb).alias("_nb"))
+    j = inner.join(nb, [*keys, "_blk"], "left")
+    return j.select(*df.columns, *[F.when(F.col("_has"), F.col("_in")[c]).otherwise(F.col("_nb")[c])
+                                   .alias(prefix + c) for c in cols])
+
+
+def with_next(df: DataFrame, keys: list[str], idx: str, cols: list[str], prefix: str = "next_") -> DataFrame:
+    """Attach columns of the row at position ``idx + 1`` (dense positions) by an equi-join."""
     nxt = df.select(*keys, (F.col(idx) - 1).alias(idx), *[F.col(c).alias(prefix + c) for c in cols])
     return df.join(nxt, [*keys, idx], "left")
 

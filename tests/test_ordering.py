@@ -24,3 +24,18 @@ def test_dense_ids(spark):
     df = spark.createDataFrame([(k,) for k in random.sample(range(10_000), 300)], "k long").repartition(5)
     got = sorted((r.k, r.id) for r in assign_dense_ids(df, ["k"], "id", start=100).collect())
     assert [i for _, i in got] == list(range(101, 401))
+
+
+def test_with_neighbour_matches_lead_and_lag(spark):
+    from servops.operators.ordering import with_neighbour
+    random.seed(11)
+    # sparse order values: many empty blocks and rows on block edges; null values must pass through
+    rows = [(g, n, random.choice([None, "a", "b"])) for g in range(3) for n in random.sample(range(2000), 80)]
+    df = spark.createDataFrame(rows, "g long, n long, v string")
+    w = Window.partitionBy("g").orderBy("n")
+    exp = {(r.g, r.n): (r.nx, r.pv) for r in df.select("g", "n", F.lead("v").over(w).alias("nx"),
+                                                      F.lag("v").over(w).alias("pv")).collect()}
+    nxt = {(r.g, r.n): r.next_v for r in with_neighbour(df, ["g"], "n", ["v"], True, block=16).collect()}
+    prv = {(r.g, r.n): r.prev_v for r in with_neighbour(df, ["g"], "n", ["v"], False, block=16).collect()}
+    assert nxt == {k: v[0] for k, v in exp.items()}
+    assert prv == {k: v[1] for k, v in exp.items()}
