@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .ids import assign_dense_ids
 
 CONFIG_COLUMNS = ["id", "model_name", "model_path", "tensor_parallel_size", "max_model_len",
@@ -127,6 +128,8 @@ def resolve_configs(models: DataFrame, requests: DataFrame):
     j = (r.join(base, "model_name", "left")
           .join(exact, ["model_name", "requested_len", "requested_speculative"], "left"))
     j = j.withColumn("_match_id", F.when(F.col("_custom") & F.col("_has_len"), F.col("_match_id")))
+    # one row per request, read by the derivation, its id assignment and the result
+    j = cut_lineage(j)
 
     needs = j.where(F.col("_custom") & F.col("_match_id").isNull() & F.col("_base_id").isNotNull())
     derived_len = F.when(F.col("_has_len"), F.col("requested_len")).otherwise(F.col("_base_len"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.params import default_params, merge_params, params_json
 from ..functions.text import py_strip, py_word_count
+from ..session import cut_lineage
 from .catalog import default_config
 from .ordering import ordered_index
 
@@ -115,11 +116,14 @@ RESPONSE_SCHEMA = ("request_id long, batch_no long, call_no int, endpoint string
 
 
 def generate(calls: DataFrame, fn: ModelFn = echo_model, attempts: int = 3,
-             wait_min: float = 4.0, wait_max: float = 10.0) -> DataFrame:
+             wait_min: float = 4.0, wait_max: float = 10.0, materialize: bool = True) -> DataFrame:
     """Run the model over every call with ``mapInPandas`` (Arrow batches, one call per row).
 
     Calls are independent, so they spread over all tasks; a failed call is
-    retried in the task, and Spark re-runs a lost task.
+    retried in the task, and Spark re-runs a lost task. With ``materialize``
+    (default) the responses are written once to the checkpoint folder, so
+    downstream branches (completion and chat parsing, counts) read them
+    instead of calling the model again.
     """
     def run(it):
         for pdf in it:
@@ -138,8 +142,9 @@ def generate(calls: DataFrame, fn: ModelFn = echo_model, attempts: int = 3,
                             json.dumps(body), dt))
             yield pd.DataFrame(out, columns=["request_id", "batch_no", "call_no", "endpoint", "n_prompts",
                                              "response", "latency"])
-    return calls.select("request_id", "batch_no", "call_no", "endpoint", "prompts", "params_json") \
+    out = calls.select("request_id", "batch_no", "call_no", "endpoint", "prompts", "params_json") \
         .mapInPandas(run, RESPONSE_SCHEMA)
+    return cut_lineage(out) if materialize else out
 
 
 CHAT_SCHEMA = "choices array<struct<message: struct<content: string>>>, usage struct<completion_tokens: int>"

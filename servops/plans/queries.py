@@ -182,18 +182,30 @@ def _plan(spark, d):
     return I.request_plan(fx.prompts(spark, d), fx.models(spark, d))
 
 
+def _inference_inputs(spark, d):
+    """Prompts, request plan and prompt batches for the inference jobs.
+
+    Plan (one row per request) and batches (one narrow row per prompt) feed
+    several branches each; they are materialised once so the prompt and
+    model tables are not re-read and re-joined for every branch.
+    """
+    prompts = fx.prompts(spark, d)
+    plan = cut_lineage(I.request_plan(prompts, fx.models(spark, d)))
+    batches = cut_lineage(I.prompt_batches(prompts, plan))
+    return prompts, plan, batches
+
+
 def q_request_plan(spark, d):
     return _plan(spark, d)
 
 
 def q_prompt_batches(spark, d):
-    return I.prompt_batches(fx.prompts(spark, d), _plan(spark, d))
+    prompts = fx.prompts(spark, d)
+    return I.prompt_batches(prompts, cut_lineage(I.request_plan(prompts, fx.models(spark, d))))
 
 
 def _calls(spark, d):
-    prompts = fx.prompts(spark, d)
-    plan = _plan(spark, d)
-    batches = I.prompt_batches(prompts, plan)
+    prompts, plan, batches = _inference_inputs(spark, d)
     return prompts, plan, batches, I.request_calls(prompts, plan, batches)
 
 
@@ -206,21 +218,19 @@ def q_response_parse(spark, d):
 
 
 def _completion_parsed(spark, d):
-    prompts = fx.prompts(spark, d)
-    plan = _plan(spark, d)
-    batches = I.prompt_batches(prompts, plan)
+    _, plan, batches = _inference_inputs(spark, d)
     resp = fx.completion_responses(spark, d, batches, plan)
-    return batches, I.parse_completions(resp, ["request_id", "batch_no"])
+    return plan, batches, I.parse_completions(resp, ["request_id", "batch_no"])
 
 
 def q_response_align(spark, d):
-    batches, parsed = _completion_parsed(spark, d)
+    _, batches, parsed = _completion_parsed(spark, d)
     return I.align_completions(parsed, batches)
 
 
 def q_batch_mismatch(spark, d):
-    batches, parsed = _completion_parsed(spark, d)
-    comp_req = _plan(spark, d).where((F.col("status") == "ok") & (F.col("mode") == "completion"))
+    plan, batches, parsed = _completion_parsed(spark, d)
+    comp_req = plan.where((F.col("status") == "ok") & (F.col("mode") == "completion"))
     comp = batches.join(comp_req.select("request_id"), "request_id", "left_semi")
     return I.batch_mismatch(comp, parsed)
 
