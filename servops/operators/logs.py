@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import logs as L
 from ..functions.text import unescape_unicode
-from .ordering import group_sizes, ordered_index, with_neighbour
+from .ordering import ordered_index, with_neighbour
 
 
 def classify_lines(lines: DataFrame) -> DataFrame:
@@ -72,9 +72,9 @@ def run_health(lines: DataFrame, tail: int = 1000) -> DataFrame:
     joined text" equals "some tail line contains it": one aggregate, no
     concatenated text.
     """
-    idx = ordered_index(lines, ["run_id"], "line_no", "_i")
-    sized = idx.join(group_sizes(lines, ["run_id"], "_n"), "run_id")
-    t = sized.where(F.col("_i") >= F.col("_n") - tail)
+    # position counted from the end of the run: number the lines in descending order
+    rev = ordered_index(lines.withColumn("_desc", -F.col("line_no")), ["run_id"], "_desc", "_ri")
+    t = rev.where(F.col("_ri") < tail)
     flags = [F.bool_or(F.col("line").contains(ind)).alias(f"_f{i}")
              for i, ind in enumerate(L.HEALTH_ERROR_INDICATORS)]
     g = t.groupBy("run_id").agg(
