@@ -6,23 +6,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _order_multiplier(spark: SparkSession) -> int:
+    """A power of two above the row count any scan partition can hold.
+
+    A partition holds at most ``maxPartitionBytes`` of file data and every
+    line takes at least one byte, so its row count stays below this.
+    """
+    max_bytes = _parse_bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
+    return 1 << (2 * max_bytes).bit_length()
+
+
+def _parse_bytes(text: str) -> int:
+    units = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+    t = text.strip().lower().rstrip("b") or "0"
+    if t[-1] in units:
+        return int(float(t[:-1]) * units[t[-1]])
+    return int(t)
+
+
 def read_engine_logs(spark: SparkSession, path: str) -> DataFrame:
-    """``(run_id, line_no, line)`` where a run is a file.
+    """``(run_id, line_no, ts, line)`` where a run is a file.
 
-    A text split carries no line number, so the order key is the file, the
-    split's start offset, and the row's position inside the split
-    (``monotonically_increasing_id`` grows inside a partition). ``line_no``
-    is that composite packed into one ordered long per file.
+    A text split carries no line number. Rows of one split are contiguous in
+    one scan partition, in file order, and a partition holds fewer rows than
+    ``M`` (``_order_multiplier``), so ``split start * M + row index in the
+    partition`` orders the lines of a file and is unique: a later split
+    starts at least one byte further, i.e. ``M`` higher. The key must fit in
+    a long: files of ``2^63 / M`` bytes or more (34 GB at the 128 MB
+    default; lower ``maxPartitionBytes`` for larger files) raise an error
+    instead of mis-ordering.
     """
+    m = _order_multiplier(spark)
+    limit = (1 << 63) // m
     t = spark.read.option("wholetext", "false").text(path)
+    local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    key = F.when(F.col("_metadata.file_size") < F.lit(limit),
+                 F.col("_metadata.file_block_start") * F.lit(m) + local) \
+        .otherwise(F.raise_error(F.lit(f"log file too large for line ordering (limit {limit} bytes)")))
     return t.select(
         F.col("_metadata.file_path").alias("run_id"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_mid"),
-        F.col("value").alias("line"),
+        key.cast("long").alias("line_no"),
         F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("ts"),
-    ).select("run_id", (F.col("_block") * F.lit(1 << 20) + (F.col("_mid") % F.lit(1 << 20))).alias("line_no"),
-             "ts", "line")
+        F.col("value").alias("line"),
+    )
 
 
 def read_csv_lines(spark: SparkSession, path: str) -> DataFrame:
