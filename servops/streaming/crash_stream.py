@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -73,17 +74,42 @@ def live_crashes(lines: DataFrame, idle_minutes: int = 30) -> DataFrame:
         GroupStateTimeout.EventTimeTimeout)
 
 
+def _write_epoch(df: DataFrame, path: str, epoch_id: int) -> None:
+    """Write a micro-batch as its own ``epoch`` partition; a replayed epoch overwrites it."""
+    (df.withColumn("epoch", F.lit(epoch_id).cast("long")).write.mode("overwrite")
+       .option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(path))
+
+
+def _earlier_epochs(spark, path: str, epoch_id: int) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path).where(F.col("epoch") < epoch_id)
+    except AnalysisException:  # nothing written yet
+        return None
+
+
 def alert_batch(catalog: DataFrame, hits_path: str, new_errors_path: str):
-    """``foreachBatch`` handler: known-error hits and newly mined errors of a micro-batch."""
+    """``foreachBatch`` handler: known-error hits and newly mined errors of a micro-batch.
+
+    Crashes are matched against the catalog and every error mined in earlier
+    epochs, so a new error is mined once and later crashes count as its hits.
+    New ids continue after the largest id so far. Each epoch is written as
+    its own partition, so a replayed epoch replaces its rows.
+    """
+    cols = ["id", "error_pattern", "error_message", "solution"]
+
     def handle(crashes: DataFrame, epoch_id: int) -> None:
+        spark = crashes.sparkSession
         crashes = crashes.persist()
         try:
             ok, _ = E.validate_catalog(catalog)
-            hits = E.match_known_errors(crashes, ok)
-            hits.withColumn("epoch", F.lit(epoch_id)).write.mode("append").parquet(hits_path)
-            first_id = (ok.agg(F.max("id")).first()[0] or 0) + epoch_id * 1_000_000
-            mined = E.mine_new_errors(crashes, hits, int(first_id))
-            mined.withColumn("epoch", F.lit(epoch_id)).write.mode("append").parquet(new_errors_path)
+            known = ok.select(*cols)
+            prior = _earlier_epochs(spark, new_errors_path, epoch_id)
+            if prior is not None:
+                known = known.unionByName(prior.select(*cols))
+            hits = E.match_known_errors(crashes, known)
+            _write_epoch(hits, hits_path, epoch_id)
+            first_id = known.agg(F.max("id")).first()[0] or 0
+            _write_epoch(E.mine_new_errors(crashes, hits, int(first_id)), new_errors_path, epoch_id)
         finally:
             crashes.unpersist()
     return handle

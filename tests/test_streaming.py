@@ -71,3 +71,49 @@ def test_live_gpu_latest(spark):
     q.awaitTermination()
     got = {r.gpu_index: r.utilization for r in spark.sql("select * from gpus").collect()}
     assert got == {0: 10.0, 1: 20.0}
+
+
+def test_crash_alerts_mine_once_across_epochs(spark):
+    d = _scratch()
+    lines = fx.log_lines(spark, SF)
+    lines.where("line_no < 500").write.parquet(os.path.join(d, "logs", "p1"))
+    schema = "run_id long, line_no long, ts timestamp_ntz, line string"
+    src = spark.readStream.schema(schema).parquet(os.path.join(d, "logs", "*"))
+    live = crash_stream.live_crashes(src, idle_minutes=45 * 24 * 60)
+    hits, mined = os.path.join(d, "hits"), os.path.join(d, "mined")
+    handler = crash_stream.alert_batch(fx.error_catalog(spark), hits, mined)
+
+    def run():
+        (live.writeStream.foreachBatch(handler).option("checkpointLocation", os.path.join(d, "ck"))
+             .trigger(availableNow=True).start().awaitTermination())
+    run()
+    lines.where("line_no >= 500").write.parquet(os.path.join(d, "logs", "p2"))
+    run()
+    m = spark.read.parquet(mined).collect()
+    h = spark.read.parquet(hits).collect()
+    assert len({r.epoch for r in m} | {r.epoch for r in h}) >= 2
+    # each pattern mined once, ids unique and after the catalog's
+    pats = [r.error_pattern.lower() for r in m]
+    assert len(pats) == len(set(pats)) and len(pats) > 0
+    ids = [r.id for r in m]
+    assert len(ids) == len(set(ids)) and min(ids) > 3
+    # every crash is either a hit or was the source of a mined entry, across both epochs
+    all_crashes = {(r.run_id, r.line_no) for r in E.crash_buffers(lines).collect()}
+    covered = {(r.run_id, r.line_no) for r in h}
+    assert covered <= all_crashes
+    # batch set form: crashes matching nothing known become hits of mined entries later or mined themselves
+    first = {(r.first_run_id, r.first_line_no) for r in m}
+    assert all_crashes <= covered | first | _unmatched_same_batch(spark, lines, m, covered)
+
+
+def _unmatched_same_batch(spark, lines, mined_rows, covered):
+    # crashes deduplicated into a pattern mined in the same epoch are neither hits nor the first source
+    crashes = E.crash_buffers(lines).collect()
+    import re as _re
+    out = set()
+    for c in crashes:
+        if (c.run_id, c.line_no) in covered:
+            continue
+        if any(_re.search(r.error_pattern, c.buffer, _re.IGNORECASE) for r in mined_rows):
+            out.add((c.run_id, c.line_no))
+    return out
