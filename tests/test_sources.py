@@ -33,3 +33,31 @@ def test_engine_log_order_across_splits_and_packed_files(spark):
     assert got == expected
     keys = [(r.run_id, r.line_no) for r in rows]
     assert len(set(keys)) == len(keys)
+
+
+def test_api_log_files_and_sinks(spark):
+    from pyspark.sql import functions as F
+
+    from servops.sources import api_log, sinks
+    d = tempfile.mkdtemp(prefix="servops-api-")
+    with open(os.path.join(d, "api_20240101.log"), "w") as h:
+        h.write("2024-01-01 10:00:00,123 - api - INFO - Request: GET http://h:8000/api/models?x=1\n"
+                "2024-01-01 10:00:00,200 - api - INFO - Response: 200\n"
+                "not a log line\n"
+                "2024-01-01 10:00:01,000 - api - ERROR - Response: 500\n")
+    parsed = api_log.parse_lines(api_log.read_api_log(spark, os.path.join(d, "*.log")))
+    got = {(r.kind, r.method, r.path, r.status): r.n_lines for r in api_log.summarize(parsed).collect()}
+    assert got == {("request", "GET", "/api/models", None): 1, ("response", None, None, 200): 1,
+                   ("response", None, None, 500): 1}
+    # generations sink: partitioned by day, appends accumulate
+    gens = spark.createDataFrame([(1, 5, 0.5, "2024-01-01 10:00:00"), (2, 3, 0.0, "2024-01-02 09:00:00")],
+                                 "model_id int, tokens_generated int, time_taken double, generated_at string") \
+        .withColumn("generated_at", F.to_timestamp_ntz("generated_at"))
+    out = os.path.join(d, "gens")
+    sinks.append_generations(gens, out)
+    sinks.append_generations(gens, out)
+    back = spark.read.parquet(out)
+    assert back.count() == 4
+    assert sorted(str(r.gen_date) for r in back.select("gen_date").distinct().collect()) == \
+        ["2024-01-01", "2024-01-02"]
+    assert back.where("gen_date = '2024-01-02'").count() == 2
