@@ -44,3 +44,28 @@ select p.doc_id, n::bigint as n_words, len(p)::bigint as n_base,
   case when len(p) > 0 then 1.0 else coalesce(best, 0.0) end::double as score
 from places p left join best b on p.doc_id = b.doc_id
 """
+
+_SPACE = r"[^\x20\x09-\x0D]+"
+ORACLE_SQL["op4_near_dedup"] = f"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '{_SPACE}') as w
+  from documents),
+sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) = 1 then w
+    else list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) end as s from words),
+sizes as (select doc_id, len(s)::bigint as n from sets),
+rows_ as (select doc_id, unnest(s) as g from sets),
+shared as (
+  select a.doc_id as x, b.doc_id as y, count(*) as k
+  from rows_ a join rows_ b on a.g = b.g and a.doc_id < b.doc_id group by all),
+links as (
+  select x, y from shared join sizes a on a.doc_id = x join sizes b on b.doc_id = y
+  where 100 * k >= 80 * (a.n + b.n - k)),
+both_ways as (select x, y from links union select y, x from links),
+reach(doc_id, r) as (
+  select doc_id, doc_id from sizes
+  union
+  select reach.doc_id, both_ways.y from reach join both_ways on reach.r = both_ways.x),
+parts as (select doc_id, min(r) as component_id from reach group by doc_id)
+select doc_id, n as n_shingles, component_id, doc_id = component_id as kept from sizes join parts using (doc_id)
+"""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import digest, licenses, tokencount
+from . import digest, licenses, near_dedup, tokencount
 
 #: file of the tokenizer whose tokens are counted
 VOCABULARY = "byte_bpe_50k.json"
@@ -21,6 +21,11 @@ def op2_token_counts(spark: SparkSession, d: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), "limit_bytes")
 
 
+def op4_near_dedup(spark: SparkSession, d: str) -> DataFrame:
+    found = near_dedup.near_duplicates(read_table(spark, d, "documents"), width=2, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op9_license_scan(spark: SparkSession, d: str) -> DataFrame:
     return licenses.scan_licenses(read_table(spark, d, "documents"))
 
