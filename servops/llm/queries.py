@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import digest, licenses, near_dedup, tokencount
+from . import digest, langid, licenses, near_dedup, tokencount
 
 #: file of the tokenizer whose tokens are counted
 VOCABULARY = "byte_bpe_50k.json"
@@ -26,6 +26,13 @@ def op4_near_dedup(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op5_language_id(spark: SparkSession, d: str) -> DataFrame:
+    docs = read_table(spark, d, "documents")
+    model = langid.learn(docs.where(~langid.held_out("doc_id") & F.col("doc_id").isNotNull()), key=F.col("doc_id"))
+    rows = docs.select("doc_id", "text", langid.held_out("doc_id").alias("held_out"))
+    return langid.predict(rows, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op9_license_scan(spark: SparkSession, d: str) -> DataFrame:
     return licenses.scan_licenses(read_table(spark, d, "documents"))
 
