@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from . import sieve
 from .components import connected_components
-from .textarrays import NOT_SPACE, byte_view, mix64, shingles, word_hashes
+from .textarrays import NOT_SPACE, byte_view, mix64, shingles, small_batches, word_hashes
 
 #: 36 bands of 5 coordinates: a pair of similarity 0.8 shares no band once in 1.7 million, one of 0.2 once in 87 does
 BANDS, ROWS = 36, 5
@@ -95,7 +95,7 @@ def sign(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, ro
     picked = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("tie"), F.col(text_col).alias("text"))
 
     def run(batches):
-        for b in batches:
+        for b in small_batches(batches, 2):
             sets = text_sets(b.column(2), width)
             full = [i for i, s in enumerate(sets) if len(s)]
             sigs = circulant_signatures([sets[i] for i in full], bands * rows)
@@ -133,7 +133,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
         .join(texts.select(F.col("node").alias("y"), F.col("text").alias("ty")), "y")
 
     def run(batches):
-        for b in batches:
+        for b in small_batches(batches, 2):
             x, y = b.column(0), b.column(1)
             keep = []
             for s, t in zip(text_sets(b.column(2), width), text_sets(b.column(3), width)):

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import digest, langid, licenses, near_dedup, tokencount
+from . import decontam, digest, langid, licenses, near_dedup, tokencount
 
 #: file of the tokenizer whose tokens are counted
 VOCABULARY = "byte_bpe_50k.json"
@@ -33,6 +33,11 @@ def op5_language_id(spark: SparkSession, d: str) -> DataFrame:
     return langid.predict(rows, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op8_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    found = decontam.find_items(read_table(spark, d, "documents"), read_table(spark, d, "benchmark"))
+    return found.select("doc_id", "item_id", "n_windows", "item_windows", "coverage", "verbatim")
+
+
 def op9_license_scan(spark: SparkSession, d: str) -> DataFrame:
     return licenses.scan_licenses(read_table(spark, d, "documents"))
 

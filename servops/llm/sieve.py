@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 BITS = 1 << 21
 
 
-def bit_table(keys: DataFrame, col: str, bits: int = BITS) -> bytes:
-    """Bits of the hashes of ``col`` (any type): at most ``bits`` / 8 bytes come to the driver."""
-    at = F.pmod(F.xxhash64(F.col(col)), F.lit(bits))
+def bit_table(keys: DataFrame, col: str, bits: int = BITS, hashed: bool = False) -> bytes:
+    """Bits of the hashes of ``col`` (any type; ``hashed``: it is a 64-bit hash itself).
+
+    At most ``bits`` / 8 bytes come to the driver.
+    """
+    at = F.pmod(F.col(col) if hashed else F.xxhash64(F.col(col)), F.lit(bits))
     words = keys.select(at.alias("_at")).select(F.floor(F.col("_at") / 32).alias("_word"), (F.col("_at") % 32).alias("_bit")) \
         .groupBy("_word").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_bit").cast("int"))).alias("_bits"))
     table = np.zeros(bits // 32, "<u4")
@@ -29,3 +32,9 @@ def may_hold(table: bytes, col: Column) -> Column:
     at = F.pmod(F.xxhash64(col), F.lit(8 * len(table)))
     byte = F.substring(F.lit(table), (F.floor(at / 8) + 1).cast("int"), F.lit(1))
     return F.getbit(F.conv(F.hex(byte), 16, 10).cast("long"), (at % 8).cast("int")) == 1
+
+
+def held(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The same test for an array of 64-bit hashes (a table made with ``hashed``), ``table`` being its bytes."""
+    at = hashes & np.uint64(8 * len(table) - 1)
+    return (table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)

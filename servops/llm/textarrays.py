@@ -131,3 +131,19 @@ def shingles(words: np.ndarray, width: int) -> np.ndarray:
         h = mix64(h * np.uint64(0x9FB21C651E98DF25) + words[i:n - k + 1 + i])
     h.sort()
     return h[np.concatenate(([True], h[1:] != h[:-1]))]
+
+
+def small_batches(batches, col: int = 0, most: int = 4 << 20):
+    """The rows of ``batches`` in batches of at most ``most`` bytes of text in column ``col`` (or one row).
+
+    Scratch arrays are several times a batch's text; this keeps them small whatever Spark's batch size.
+    """
+    for b in batches:
+        size = pc.fill_null(pc.binary_length(b.column(col)), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(size)
+        at = 0
+        while at < len(ends):
+            base = ends[at] - size[at]
+            end = max(int(np.searchsorted(ends, base + most, "right")), at + 1)
+            yield b.slice(at, end - at)
+            at = end
