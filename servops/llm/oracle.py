@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses
+from . import licenses, queries
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -69,3 +69,57 @@ reach(doc_id, r) as (
 parts as (select doc_id, min(r) as component_id from reach group by doc_id)
 select doc_id, n as n_shingles, component_id, doc_id = component_id as kept from sizes join parts using (doc_id)
 """
+
+
+def _weight(depth: int, names: list[str]) -> str:
+    """CASE over the weights of paths of one depth (later entries first, as in the operator)."""
+    out = "1"
+    for path, w in sorted(queries.MIX_WEIGHTS.items(), key=lambda x: (len(x[0]), str(x[0]))):
+        if len(path) == depth:
+            hit = " and ".join(f"{c} is not distinct from {_text(v)}" for c, v in zip(names, path) if v is not None) or "true"
+            out = f"case when {hit} then {w} else {out} end"
+    return out
+
+
+def _level(depth: int, levels: list[str]) -> str:
+    """CTEs that divide the budgets of one level of the tree."""
+    path, up = levels[:depth], levels[:depth - 1]
+    cols = ", ".join(path)
+    part = f"partition by {', '.join(up)}" if up else ""
+    given = f"(select budget from b{depth - 1} u where {' and '.join(f'u.{c} is not distinct from n.{c}' for c in up)})" \
+        if up else f"least((select b from budget), (select sum(tokens) * {queries.MIX_EPOCHS} from leaves))"
+    order = f"{part} order by held / weight, {path[-1]} nulls first"
+    return f"""
+n{depth} as (select {cols}, sum(tokens)::hugeint * {queries.MIX_EPOCHS} as held, ({_weight(depth, path)})::hugeint as weight
+  from leaves group by {cols}),
+g{depth} as (select n.*, {given}::hugeint as given from n{depth} n),
+w{depth} as (select *,
+    greatest(given - coalesce(sum(held) over ({order} rows between unbounded preceding and 1 preceding), 0), 0) as remains,
+    sum(weight) over ({part}) - coalesce(sum(weight) over ({order} rows between unbounded preceding and 1 preceding), 0) as weights
+  from g{depth}),
+f{depth} as (select *, held = 0 or held * weights <= remains * weight as filled from w{depth}),
+b{depth} as (select {cols}, case when filled then held else
+    ((given - coalesce(sum(held) filter (filled) over ({part}), 0)) * weight) // nullif(sum(weight) filter (not filled) over ({part}), 0)
+    end as budget from f{depth})"""
+
+
+_levels = ["domain", "lang", "source"]
+_order = ("('0x' || substr(md5(concat_ws('|', '" + str(queries.MIX_SEED) + "', whole::varchar, "
+          "coalesce(doc_id::varchar, md5(coalesce(text, ''))))), 1, 15))::bigint")
+_same = " and ".join(f"d.{c} is not distinct from p.{c}" for c in _levels)
+ORACLE_SQL["op6_source_mix"] = f"""
+with docs as (
+  select doc_id, text, 'domain' || (try_cast(regexp_extract(source, '(\\d+)', 1) as int) % 4)::varchar as domain, lang, source,
+    coalesce((strlen(text) + 3) // 4, 0)::bigint as tokens from documents),
+leaves as (select domain, lang, source, sum(tokens)::hugeint as tokens from docs group by all),
+budget as (select floor(sum(tokens)::double * {queries.MIX_SHARE})::hugeint as b from leaves),
+{",".join(_level(k, _levels) for k in (1, 2, 3))},
+plan as (
+  select p.domain, p.lang, p.source, case when tokens > 0 then budget // tokens else 1 end as whole,
+    case when tokens > 0 then budget % tokens else 0 end as rest
+  from leaves d join b3 p on {_same}),
+turn as (select d.*, whole, rest, {_order} as o from docs d join plan p on {_same}),
+run as (select *, sum(tokens) over (partition by domain, lang, source order by o
+  range between unbounded preceding and current row) as s from turn)
+select doc_id, domain, lang, source, tokens, (whole + case when rest > 0 and s <= rest then 1 else 0 end)::bigint as copies from run
+"""

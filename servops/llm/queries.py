@@ -5,15 +5,31 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import decontam, digest, langid, licenses, near_dedup, tokencount
+from . import decontam, digest, langid, licenses, mixing, near_dedup, sharding, tokencount
 
 #: file of the tokenizer whose tokens are counted
 VOCABULARY = "byte_bpe_50k.json"
 TOKEN_LIMIT = 1024
+SHARDS = 24
+#: tree of the mix: the sources' numbers in four domains, then language, then source; and its weights
+MIX_WEIGHTS = {("domain0",): 4, ("domain1",): 3, ("domain2",): 2, ("domain3",): 1,
+               (None, "en"): 4, (None, "de"): 2, (None, "fr"): 2, (None, "es"): 1}
+MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.6, 2, 11
+
+
+def mix_levels() -> dict[str, Column]:
+    number = F.regexp_extract("source", r"(\d+)", 1).try_cast("int")
+    return {"domain": F.concat(F.lit("domain"), (number % 4).cast("string")), "lang": F.col("lang"), "source": F.col("source")}
+
+
+def op1_shards(spark: SparkSession, d: str) -> DataFrame:
+    placed = sharding.assign_shards(read_table(spark, d, "documents"), SHARDS)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op2_token_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -33,6 +49,12 @@ def op5_language_id(spark: SparkSession, d: str) -> DataFrame:
     return langid.predict(rows, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op6_source_mix(spark: SparkSession, d: str) -> DataFrame:
+    mixed = mixing.mix(read_table(spark, d, "documents"), mix_levels(), MIX_SHARE, MIX_EPOCHS, MIX_WEIGHTS, MIX_SEED)
+    return mixed.select("doc_id", F.col("mix_domain").alias("domain"), "lang", "source", F.col("mix_tokens").alias("tokens"),
+                        F.col("mix_copies").alias("copies"))
+
+
 def op8_decontamination(spark: SparkSession, d: str) -> DataFrame:
     found = decontam.find_items(read_table(spark, d, "documents"), read_table(spark, d, "benchmark"))
     return found.select("doc_id", "item_id", "n_windows", "item_windows", "coverage", "verbatim")
