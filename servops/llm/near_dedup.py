@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut_lineage
 from . import sieve
@@ -113,7 +114,7 @@ def sign(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, ro
     return picked.mapInArrow(run, f"id {kind}, tie long, n long, node binary, sig binary, bands array<long>")
 
 
-@F.arrow_udf("int")
+@F.arrow_udf(T.IntegerType())
 def _agreement(a: pa.Array, b: pa.Array) -> pa.Array:
     """Equal coordinates of two signatures."""
     if not len(a):

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import decontam, digest, langid, licenses, mixing, near_dedup, sharding, tokencount
+from . import decontam, digest, extract, langid, licenses, mixing, near_dedup, sharding, tokencount
 
 #: file of the tokenizer whose tokens are counted
 VOCABULARY = "byte_bpe_50k.json"
@@ -37,6 +37,11 @@ def op2_token_counts(spark: SparkSession, d: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), "limit_bytes")
 
 
+def op3_main_text(spark: SparkSession, d: str) -> DataFrame:
+    found = extract.extract_main_text(read_table(spark, d, "pages"))
+    return found.select("page_id", "url", "text", "n_chars", "n_blocks")
+
+
 def op4_near_dedup(spark: SparkSession, d: str) -> DataFrame:
     found = near_dedup.near_duplicates(read_table(spark, d, "documents"), width=2, percent=80)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
