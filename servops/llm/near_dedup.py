@@ -4,38 +4,26 @@ A document's shingles go through one permutation; a second permutation, shifted
 0, 1, 2, ... places, gives all coordinates of its signature. Documents that agree in a band of
 coordinates share a bucket. Links are confirmed on the full shingle sets.
 
-Documents with the same shingle set are one node. Buckets never emit all their pairs at once:
-
-1. Each node is held against the least node of each of its buckets; the pair whose signatures
-   agree best is confirmed, and the confirmed links are joined into components.
-2. Buckets that still hold several components give the pairs between different components; large
-   buckets are cut into blocks for that, and only pairs whose signatures agree well enough leave a task.
-3. These pairs are confirmed best first, a growing number for each two components, until no
-   unconfirmed pair is left between different components. Pairs inside a component need no check:
-   they can't change it.
-
-The component of a document is the same as with every pair of every bucket confirmed.
+Documents with the same shingle set are one node. ``linking`` joins the nodes of the buckets into
+components; a document's component is the same as with every pair of every bucket confirmed.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import cut_lineage
 from . import sieve
-from .components import connected_components
+from .linking import Measure, linked_components, shared_buckets
 from .textarrays import NOT_SPACE, byte_view, mix64, shingles, small_batches, word_hashes
 
 #: 36 bands of 5 coordinates: a pair of similarity 0.8 shares no band once in 1.7 million, one of 0.2 once in 87 does
 BANDS, ROWS = 36, 5
 #: share of equal coordinates below which a pair isn't confirmed; a pair of 0.8 falls below it once in 10^10
 AGREE = 0.6
-#: nodes a block of a large bucket
-BLOCK = 256
 _GROUP = 1 << 16
 
 
@@ -114,18 +102,11 @@ def sign(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, ro
     return picked.mapInArrow(run, f"id {kind}, tie long, n long, node binary, sig binary, bands array<long>")
 
 
-@F.arrow_udf(T.IntegerType())
-def _agreement(a: pa.Array, b: pa.Array) -> pa.Array:
-    """Equal coordinates of two signatures."""
-    if not len(a):
-        return pa.array([], pa.int32())
-    left, right = (np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(len(a), -1) for x in (a, b))
-    return pa.array((left == right).sum(1).astype(np.int32))
-
-
-def _compatible(n: Column, m: Column, percent: int) -> Column:
-    """Sizes that allow the similarity."""
-    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+def _measure(size: int, percent: int) -> Measure:
+    """Equal coordinates of two signatures; sizes that allow the similarity."""
+    return Measure(score=lambda a, b: (a == b).sum(1), least=int(AGREE * size),
+                   fits=lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m),
+                   fits_arrays=lambda n, m: 100 * np.minimum(n, m) >= percent * np.maximum(n, m))
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -145,63 +126,6 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     return rows.select("x", "y", "tx", "ty").mapInArrow(run, "x binary, y binary")
 
 
-def _block_pairs(rows: DataFrame, least: int, percent: int) -> DataFrame:
-    """Pairs between components in buckets of any size, by blocks of at most a few hundred nodes.
-
-    ``rows``: key, node, n, component, main (the component that most of the bucket's nodes have),
-    n_main, n_rest, sig. Nodes outside the main component meet each other and those of the main
-    one; blocks of the main component never meet. A group of two blocks is compared in memory
-    (numpy), and pairs with at least ``least`` equal coordinates come out.
-    """
-    inside = F.col("component") == F.col("main")
-    a_blocks = F.ceil(F.col("n_rest") / BLOCK).cast("int")
-    m_blocks = F.ceil(F.col("n_main") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.when(inside, m_blocks).otherwise(a_blocks)).cast("int")
-    # group (i, j): i a block of the rest, j >= i another one, or from a_blocks on a block of the main component
-    r = rows.withColumn("_own", own).withColumn("_a", a_blocks).withColumn("_m", m_blocks)
-    pair = F.when(inside, F.transform(F.sequence(F.lit(0), F.col("_a") - 1),
-                                      lambda i: F.struct(i.alias("i"), (F.col("_a") + F.col("_own")).alias("j")))) \
-        .otherwise(F.transform(F.sequence(F.lit(0), F.col("_a") + F.col("_m") - 1),
-                               lambda j: F.struct(F.least(j, F.col("_own")).alias("i"), F.greatest(j, F.col("_own")).alias("j"))))
-    r = r.select("key", "node", "n", "component", "sig", F.explode(pair).alias("g")) \
-        .select("key", "g.i", "g.j", "node", "n", "component", "sig")
-    n_parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    r = r.repartition(n_parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-
-    def compare(nodes, n, comp, sig):
-        sig = np.frombuffer(b"".join(sig), np.uint8).reshape(len(nodes), -1)
-        n, comp = np.array(n), np.unique(np.array(comp, object), return_inverse=True)[1]
-        for i in range(len(nodes) - 1):
-            rest = np.arange(i + 1, len(nodes))
-            rest = rest[(comp[rest] != comp[i]) & (100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i]))]
-            if len(rest):
-                same = (sig[rest] == sig[i]).sum(1)
-                for k in np.flatnonzero(same >= least):
-                    a, b = nodes[i], nodes[rest[k]]
-                    yield (a, b, int(same[k])) if a < b else (b, a, int(same[k]))
-
-    def run(batches):
-        at, held = None, []
-        found = []
-        for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                if row[:3] != at:
-                    found += compare(*zip(*held)) if len(held) > 1 else []
-                    at, held = row[:3], []
-                held.append(row[3:])
-                if len(found) >= 10_000:
-                    yield pack(found)
-                    found = []
-        found += compare(*zip(*held)) if len(held) > 1 else []
-        if found:
-            yield pack(found)
-
-    def pack(found):
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.binary()), pa.array([p[1] for p in found], pa.binary()),
-                                           pa.array([p[2] for p in found], pa.int32())], names=["x", "y", "same"])
-    return r.mapInArrow(run, "x binary, y binary, same int")
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
                     percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Class of every document: ``id_col``, text_hash, n_shingles, component_id, kept; one row per row of ``docs``.
@@ -213,73 +137,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeated rows are marked alike. A null or wordless text has an empty set and is linked with
     nothing. A null id counts as greater than any other. Other columns aren't read.
     """
-    size = bands * rows
-    least = int(AGREE * size)
     signed = cut_lineage(sign(docs, id_col, text_col, width, bands, rows))
     nodes = signed.where(F.col("node").isNotNull()).groupBy("node", "n").agg(
-        F.min("tie").alias("tie"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+        F.min("tie").alias("tie"), F.first("sig").alias("sketch"), F.first("bands").alias("bands"))
     nodes = cut_lineage(nodes)
-
-    # buckets with several nodes
-    members = nodes.select("node", "n", F.explode("bands").alias("key"))
-    buckets = members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"), F.count(F.lit(1)).alias("many")) \
-        .where(F.col("many") > 1)
-    shared = cut_lineage(members.join(buckets.select("key", "first"), "key"))
+    shared = shared_buckets(nodes.select("node", "n", F.explode("bands").alias("key")))
     candidates = shared.select("node").distinct()
     maybe = sieve.bit_table(candidates, "node")
-    sigs = cut_lineage(nodes.where(sieve.may_hold(maybe, F.col("node"))).join(candidates, "node", "left_semi")
-                       .select("node", "n", "tie", "sig"))
+    sketches = cut_lineage(nodes.where(sieve.may_hold(maybe, F.col("node"))).join(candidates, "node", "left_semi")
+                           .select("node", "tie", "sketch"))
     # one text of each node in a bucket: only those texts are shuffled
-    wanted = sieve.bit_table(sigs, "tie")
+    wanted = sieve.bit_table(sketches, "tie")
     tie = F.xxhash64(F.col(text_col))
     texts = docs.where(sieve.may_hold(wanted, tie)).select(tie.alias("tie"), F.col(text_col).alias("text")) \
-        .join(sigs.select("tie", "node"), "tie").groupBy("node").agg(F.first("text").alias("text"))
+        .join(sketches.select("tie", "node"), "tie").groupBy("node").agg(F.first("text").alias("text"))
     texts = cut_lineage(texts)
-
-    def with_agreement(pairs):
-        s = sigs.select("node", "sig")
-        j = pairs.join(s.withColumnsRenamed({"node": "x", "sig": "sx"}), "x") \
-            .join(s.withColumnsRenamed({"node": "y", "sig": "sy"}), "y")
-        return j.withColumn("same", _agreement("sx", "sy")).drop("sx", "sy").where(F.col("same") >= least)
-
-    # 1. each node against the least nodes of its buckets, the one that agrees best
-    stars = shared.where((F.col("node") != F.col("first.node")) & _compatible(F.col("n"), F.col("first.n"), percent)) \
-        .select(F.col("first.node").alias("x"), F.col("node").alias("y")).distinct()
-    best = with_agreement(stars).groupBy("y").agg(F.max_by("x", F.struct("same", "x")).alias("x"))
-    links = cut_lineage(confirm(best, texts, width, percent))
-    component = connected_components(links)
-
-    # 2. pairs between components in buckets that hold several
-    labelled = shared.select("key", "node", "n").join(component, "node", "left") \
-        .withColumn("component", F.coalesce("component", "node"))
-    counts = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c")) \
-        .groupBy("key").agg(F.max(F.struct("c", "component")).alias("m"), F.sum("c").alias("many"), F.count(F.lit(1)).alias("parts")) \
-        .where(F.col("parts") > 1)
-    opened = cut_lineage(labelled.join(counts.select(
-        "key", F.col("m.component").alias("main"), F.col("m.c").alias("n_main"), (F.col("many") - F.col("m.c")).alias("n_rest")), "key"))
-    small = opened.where(F.col("n_main") + F.col("n_rest") <= BLOCK // 4)
-    left = small.select("key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    right = small.select("key", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"))
-    few = left.join(right, "key").where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy"))
-                                        & _compatible(F.col("nx"), F.col("ny"), percent)).select("x", "y").distinct()
-    large = opened.where(F.col("n_main") + F.col("n_rest") > BLOCK // 4).join(sigs.select("node", "sig"), "node")
-    open_pairs = cut_lineage(with_agreement(few).unionByName(_block_pairs(large, least, percent)).distinct())
-
-    # 3. confirm them best first until none is left between components
-    share = 4
-    while True:
-        label = lambda c, n: component.select(F.col("node").alias(n), F.col("component").alias(c))
-        todo = open_pairs.join(label("cx", "x"), "x", "left").join(label("cy", "y"), "y", "left") \
-            .withColumn("cx", F.coalesce("cx", "x")).withColumn("cy", F.coalesce("cy", "y")).where(F.col("cx") != F.col("cy"))
-        order = Window.partitionBy(F.least("cx", "cy"), F.greatest("cx", "cy")).orderBy(F.col("same").desc(), "x", "y")
-        todo = cut_lineage(todo.withColumn("turn", F.row_number().over(order)).select("x", "y", "same", "turn"))
-        if todo.isEmpty():
-            break
-        now = confirm(todo.where(F.col("turn") <= share), texts, width, percent)
-        links = cut_lineage(links.unionByName(now))
-        open_pairs = todo.where(F.col("turn") > share).select("x", "y", "same")
-        component = connected_components(links)
-        share *= 8
+    component = linked_components(shared, sketches, _measure(bands * rows, percent),
+                                  lambda pairs: confirm(pairs, texts, width, percent))
 
     # classes of all rows
     least_id = F.struct(F.col("id").isNull().alias("no_id"), "id", "tie")
