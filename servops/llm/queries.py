@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import decontam, digest, extract, langid, licenses, mixing, near_dedup, sharding, tokencount
+from . import decontam, digest, extract, langid, licenses, line_dedup, mixing, near_dedup, sharding, tokencount
 
 #: file of the tokenizer whose tokens are counted
 VOCABULARY = "byte_bpe_50k.json"
@@ -60,6 +60,12 @@ def op6_source_mix(spark: SparkSession, d: str) -> DataFrame:
                         F.col("mix_copies").alias("copies"))
 
 
+def op7_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    left = line_dedup.dedup_lines(read_table(spark, d, "documents"))
+    return left.select("doc_id", "n_lines", "n_dropped", F.char_length("text").cast("long").alias("n_chars"),
+                       F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+
+
 def op8_decontamination(spark: SparkSession, d: str) -> DataFrame:
     found = decontam.find_items(read_table(spark, d, "documents"), read_table(spark, d, "benchmark"))
     return found.select("doc_id", "item_id", "n_windows", "item_windows", "coverage", "verbatim")
