@@ -276,5 +276,5 @@ def extract_main_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     No shuffle: a page is worked on alone.
     """
     kept = [F.col(f"`{c}`") for c in pages.columns if c not in (html_col, "text", "n_chars", "n_blocks")]
-    r = pages.select(*kept, _extract(F.col(html_col)).alias("_main"))
-    return r.select(*kept, "_main.text", "_main.n_chars", "_main.n_blocks")
+    r = pages.select(F.struct(*kept).alias("row"), _extract(F.col(html_col)).alias("main"))
+    return r.select("row.*", "main.text", "main.n_chars", "main.n_blocks")

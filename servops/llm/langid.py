@@ -210,9 +210,9 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_
     found = F.lit(None).cast("struct<lang:string,score:double>") if no_language else identify(F.col(text_col))
     speaks = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)) & F.lit(not no_language)
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in (lang_out, score_out)]
-    r = docs.select(*kept, found.alias("_lang"), speaks.alias("_speaks"))
-    return r.select(*kept, F.when(F.col("_speaks"), F.col("_lang.lang")).otherwise(F.lit(UNDECIDED)).alias(lang_out),
-                    F.when(F.col("_speaks"), F.col("_lang.score")).otherwise(F.lit(0.0)).alias(score_out))
+    r = docs.select(F.struct(*kept).alias("row"), found.alias("told"), speaks.alias("speaks"))
+    return r.select("row.*", F.when(F.col("speaks"), F.col("told.lang")).otherwise(F.lit(UNDECIDED)).alias(lang_out),
+                    F.when(F.col("speaks"), F.col("told.score")).otherwise(F.lit(0.0)).alias(score_out))
 
 
 def held_out(id_col: str = "doc_id") -> Column:

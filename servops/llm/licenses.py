@@ -65,7 +65,7 @@ def _strings(values) -> Column:
 
 def blocks_of(docs: DataFrame, text_col: str, keys: list[Column]) -> DataFrame:
     """One row a line of every text, with the line's distinct words."""
-    lines = docs.select(*keys, F.explode(F.split(F.col(text_col), "\n")).alias("_line"))
+    lines = docs.select(*keys, F.posexplode(F.split(F.col(text_col), "\n")).alias("_block", "_line"))
     return lines.select(*[k for k in lines.columns if k != "_line"],
                         F.array_distinct(words_of(F.col("_line"))).alias("_words"))
 
@@ -83,7 +83,10 @@ def word_order(blocks: DataFrame, vocabulary: list[str]) -> list[str]:
 
 def license_hits(docs: DataFrame, text_col: str = "text", keys: dict[str, Column] | None = None, templates=None,
                  threshold: float = THRESHOLD) -> DataFrame:
-    """(keys, label, score) of every template a text holds: its best containment over the text's lines."""
+    """(keys, label, score) of the templates a text holds, with the best containment over the text's lines.
+
+    Of the templates a line matches, those with the highest containment in it count.
+    """
     chosen = template_words(templates)
     key_cols = [c.alias(k) for k, c in (keys or {"doc_id": F.col("doc_id")}).items()]
     names = list(keys or {"doc_id": None})
@@ -106,18 +109,22 @@ def license_hits(docs: DataFrame, text_col: str = "text", keys: dict[str, Column
     prefix_words = sorted({r[0] for r in rows})
 
     # the block's template words in the common order; only blocks with a prefix word go on
-    held = blocks.select(*names, F.size("_words").alias("_size"),
+    held = blocks.select(*names, "_block", F.size("_words").alias("_size"),
                          F.array_intersect(_strings(order), F.col("_words")).alias("_held"))
-    held = held.select(*names, "_size", "_held",
+    held = held.select(*names, "_block", "_size", "_held",
                        F.explode(F.array_intersect("_held", _strings(prefix_words))).alias("word"))
     # the templates are a parameter: the index has at most one row for each of their words
     j = held.join(F.broadcast(index), "word")
     left_in_block = F.size("_held") - F.array_position("_held", F.col("word"))
     j = j.where((F.col("_size") >= F.col("least")) & (1 + F.least("after", left_in_block) >= F.col("least")))
     shared = F.size(F.array_intersect("template", "_held"))
-    j = j.select(*names, "label", "least", shared.alias("_shared"), F.size("template").alias("_all")) \
+    j = j.select(*names, "_block", "label", "least", shared.alias("_shared"), F.size("template").alias("_all")) \
         .where(F.col("_shared") >= F.col("least"))
-    return j.groupBy(*names, "label").agg(F.max(F.col("_shared") / F.col("_all")).alias("score"))
+    share = F.col("_shared") / F.col("_all")
+    # as many entries a line as there are templates at most
+    best = j.groupBy(*names, "_block").agg(F.max(share).alias("score"), F.collect_set(F.struct("label", share.alias("s"))).alias("_all"))
+    best = best.select(*names, "score", F.explode(F.filter("_all", lambda x: x["s"] == F.col("score"))).alias("_hit"))
+    return best.groupBy(*names, F.col("_hit.label").alias("label")).agg(F.max("score").alias("score"))
 
 
 def phrase_places(words: Column, phrases: dict[str, str]) -> Column:

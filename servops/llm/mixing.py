@@ -109,9 +109,10 @@ def mix(docs: DataFrame, levels: dict[str, Column], budget_share: float = 0.5, e
     rows are taken by comparing with it: texts are never shuffled.
     """
     names = [f"mix_{n}" for n in levels]
-    base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if not c.startswith("mix_")])
     size = tokens if tokens is not None else tokens_of(F.col(text_col))
-    base = base.select("*", *[c.alias(n) for n, c in zip(names, levels.values())], size.cast("long").alias("mix_tokens"))
+    kept = [F.col(f"`{c}`") for c in docs.columns if not c.startswith("mix_")]
+    base = docs.select(F.struct(*kept).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"),
+                       *[c.alias(n) for n, c in zip(names, levels.values())], size.cast("long").alias("mix_tokens"))
     leaves = cut_lineage(base.groupBy(*names).agg(F.sum("mix_tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")))
     total = leaves.agg(F.sum("tokens").alias("tokens"), F.max("rows").alias("rows")).first()
     budget = int((total["tokens"] or 0) * budget_share)
@@ -130,7 +131,7 @@ def mix(docs: DataFrame, levels: dict[str, Column], budget_share: float = 0.5, e
         F.when(F.col("tokens") > 0, F.expr("budget % tokens")).otherwise(0).alias("rest"))
     plan = cut_lineage(plan.withColumnsRenamed(renamed))
     turn = base.join(plan, same(plan)).drop(*renamed.values()) \
-        .withColumn("_order", seeded_order(seed, F.col("whole"), F.col(id_col), F.col(text_col)))
+        .withColumn("_order", seeded_order(seed, F.col("whole"), F.col("id"), F.col("text")))
 
     # the bin in which each leaf's rest ends, and what the bins before it hold
     rows = turn.where(F.col("rest") > 0).select(*names, "rest", "mix_tokens", "_order",
@@ -152,4 +153,4 @@ def mix(docs: DataFrame, levels: dict[str, Column], budget_share: float = 0.5, e
     ends = cut_lineage(ends)
     taken = turn.join(ends, same(ends), "left") \
         .withColumn("mix_copies", F.col("whole") + F.coalesce(F.col("_order") <= F.col("_end"), F.lit(False)).cast("long"))
-    return taken.select(*base.columns, "mix_copies")
+    return taken.select("row.*", *names, "mix_tokens", "mix_copies")

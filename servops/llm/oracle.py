@@ -27,16 +27,17 @@ with low as (
   select doc_id, translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}') as t from documents),
 words as (select doc_id, t, regexp_extract_all(t, '{_WORDS}') as w from low),
 places as (select doc_id, len(w) as n, {_places} as p from words),
-lines as (select doc_id, unnest(string_split(t, chr(10))) as line from low),
-sets as (select doc_id, list_distinct(regexp_extract_all(line, '{_WORDS}')) as w from lines
+lines as (select doc_id, row_number() over () as b, line
+          from (select doc_id, unnest(string_split(t, chr(10))) as line from low)),
+sets as (select doc_id, b, list_distinct(regexp_extract_all(line, '{_WORDS}')) as w from lines
          where regexp_matches(line, '{_WORDS}')),
 templates(k, label, tw) as (values {_templates}),
 hits as (
-  select doc_id, label, max(len(list_intersect(w, tw)) / len(tw)) as score
+  select doc_id, b, label, len(list_intersect(w, tw)) / len(tw) as score
   from sets, templates
   where len(list_intersect(w, tw)) / len(tw) >= {licenses.THRESHOLD}
-  group by all),
-best as (select doc_id, list(label) as found, max(score) as best from hits group by doc_id)
+  qualify score = max(score) over (partition by doc_id, b)),
+best as (select doc_id, list(distinct label) as found, max(score) as best from hits group by doc_id)
 select p.doc_id, n::bigint as n_words, len(p)::bigint as n_base,
   (list_min([x.at for x in p]) - 1)::bigint as first_word, (list_max([x.at for x in p]) - 1)::bigint as last_word,
   coalesce(array_to_string(list_sort(list_distinct([x.label for x in p])), ','), '') as base_labels,
