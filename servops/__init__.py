@@ -5,8 +5,7 @@ Every job takes DataFrames and returns DataFrames; Catalyst does the planning.
 
 import sys as _sys
 
-try:  # ship this package's Python code to the workers inside the pickled functions
-    from pyspark import cloudpickle as _cp
-    _cp.register_pickle_by_value(_sys.modules[__name__])
-except Exception:  # pragma: no cover
-    pass
+# ship this package's Python code to the workers inside the pickled functions
+from pyspark import cloudpickle as _cp
+
+_cp.register_pickle_by_value(_sys.modules[__name__])

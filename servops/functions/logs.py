@@ -28,7 +28,8 @@ HEALTH_WAITING_MARKER = "Press Enter to close this session"
 # UI output markers for the running/stopped timeline.
 RUNNING_MARKERS = ["Server is running", "Server started successfully"]
 STOPPED_MARKERS = ["Server stopped", "Server is not running"]
-# Message extraction for a newly seen crash, tried in this order.
+# Message extraction for a newly seen crash, tried in this order. The rest of the line is taken as
+# one class instead of a lazy match up to the line's end: the same text, without backtracking and line by line.
 NEW_ERROR_PATTERNS = [r"RuntimeError: ([^\n]+)", r"Error: ([^\n]+)", r"Exception: ([^\n]+)"]
 NEW_ERROR_FALLBACK = "Unknown error"
 NEW_ERROR_SOLUTION = "This is a newly detected error. No solution has been provided yet."

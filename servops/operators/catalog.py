@@ -40,7 +40,7 @@ def model_by_id(models: DataFrame, lookups: DataFrame) -> DataFrame:
 
 def model_configs(models: DataFrame, names: DataFrame) -> DataFrame:
     """All configurations of the requested names, ordered by name and length."""
-    wanted = names.select("model_name")
+    wanted = names.select("model_name").distinct()  # a few names, however many requests
     return models.join(wanted, "model_name", "left_semi") \
         .orderBy("model_name", "max_model_len", "id").select(*models.columns)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -112,41 +113,72 @@ def _call_with_retry(fn: ModelFn, prompts, params, attempts: int, wait_min: floa
 
 
 RESPONSE_SCHEMA = ("request_id long, batch_no long, call_no int, endpoint string, n_prompts int, "
-                   "response string, latency double")
+                   "response string, latency double, status string, error string")
 
 
-def generate(calls: DataFrame, fn: ModelFn = echo_model, attempts: int = 3,
-             wait_min: float = 4.0, wait_max: float = 10.0, materialize: bool = True) -> DataFrame:
-    """Run the model over every call with ``mapInPandas`` (Arrow batches, one call per row).
+def wall_time(call: Callable[[], list], prompts: list) -> tuple[list, float]:
+    """A call's result and the seconds it took."""
+    t0 = time.monotonic()
+    return call(), time.monotonic() - t0
 
-    Calls are independent, so they spread over all tasks; a failed call is
-    retried in the task, and Spark re-runs a lost task. With ``materialize``
-    (default) the responses are written once to the checkpoint folder, so
-    downstream branches (completion and chat parsing, counts) read them
-    instead of calling the model again.
+
+def fixed_time(call: Callable[[], list], prompts: list) -> tuple[list, float]:
+    """A quarter of a second a prompt, for results that can be compared."""
+    return call(), 0.25 * len(prompts)
+
+
+def generate(calls: DataFrame, fn: ModelFn = echo_model, attempts: int = 3, wait_min: float = 4.0, wait_max: float = 10.0,
+             partitions: int | None = None, in_flight: int = 4, timer=wall_time, materialize: bool = True) -> DataFrame:
+    """Run the model over every call, one row a call.
+
+    Calls are dealt evenly into ``partitions`` tasks (default: the shuffle partitions), each with at most
+    ``in_flight`` calls at a time. A call that still fails after ``attempts`` gives a row with
+    status ``failed``, the error and no response; the others are kept. With ``materialize`` (default) the
+    responses are written once to the checkpoint folder, so downstream branches (completion and chat parsing,
+    counts) read them instead of calling the model again.
     """
+    n = partitions or int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def one(r):
+        params = json.loads(r.params_json) if r.params_json else {}
+        prompts = list(r.prompts)
+        head = (r.request_id, r.batch_no, r.call_no, r.endpoint, len(prompts))
+        try:
+            texts, seconds = timer(lambda: _call_with_retry(fn, prompts, params, attempts, wait_min, wait_max), prompts)
+            if r.endpoint == COMPLETIONS:
+                body = {"choices": [{"index": i, "text": t} for i, t in enumerate(texts)]}
+            else:
+                body = {"choices": [{"message": {"role": "assistant", "content": texts[0]}}]}
+            return (*head, json.dumps(body), seconds, "ok", None)
+        except Exception as e:  # the call's own failure, reported in its row
+            return (*head, None, None, "failed", f"{type(e).__name__}: {e}")
+
     def run(it):
-        for pdf in it:
-            out = []
-            for r in pdf.itertuples(index=False):
-                params = json.loads(r.params_json) if r.params_json else {}
-                prompts = list(r.prompts)
-                t0 = time.time()
-                texts = _call_with_retry(fn, prompts, params, attempts, wait_min, wait_max)
-                dt = time.time() - t0
-                if r.endpoint == COMPLETIONS:
-                    body = {"choices": [{"index": i, "text": t} for i, t in enumerate(texts)]}
-                else:
-                    body = {"choices": [{"message": {"role": "assistant", "content": texts[0]}}]}
-                out.append((r.request_id, r.batch_no, r.call_no, r.endpoint, len(prompts),
-                            json.dumps(body), dt))
-            yield pd.DataFrame(out, columns=["request_id", "batch_no", "call_no", "endpoint", "n_prompts",
-                                             "response", "latency"])
+        with ThreadPoolExecutor(in_flight) as pool:
+            for pdf in it:
+                out = list(pool.map(one, pdf.itertuples(index=False)))
+                yield pd.DataFrame(out, columns=[c.strip().split(" ")[0] for c in RESPONSE_SCHEMA.split(",")])
     out = calls.select("request_id", "batch_no", "call_no", "endpoint", "prompts", "params_json") \
-        .mapInPandas(run, RESPONSE_SCHEMA)
+        .repartition(n, "request_id", "batch_no", "call_no").mapInPandas(run, RESPONSE_SCHEMA)
     return cut_lineage(out) if materialize else out
 
 
+def failed_calls(responses: DataFrame) -> DataFrame:
+    """Calls without a usable reply: the call failed, or its reply isn't JSON with choices."""
+    reply = F.from_json("response", "choices array<struct<text: string>>")
+    reason = (F.when(F.col("status") == "failed", F.col("error"))
+              .when(reply["choices"].isNull(), F.lit("unparsable reply")))
+    return responses.select("request_id", "batch_no", "call_no", "endpoint", reason.alias("reason")).where(F.col("reason").isNotNull())
+
+
+def answers(responses: DataFrame) -> DataFrame:
+    """The answer texts of every call, one a line, beside its status and latency."""
+    comp = F.transform(F.from_json("response", COMPLETION_SCHEMA)["choices"], lambda c: c["text"])
+    chat = F.transform(F.from_json("response", CHAT_SCHEMA)["choices"], lambda c: c["message"]["content"])
+    text = F.array_join(F.when(F.col("endpoint") == COMPLETIONS, comp).otherwise(chat), "\n")
+    return responses.select("request_id", "batch_no", "call_no", "endpoint", "n_prompts", "status", text.alias("answers"), "latency")
+
+
 CHAT_SCHEMA = "choices array<struct<message: struct<content: string>>>, usage struct<completion_tokens: int>"
 COMPLETION_SCHEMA = "choices array<struct<text: string, usage: struct<completion_tokens: int>>>"
 

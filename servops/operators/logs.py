@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import logs as L
 from ..functions.text import unescape_unicode
-from .ordering import ordered_index, with_neighbour
+from .ordering import DEFAULT_BLOCK, ordered_index, with_neighbour
 
 
 def classify_lines(lines: DataFrame) -> DataFrame:
@@ -46,21 +46,26 @@ def server_state_timeline(lines: DataFrame) -> DataFrame:
 
 
 def parsed_concurrency(lines: DataFrame) -> DataFrame:
-    """Maximum-concurrency lines: int(float(x)) of the reported value."""
+    """Maximum-concurrency lines: int(float(x)) of the reported value, null where it isn't a whole number of 32 bits."""
     raw = F.regexp_extract("line", L.CONCURRENCY_RE, 2)
     m = lines.where(F.col("line").rlike(L.CONCURRENCY_RE))
-    return m.select("run_id", "line_no",
-                    F.regexp_extract("line", L.CONCURRENCY_RE, 1).cast("int").alias("tokens"),
-                    (raw).try_cast("double").cast("int").alias("max_concurrency"))
+    return m.select("run_id", "line_no", "ts",
+                    F.regexp_extract("line", L.CONCURRENCY_RE, 1).try_cast("int").alias("tokens"),
+                    raw.try_cast("double").try_cast("int").alias("max_concurrency"))
 
 
 def max_batch_backfill(lines: DataFrame, run_models: DataFrame, models: DataFrame) -> DataFrame:
-    """Fill a null ``max_batch_size`` from the last concurrency line of the model's runs."""
-    c = parsed_concurrency(lines).where(F.col("max_concurrency").isNotNull()) \
-        .join(run_models, "run_id", "inner")
-    last = c.groupBy("model_id").agg(F.max_by("max_concurrency", "line_no").alias("parsed_concurrency"))
+    """Fill a null ``max_batch_size`` from the concurrency lines of the model's runs.
+
+    The value is written while it was null when the run began, so of a model's runs the earliest one with
+    such a line decides, and in it the last line.
+    """
+    per_run = parsed_concurrency(lines).where(F.col("max_concurrency").isNotNull()).groupBy("run_id").agg(
+        F.max_by("max_concurrency", "line_no").alias("last_value"), F.min("ts").alias("first_ts"))
+    first = per_run.join(run_models, "run_id").groupBy("model_id").agg(
+        F.min_by("last_value", F.struct("first_ts", "run_id")).alias("parsed_concurrency"))
     m = models.select("id", "model_name", F.col("max_batch_size").alias("max_batch_size_before"))
-    j = m.join(last, m["id"] == last["model_id"], "left")
+    j = m.join(first, m["id"] == first["model_id"], "left")
     return j.select("id", "model_name", "max_batch_size_before", "parsed_concurrency",
                     F.coalesce("max_batch_size_before", "parsed_concurrency").alias("max_batch_size"))
 
@@ -72,8 +77,14 @@ def run_health(lines: DataFrame, tail: int = 1000) -> DataFrame:
     joined text" equals "some tail line contains it": one aggregate, no
     concatenated text.
     """
+    # which blocks of a run hold its last lines is counted on (run, line number) alone
+    at = F.floor(F.col("line_no") / F.lit(DEFAULT_BLOCK)).cast("long")
+    counts = lines.groupBy("run_id", at.alias("_blk")).agg(F.count(F.lit(1)).alias("_n"))
+    later = Window.partitionBy("run_id").orderBy(F.col("_blk").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    wanted = counts.withColumn("_after", F.coalesce(F.sum("_n").over(later), F.lit(0))).where(F.col("_after") < tail)
+    rows = lines.withColumn("_blk", at).join(wanted.select("run_id", "_blk"), ["run_id", "_blk"], "left_semi").drop("_blk")
     # position counted from the end of the run: number the lines in descending order
-    rev = ordered_index(lines.withColumn("_desc", -F.col("line_no")), ["run_id"], "_desc", "_ri")
+    rev = ordered_index(rows.withColumn("_desc", -F.col("line_no")), ["run_id"], "_desc", "_ri")
     t = rev.where(F.col("_ri") < tail)
     flags = [F.bool_or(F.col("line").contains(ind)).alias(f"_f{i}")
              for i, ind in enumerate(L.HEALTH_ERROR_INDICATORS)]
@@ -105,36 +116,39 @@ def run_duration(lines: DataFrame) -> DataFrame:
 
 
 def log_tail(lines: DataFrame, n: int = 100) -> DataFrame:
-    """Last ``n`` lines of the newest log (largest run id). n <= 0 returns none."""
+    """Last ``n`` lines of the newest log (largest run id), in one pass. n <= 0 returns none."""
     if n <= 0:
         return lines.select("run_id", "line_no", "line").limit(0)
-    newest = lines.agg(F.max("run_id").alias("run_id"))  # one row: bounded broadcast
-    top = lines.join(F.broadcast(newest), "run_id", "left_semi") \
-        .orderBy(F.col("line_no").desc()).limit(n)
-    return top.select("run_id", "line_no", "line").orderBy("line_no")
+    top = lines.select("run_id", "line_no", "line").orderBy(F.col("run_id").desc(), F.col("line_no").desc()).limit(n)
+    # at most n rows from here on
+    newest = F.max("run_id").over(Window.partitionBy(F.lit(0)))
+    return top.withColumn("_newest", newest).where(F.col("run_id") == F.col("_newest")).drop("_newest").orderBy("line_no")
 
 
 def log_unescape(lines: DataFrame) -> DataFrame:
-    """Lines carrying ``\\uXXXX`` escapes, decoded for display."""
-    return lines.where(F.col("line").contains("\\u")).select(
-        "run_id", "line_no", unescape_unicode("line").alias("text"))
+    """All lines with their ``\\uXXXX`` escapes decoded for display."""
+    return lines.select("run_id", "line_no", unescape_unicode("line").alias("text"))
 
 
 def message_routes(msgs: DataFrame) -> DataFrame:
-    """Route live messages: JSON {type, data} by type, other text shown as is; pong dropped.
+    """Route live messages: JSON {type, data} by type, text that isn't JSON shown as is; pong dropped.
 
-    ``progress`` gets its own route (the UI had none for it).
+    JSON that isn't an object has no type and is ignored. ``progress`` gets its own route (the UI had
+    none for it).
     """
+    is_json = F.try_parse_json("message").isNotNull()
     is_obj = F.json_object_keys("message").isNotNull()
     p = F.from_json("message", "type string, data string")
-    t = msgs.select("msg_id", "message", is_obj.alias("_obj"), p.alias("_p"))
+    t = msgs.select("msg_id", "message", is_json.alias("_json"), is_obj.alias("_obj"), p.alias("_p"))
     typ = F.col("_p.type")
     data = F.col("_p.data")
-    route = (F.when(~F.col("_obj"), F.lit("text"))
+    route = (F.when(~F.col("_json"), F.lit("text"))
+             .when(~F.col("_obj"), F.lit("ignored"))
              .when(typ == "pong", F.lit("drop"))
              .when(typ.isin("output", "progress", "status", "error"), typ)
              .otherwise(F.lit("ignored")))
-    body = (F.when(~F.col("_obj"), F.col("message"))
+    body = (F.when(~F.col("_json"), F.col("message"))
+            .when(~F.col("_obj"), F.lit(None).cast("string"))
             .when(typ.isin("output", "progress"), data)
             .when(typ == "error", F.get_json_object(data, "$.message"))
             .when(typ == "status", F.get_json_object(data, "$.running")))

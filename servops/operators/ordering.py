@@ -66,18 +66,3 @@ def with_neighbour(df: DataFrame, keys: list[str], order_col: str, cols: list[st
     j = inner.join(nb, [*keys, "_blk"], "left")
     return j.select(*df.columns, *[F.when(F.col("_has"), F.col("_in")[c]).otherwise(F.col("_nb")[c])
                                    .alias(prefix + c) for c in cols])
-
-
-def with_next(df: DataFrame, keys: list[str], idx: str, cols: list[str], prefix: str = "next_") -> DataFrame:
-    """Attach columns of the row at position ``idx + 1`` (dense positions) by an equi-join."""
-    nxt = df.select(*keys, (F.col(idx) - 1).alias(idx), *[F.col(c).alias(prefix + c) for c in cols])
-    return df.join(nxt, [*keys, idx], "left")
-
-
-def with_prev(df: DataFrame, keys: list[str], idx: str, cols: list[str], prefix: str = "prev_") -> DataFrame:
-    prv = df.select(*keys, (F.col(idx) + 1).alias(idx), *[F.col(c).alias(prefix + c) for c in cols])
-    return df.join(prv, [*keys, idx], "left")
-
-
-def group_sizes(df: DataFrame, keys: list[str], out: str = "group_size") -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(out))

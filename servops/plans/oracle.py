@@ -7,9 +7,10 @@ correlated forms are fine here: the oracle only has to be obviously right).
 
 from __future__ import annotations
 
-from ..functions.logs import (CONCURRENCY_RE, CRASH_SENTINEL, HEALTH_ERROR_INDICATORS,
+from ..functions.logs import (CONCURRENCY_RE, CRASH_SENTINEL, EXIT_MARKER, HEALTH_ERROR_INDICATORS,
                               HEALTH_WAITING_MARKER, NEW_ERROR_FALLBACK, NEW_ERROR_PATTERNS,
-                              NEW_ERROR_SOLUTION)
+                              NEW_ERROR_SOLUTION, RUNNING_MARKERS, SERVER_PROGRESS_BLOCKS, SERVER_PROGRESS_MARK,
+                              STOPPED_MARKERS, UI_PROGRESS_BLOCKS)
 from ..functions.text import PY_NON_WHITESPACE_RUN, PY_STRIP_PATTERN, PY_WHITESPACE_CLASS, RE_ESCAPE_CLASS
 
 
@@ -93,6 +94,7 @@ CTE = {
       when event_type = 'error' and k >= 90 then concat('RuntimeError: Server process terminated unexpectedly with exit code ', k)
       when event_type = 'error' and k >= 60 then concat('RuntimeError: CUDA error (code ', k % 7, '): out of memory')
       when event_type = 'error' and k >= 30 then concat('ValueError: No base configuration found for model m', k % 5)
+      when event_type = 'error' and k < 4 then concat('ValueError: Größe überschritten in shard ', k)
       when event_type = 'error' then concat('Exception: worker ', k % 3, ' died')
       when event_type = 'view' then concat('Loading shards: ', k, '%|', repeat('█', cast(floor(k / 10) as int)), '|')
       when event_type = 'signup' then concat('INFO 03-15 core.py: Maximum concurrency for 4096 tokens per request: ',
@@ -106,7 +108,7 @@ CTE = {
       when event_type = 'purchase' and k < 20 then concat('Downloading \\u2588\\u2588 ', k, '%')
       else concat('INFO request ', line_no) end as line
     from l0_fx""",
-    "run_models_fx": """select distinct user_id as run_id, cast(user_id as int) as model_id from events""",
+    "run_models_fx": """select distinct user_id as run_id, cast(user_id % 40 as int) as model_id from events""",
     "err_fx": f"""select run_id, line_no, ts, line, contains(line, {_q(CRASH_SENTINEL)}) as sent from log_fx
     where contains(lower(line), 'error') or contains(lower(line), 'exception') or contains(lower(line), 'terminated')""",
     "crash_fx": """select run_id, line_no, ts, crash_no, n_lines, buffer from (
@@ -114,40 +116,53 @@ CTE = {
              cast(sum(cast(sent as int)) over w as bigint) as crash_no
       from err_fx window w as (partition by run_id order by line_no rows between unbounded preceding and current row))
     where sent""",
+    "end_fx": """select run_id, max(line_no) as line_no, arg_max(ts, line_no) as ts,
+      array_to_string(list(line || chr(10) order by line_no), '') as buffer
+    from err_fx group by run_id having not bool_or(sent)""",
+    "event_fx": """select run_id, line_no, ts, false as at_end, buffer from crash_fx
+    union all select run_id, line_no, ts, true, buffer from end_fx""",
+    # sp: the pattern in DuckDB's dialect; null where Python refuses the pattern
     "cat_fx": r"""select * from (values
-      (1, 'cuda error \(code [0-3]\)', 'CUDA out of memory on a low device code',
+      (1, 'cuda error \(code [0-3]\)', 'cuda error \(code [0-3]\)', 'CUDA out of memory on a low device code',
        'Lower gpu_memory_utilization or max_model_len', 5, timestamp '2024-01-01 00:00:00'),
-      (2, 'no base configuration found for model m[12]', 'Missing base configuration',
-       'Register a base configuration for the model', 2, timestamp '2024-01-01 00:00:00'),
-      (3, 'worker 9 died', 'Worker nine died', 'Restart the worker pool', 0, timestamp '2024-01-01 00:00:00'))
-      t(id, error_pattern, error_message, solution, initial_count, first_seen)""",
-    "hits_fx": """select c.run_id, c.line_no, c.ts, k.id as error_id, k.error_message, k.solution
-    from crash_fx c join cat_fx k on regexp_matches(c.buffer, k.error_pattern, 'i')""",
-    "unm_fx": f"""select run_id, line_no, ts, {strip(
+      (2, 'no base configuration found for model m[12]', 'no base configuration found for model m[12]',
+       'Missing base configuration', 'Register a base configuration for the model', 2, timestamp '2024-01-01 00:00:00'),
+      (3, 'worker 9 died', 'worker 9 died', 'Worker nine died', 'Restart the worker pool', 0, timestamp '2024-01-01 00:00:00'),
+      (4, '(?P<who>worker) (?P<no>0) died', 'worker 0 died', 'Worker zero died', 'Restart the worker pool', 1,
+       timestamp '2024-01-01 00:00:00'),
+      (5, 'gr\w{2}e \w+schritten in shard [01]\b', 'gr[\pL\pN_]{2}e [\pL\pN_]+schritten in shard [01]([^\pL\pN_]|$)',
+       'Shard too large', 'Split the shard', 0, timestamp '2024-01-01 00:00:00'),
+      (6, 'worker (1 died', null, 'Not a pattern', '', 7, timestamp '2024-01-01 00:00:00'),
+      (7, 'worker 2 died\nValueError', 'worker 2 died\nValueError', 'Worker two died, then a value error', '', 0,
+       timestamp '2024-01-01 00:00:00'),
+      (9, '\p{L}+ died', null, 'Not a Python pattern', '', 0, timestamp '2024-01-01 00:00:00'))
+      t(id, error_pattern, sp, error_message, solution, initial_count, first_seen)""",
+    "hits_fx": """select c.run_id, c.line_no, c.ts, c.at_end, k.id as error_id, k.error_message, k.solution
+    from event_fx c join cat_fx k on regexp_matches(c.buffer, k.sp, 'i')""",
+    "unm_fx": f"""select run_id, line_no, ts, buffer, {strip(
         'coalesce(' + ', '.join(f"nullif(regexp_extract(buffer, {_q(p)}, 1), '')" for p in NEW_ERROR_PATTERNS)
         + ', ' + _q(NEW_ERROR_FALLBACK) + ')')} as error_message
     from crash_fx c where not exists (select 1 from hits_fx h where h.run_id = c.run_id and h.line_no = c.line_no)""",
     "mined0_fx": f"""select run_id, line_no, ts, error_message,
       regexp_replace(substring(error_message, 1, 100), {_q(RE_ESCAPE_CLASS)}, '\\\\\\1', 'g') as error_pattern
     from unm_fx""",
-    "mined_fx": f"""select cast((select max(id) from cat_fx) + row_number() over (order by first_line_no, first_run_id) as int) as id,
+    "mined_fx": f"""select cast((select max(id) from cat_fx) + row_number() over (order by first_seen, first_run_id, first_line_no) as int) as id,
       error_pattern, error_message, {_q(NEW_ERROR_SOLUTION)} as solution, first_run_id, first_line_no, first_seen, n_crashes
     from (select lower(error_pattern) as k,
-            first(error_pattern order by line_no, run_id) as error_pattern,
-            first(error_message order by line_no, run_id) as error_message,
-            first(run_id order by line_no, run_id) as first_run_id,
-            min(line_no) as first_line_no,
-            first(ts order by line_no, run_id) as first_seen,
+            first(error_pattern order by ts, run_id, line_no) as error_pattern,
+            first(error_message order by ts, run_id, line_no) as error_message,
+            first(run_id order by ts, run_id, line_no) as first_run_id,
+            first(line_no order by ts, run_id, line_no) as first_line_no,
+            min(ts) as first_seen,
             count(*) as n_crashes
           from mined0_fx group by lower(error_pattern))""",
-    "allp_fx": """select id, error_pattern, error_message, solution, cast(initial_count as bigint) as initial_count, first_seen
-      from cat_fx
-    union all select id, error_pattern, error_message, solution, cast(0 as bigint), first_seen from mined_fx""",
     "occ_fx": """select a.id, a.error_pattern, a.error_message, a.solution,
       a.initial_count + coalesce(h.hits, 0) as occurrence_count, a.first_seen, h.last_seen
-    from allp_fx a left join (
-      select k.id, count(*) as hits, max(c.ts) as last_seen
-      from crash_fx c join allp_fx k on regexp_matches(c.buffer, k.error_pattern, 'i') group by k.id) h
+    from (select id, error_pattern, error_message, solution, cast(initial_count as bigint) as initial_count, first_seen from cat_fx
+      union all select id, error_pattern, error_message, solution, cast(0 as bigint), first_seen from mined_fx) a left join (
+      select error_id as id, count(*) as hits, max(ts) as last_seen from (
+        select error_id, ts from hits_fx
+        union all select k.id, c.ts from unm_fx c join mined_fx k on regexp_matches(c.buffer, k.error_pattern, 'i')) group by error_id) h
     on h.id = a.id""",
     # GPU telemetry
     "gl_fx": f"""select sample_id, ts, case when sample_id % 53 = 0 then ''
@@ -173,7 +188,7 @@ CTE = {
             case when {K} % 3 = 0 then '/usr/bin/python3' when {K} % 3 = 1 then 'VLLM::EngineCore_worker_process'
                  else 'python -m vllm.entrypoints.openai.api_server' end as f2,
             cast(cast(value * 10 as decimal(18,2)) as varchar) as f3
-          from events where event_type in ('purchase', 'signup'))""",
+          from events)""",
     "gp_fx": f"""select sample_id, try_cast(p[1] as int) as gpu_id, try_cast(p[2] as int) as pid, p[3] as name,
       try_cast(p[4] as double) as memory_usage, 'C' as type
     from (select sample_id, list_transform(string_split(line, ','), lambda x: {strip('x')}) as p
@@ -228,13 +243,14 @@ CTE = {
     from pb_fx b join pr_fx p on p.request_id = b.request_id and p.prompt_no = b.prompt_no
       join plan_fx pl on pl.request_id = b.request_id where pl.mode = 'chat'""",
     # API access log
-    "api_fx": f"""select event_id as line_no, concat(strftime(ts, '%Y-%m-%d %H:%M:%S,%g'), ' - vllm-api - INFO - ',
+    "api_fx": f"""select event_id as line_no, case when event_id % 37 = 0 then '  File "server.py", line 1 - in main'
+      else concat(strftime(ts, '%Y-%m-%d %H:%M:%S,%g'), ' - vllm-api - INFO - ',
       case when event_id % 10 = 9 then concat('Found loaded model: m', {K} % 5)
            when event_id % 2 = 0 then concat('Request: ',
              case when event_type in ('purchase', 'signup') then 'POST' else 'GET' end,
              ' http://localhost:8000/api/', event_type, '?k=', {K})
            else concat('Response: ', case when event_type = 'error' then '500' when {K} >= 95 then '404' else '200' end)
-      end) as value from events""",
+      end) end as value from events""",
 }
 
 
@@ -254,9 +270,11 @@ def _health_sql() -> str:
           where rn <= 1000 group by run_id)"""
 
 
-_UI_BLOCKS = "▏▎▍▌▋▊▉"
-_UI_PROGRESS = "(contains(line, '|') and (contains(line, '█') or " + \
-    " or ".join(f"contains(line, '{c}')" for c in _UI_BLOCKS) + "))"
+def _contains_any(needles) -> str:
+    return "(" + " or ".join(f"contains(line, {_q(n)})" for n in needles) + ")"
+
+
+_UI_PROGRESS = f"(contains(line, '|') and {_contains_any(UI_PROGRESS_BLOCKS)})"
 
 _ORDER_GEN = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice, l_discount, l_tax"
 
@@ -323,8 +341,8 @@ ORACLE_SQL: dict[str, str] = {
           case when is_crash then 'crash' when is_errorish then 'error' when is_progress then 'progress'
                when is_exit then 'exit' else 'output' end as line_class
         from (select run_id, line_no,
-                contains(line, '%|') and (contains(line, '█') or contains(line, '▏')) as is_progress,
-                contains(line, 'vLLM server exited with code') as is_exit,
+                contains(line, {_q(SERVER_PROGRESS_MARK)}) and {_contains_any(SERVER_PROGRESS_BLOCKS)} as is_progress,
+                contains(line, {_q(EXIT_MARKER)}) as is_exit,
                 contains(lower(line), 'error') or contains(lower(line), 'exception')
                   or contains(lower(line), 'terminated') as is_errorish,
                 contains(line, {_q(CRASH_SENTINEL)}) as is_crash
@@ -334,23 +352,23 @@ ORACLE_SQL: dict[str, str] = {
           select *, lead(p) over (partition by run_id order by line_no) as np
           from (select *, {_UI_PROGRESS} as p from log_fx where not {blank('line')}))
         where not (p and coalesce(np, false))""",
-    "server_state_timeline": with_("l0_fx", "log_fx") + """
+    "server_state_timeline": with_("l0_fx", "log_fx") + f"""
         select run_id, line_no, ts, state, prev_state, not (state is not distinct from prev_state) as changed
         from (select *, lag(state) over (partition by run_id order by line_no) as prev_state
               from (select run_id, line_no, ts,
-                      case when contains(line, 'Server stopped') or contains(line, 'Server is not running') then 'stopped'
-                           when contains(line, 'Server is running') or contains(line, 'Server started successfully')
-                           then 'running' end as state
+                      case when {_contains_any(STOPPED_MARKERS)} then 'stopped'
+                           when {_contains_any(RUNNING_MARKERS)} then 'running' end as state
                     from log_fx) where state is not null)""",
     "max_batch_backfill": with_("models_fx", "l0_fx", "log_fx", "run_models_fx") + f"""
         select m.id, m.model_name, m.max_batch_size as max_batch_size_before, p.parsed_concurrency,
           coalesce(m.max_batch_size, p.parsed_concurrency) as max_batch_size
         from models_fx m left join (
-          select rm.model_id, arg_max(c.mc, c.line_no) as parsed_concurrency
-          from (select run_id, line_no,
-                  cast(trunc(try_cast(regexp_extract(line, {_q(CONCURRENCY_RE)}, 2) as double)) as int) as mc
-                from log_fx where regexp_matches(line, {_q(CONCURRENCY_RE)})) c
-          join run_models_fx rm on rm.run_id = c.run_id where c.mc is not null group by rm.model_id) p
+          select rm.model_id, arg_min(r.last_mc, (r.first_ts, r.run_id)) as parsed_concurrency
+          from (select run_id, arg_max(mc, line_no) as last_mc, min(ts) as first_ts from (
+                  select run_id, line_no, ts,
+                    try_cast(trunc(try_cast(regexp_extract(line, {_q(CONCURRENCY_RE)}, 2) as double)) as int) as mc
+                  from log_fx where regexp_matches(line, {_q(CONCURRENCY_RE)})) where mc is not null group by run_id) r
+          join run_models_fx rm on rm.run_id = r.run_id group by rm.model_id) p
         on p.model_id = m.id""",
     "run_health": _health_sql(),
     "run_duration": with_("l0_fx", "log_fx") + """
@@ -370,32 +388,36 @@ ORACLE_SQL: dict[str, str] = {
         select run_id, line_no,
           list_reduce(list_distinct(regexp_extract_all(line, '\\u[0-9a-fA-F]{4}')),
                       lambda acc, x: replace(acc, x, chr(cast('0x' || substr(x, 3, 4) as int))), line) as text
-        from log_fx where contains(line, '\u')""",
+        from log_fx""",
     "message_routes": with_("l0_fx", "log_fx") + """,
         msg_fx AS (select line_no as msg_id, case when trim(line) = '' then '{"type": "pong"}'
             when contains(line, '%|') then concat('{"type": "progress", "data": "', line, '"}')
             when contains(line, 'RuntimeError') then concat('{"type": "error", "data": {"known": false, "message": "', line, '"}}')
             when contains(line, 'Maximum concurrency') then '{"type": "status", "data": {"running": true}}'
             when line_no % 5 = 0 then line
+            when line_no % 7 = 0 then concat('[', line_no, ']')
+            when line_no % 11 = 0 then '"x"'
+            when line_no % 13 = 0 then line_no::varchar
             else concat('{"type": "output", "data": "', line, '"}') end as message from log_fx),
-        q AS (select msg_id, message, obj, case when obj then json_extract_string(message, '$.type') end as typ
-              from (select *, case when json_valid(message) then json_type(message) = 'OBJECT' else false end as obj from msg_fx))
+        q AS (select msg_id, message, obj, js, case when obj then json_extract_string(message, '$.type') end as typ
+              from (select *, case when json_valid(message) then json_type(message) = 'OBJECT' else false end as obj,
+                json_valid(message) as js from msg_fx))
         select msg_id,
-          case when not obj then 'text' when typ in ('output', 'progress', 'status', 'error') then typ
+          case when not js then 'text' when not obj then 'ignored' when typ in ('output', 'progress', 'status', 'error') then typ
                else 'ignored' end as route,
-          case when not obj then message when typ in ('output', 'progress') then json_extract_string(message, '$.data')
+          case when not js then message when typ in ('output', 'progress') then json_extract_string(message, '$.data')
                when typ = 'error' then json_extract_string(message, '$.data.message')
                when typ = 'status' then json_extract_string(message, '$.data.running') end as body
         from q where not (obj and coalesce(typ = 'pong', false))""".replace("WITH ", "WITH ", 1).replace(
         "\n,\n        msg_fx", ",\n        msg_fx"),
     "crash_buffer": with_("l0_fx", "log_fx", "err_fx", "crash_fx") + "select * from crash_fx",
-    "known_error_match": with_("l0_fx", "log_fx", "err_fx", "crash_fx", "cat_fx", "hits_fx") + "select * from hits_fx",
-    "new_error_mining": with_("l0_fx", "log_fx", "err_fx", "crash_fx", "cat_fx", "hits_fx", "unm_fx", "mined0_fx",
+    "known_error_match": with_("l0_fx", "log_fx", "err_fx", "crash_fx", "end_fx", "event_fx", "cat_fx", "hits_fx") + "select * from hits_fx",
+    "new_error_mining": with_("l0_fx", "log_fx", "err_fx", "crash_fx", "end_fx", "event_fx", "cat_fx", "hits_fx", "unm_fx", "mined0_fx",
                               "mined_fx") + "select * from mined_fx",
-    "error_occurrences": with_("l0_fx", "log_fx", "err_fx", "crash_fx", "cat_fx", "hits_fx", "unm_fx", "mined0_fx",
-                               "mined_fx", "allp_fx", "occ_fx") + "select * from occ_fx",
-    "error_ranking": with_("l0_fx", "log_fx", "err_fx", "crash_fx", "cat_fx", "hits_fx", "unm_fx", "mined0_fx",
-                           "mined_fx", "allp_fx", "occ_fx") +
+    "error_occurrences": with_("l0_fx", "log_fx", "err_fx", "crash_fx", "end_fx", "event_fx", "cat_fx", "hits_fx", "unm_fx", "mined0_fx",
+                               "mined_fx", "occ_fx") + "select * from occ_fx",
+    "error_ranking": with_("l0_fx", "log_fx", "err_fx", "crash_fx", "end_fx", "event_fx", "cat_fx", "hits_fx", "unm_fx", "mined0_fx",
+                           "mined_fx", "occ_fx") +
         "select * from occ_fx order by occurrence_count desc nulls first, id",
     "gpu_samples": with_("gl_fx", "gs_fx") + "select * from gs_fx",
     "gpu_metrics": with_("gl_fx", "gs_fx") + f"""
@@ -428,7 +450,10 @@ ORACLE_SQL: dict[str, str] = {
                       regexp_extract(value, '^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3}) - (.+?) - ([A-Z]+) - (.*)$', 3) as level,
                       regexp_extract(value, '^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3}) - (.+?) - ([A-Z]+) - (.*)$', 4) as message
                     from api_fx
-                    where regexp_matches(value, '^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3}) - (.+?) - ([A-Z]+) - (.*)$')))
+                    where regexp_matches(value, '^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3}) - (.+?) - ([A-Z]+) - (.*)$'))
+              union all
+              select null, null, 'unparsed', null, null, null from api_fx
+              where not regexp_matches(value, '^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3}) - (.+?) - ([A-Z]+) - (.*)$'))
         group by kind, level, method, path, status""",
     "request_plan": with_("models_fx", "default_fx", "pr_fx", "plan_fx") + "select * from plan_fx",
     "prompt_batches": with_("models_fx", "default_fx", "pr_fx", "plan_fx", "pb_fx") + "select * from pb_fx",
@@ -457,4 +482,21 @@ ORACLE_SQL: dict[str, str] = {
                                 group by request_id, batch_no) r
           on r.request_id = n.request_id and r.batch_no = n.batch_no
         where n.n_prompts <> coalesce(r.n_responses, 0)""",
+    "models_json": with_("models_fx", "gens_fx", "usage_fx", "stats_fx") + """
+        select to_json(t)::varchar as json from (select * from stats_fx order by model_name, id) t""",
+    "batch_generate": with_("models_fx", "default_fx", "pr_fx", "plan_fx", "pb_fx") + f"""
+        select b.request_id, b.batch_no, case when any_value(pl.mode) = 'chat' then any_value(b.pos) else 0 end as call_no,
+          case when any_value(pl.mode) = 'chat' then 'chat/completions' else 'completions' end as endpoint,
+          cast(count(*) as int) as n_prompts, 'ok' as status,
+          array_to_string(list(array_to_string(list_reverse(regexp_extract_all(p.prompt, {_q(PY_NON_WHITESPACE_RUN)})), ' ')
+            order by b.pos), chr(10)) as answers, 0.25::double * count(*) as latency
+        from pb_fx b join pr_fx p on p.request_id = b.request_id and p.prompt_no = b.prompt_no
+          join plan_fx pl on pl.request_id = b.request_id
+        group by b.request_id, b.batch_no, case when pl.mode = 'chat' then b.pos else -1 end""",
+    "inference_round_trip": with_("models_fx", "default_fx", "pr_fx", "plan_fx", "pb_fx") + f"""
+        select pl.model_id, count(*) as generations_count, cast(sum({wc('p.prompt')}) as bigint) as tokens_generated_count,
+          cast(sum({wc('p.prompt')}) as double) / (0.25 * count(*)) as avg_tokens_per_second
+        from pb_fx b join pr_fx p on p.request_id = b.request_id and p.prompt_no = b.prompt_no
+          join plan_fx pl on pl.request_id = b.request_id
+        group by pl.model_id""",
 }

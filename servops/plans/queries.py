@@ -102,7 +102,7 @@ def q_run_health(spark, d):
 
 
 def q_run_duration(spark, d):
-    return L.run_duration(fx.log_lines(spark, d))
+    return L.run_duration(fx.log_times(spark, d))
 
 
 def q_log_tail(spark, d):
@@ -117,45 +117,28 @@ def q_message_routes(spark, d):
     return L.message_routes(fx.messages(spark, d))
 
 
-def _crashes(spark, d):
-    return E.crash_buffers(fx.log_lines(spark, d))
-
-
-def _catalog(spark):
-    ok, _rejects = E.validate_catalog(fx.error_catalog(spark))
-    return ok
-
-
 def q_crash_buffer(spark, d):
-    return _crashes(spark, d)
+    return E.crash_buffers(fx.log_lines(spark, d))
 
 
 def q_known_error_match(spark, d):
-    return E.match_known_errors(_crashes(spark, d), _catalog(spark))
+    return E.match_known_errors(fx.log_lines(spark, d), fx.error_catalog(spark))
 
 
-def _mined(spark, d):
-    # Crashes and the validated catalog feed matching, mining and counting:
-    # materialise them once (reliable checkpoint) instead of rebuilding the
-    # buffers from the whole log for every branch.
-    crashes = cut_lineage(_crashes(spark, d))
-    cat = cut_lineage(_catalog(spark))
-    hits = E.match_known_errors(crashes, cat)
-    first_id = cat.agg(F.max("id")).first()[0] or 0
-    return crashes, cat, E.mine_new_errors(crashes, hits, int(first_id))
+def _error_job(spark, d):
+    return E.ErrorJob(fx.log_lines(spark, d), fx.error_catalog(spark))
 
 
 def q_new_error_mining(spark, d):
-    return _mined(spark, d)[2]
+    return _error_job(spark, d).mined
 
 
 def q_error_occurrences(spark, d):
-    crashes, cat, mined = _mined(spark, d)
-    return E.error_occurrences(crashes, cat, mined)
+    return _error_job(spark, d).occurrences()
 
 
 def q_error_ranking(spark, d):
-    return E.error_ranking(q_error_occurrences(spark, d))
+    return E.error_ranking(_error_job(spark, d).occurrences())
 
 
 def q_gpu_samples(spark, d):
@@ -237,12 +220,12 @@ def q_batch_mismatch(spark, d):
 
 def q_batch_generate(spark, d):
     calls = _calls(spark, d)[3]
-    return I.generate(calls, I.echo_model)
+    return I.answers(I.generate(calls, I.echo_model, timer=I.fixed_time))
 
 
 def q_inference_round_trip(spark, d):
     prompts, plan, batches, calls = _calls(spark, d)
-    responses = I.generate(calls, I.echo_model)
+    responses = I.generate(calls, I.echo_model, timer=I.fixed_time)
     gens = I.generation_rows(prompts, plan, batches, responses, F.lit(GENERATED_AT))
     return U.usage_rollup(gens)
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LINE_RE = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3}) - (.+?) - ([A-Z]+) - (.*)$"
+TIME_RE = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3}$"
+LEVEL_RE = r"^[A-Z]+$"
 REQUEST_RE = r"^Request: ([A-Z]+) (\S+)$"
 RESPONSE_RE = r"^Response: (\d{3})$"
 PATH_RE = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)"
@@ -17,25 +18,27 @@ def read_api_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
-    v = F.col("value")
-    msg = F.regexp_extract(v, LINE_RE, 4)
-    ok = v.rlike(LINE_RE)
-    t = lines.where(ok).select(
-        F.regexp_extract(v, LINE_RE, 1).alias("asctime"), F.regexp_extract(v, LINE_RE, 2).alias("logger"),
-        F.regexp_extract(v, LINE_RE, 3).alias("level"), msg.alias("message"))
-    m = F.col("message")
-    kind = (F.when(m.rlike(REQUEST_RE), F.lit("request")).when(m.rlike(RESPONSE_RE), F.lit("response"))
-            .otherwise(F.lit("other")))
-    url = F.regexp_extract(m, REQUEST_RE, 2)
+    """One row per line. A line without the ``asctime - name - level - `` head is kept as ``unparsed``
+    (a message of several lines continues on such lines)."""
+    parts = F.split("value", " - ", 4)
+    t = lines.select(parts.alias("p"))
+    ok = (F.size("p") == 4) & F.col("p")[0].rlike(TIME_RE) & F.get("p", 2).rlike(LEVEL_RE)
+    t = t.select(F.when(ok, F.struct(F.get("p", 0).alias("asctime"), F.get("p", 1).alias("logger"), F.get("p", 2).alias("level"),
+                                     F.get("p", 3).alias("message"))).alias("h"))
+    m = F.col("h.message")
+    words = F.split(m, " ")
+    is_request, is_response = m.rlike(REQUEST_RE), m.rlike(RESPONSE_RE)
+    kind = (F.when(F.col("h").isNull(), F.lit("unparsed")).when(is_request, F.lit("request"))
+            .when(is_response, F.lit("response")).otherwise(F.lit("other")))
     return t.select(
-        "asctime", "logger", "level", kind.alias("kind"),
-        F.when(kind == "request", F.regexp_extract(m, REQUEST_RE, 1)).alias("method"),
-        F.when(kind == "request", F.regexp_extract(url, PATH_RE, 1)).alias("path"),
-        F.when(kind == "response", F.regexp_extract(m, RESPONSE_RE, 1).cast("int")).alias("status"))
+        "h.asctime", "h.logger", "h.level", kind.alias("kind"),
+        F.when(is_request, F.get(words, 1)).alias("method"),
+        F.when(is_request, F.regexp_extract(F.get(words, 2), PATH_RE, 1)).alias("path"),
+        F.when(is_response, F.get(words, 1).cast("int")).alias("status"))
 
 
 def summarize(parsed: DataFrame) -> DataFrame:
-    """Requests by method and path, responses by status (``other`` lines by level)."""
+    """Requests by method and path, responses by status, other lines by level, and how many lines didn't parse."""
     return parsed.groupBy("kind", "level", "method", "path", "status").agg(
         F.count(F.lit(1)).alias("n_lines"), F.min("asctime").alias("first_seen"),
         F.max("asctime").alias("last_seen"))

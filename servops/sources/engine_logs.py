@@ -2,53 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: ``03-15 10:20:30`` or ``2024-03-15 10:20:30`` in a line
+LINE_TIME = r"(?:(\d{4})-)?(\d{2}-\d{2} \d{2}:\d{2}:\d{2})"
 
-def _order_multiplier(spark: SparkSession) -> int:
-    """A power of two above the row count any scan partition can hold.
 
-    A partition holds at most ``maxPartitionBytes`` of file data and every
-    line takes at least one byte, so its row count stays below this.
-    """
-    max_bytes = _parse_bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
-    return 1 << (2 * max_bytes).bit_length()
+def line_time(line: Column, changed: Column) -> Column:
+    """The time written in a line; the year, if the line has none, and the whole, if it has no time, from ``changed``."""
+    year = F.coalesce(F.nullif(F.regexp_extract(line, LINE_TIME, 1), F.lit("")), F.date_format(changed, "yyyy"))
+    stamp = F.nullif(F.regexp_extract(line, LINE_TIME, 2), F.lit(""))
+    when = F.try_to_timestamp(F.concat_ws("-", year, stamp), F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")
+    return F.coalesce(F.when(stamp.isNotNull(), when), changed)
 
 
-def _parse_bytes(text: str) -> int:
-    units = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
-    t = text.strip().lower().rstrip("b") or "0"
-    if t[-1] in units:
-        return int(float(t[:-1]) * units[t[-1]])
-    return int(t)
+def read_engine_logs(spark: SparkSession, path: str) -> DataFrame:
+    """``(run_id, line_no, ts, line)`` where a run is a file and lines are numbered from 0.
 
+    A text split carries no line number. Rows of one split are contiguous in one scan partition, in file order,
+    so a row's place in its split comes from its place in the partition; the lines of the splits before it
+    are counted in a scan of their own (one row a split comes out of it). Files may be of any size.
 
-def read_engine_logs(spark: SparkSession, path: str) -> DataFrame:
-    """``(run_id, line_no, ts, line)`` where a run is a file.
-
-    A text split carries no line number. Rows of one split are contiguous in
-    one scan partition, in file order, and a partition holds fewer rows than
-    ``M`` (``_order_multiplier``), so ``split start * M + row index in the
-    partition`` orders the lines of a file and is unique: a later split
-    starts at least one byte further, i.e. ``M`` higher. The key must fit in
-    a long: files of ``2^63 / M`` bytes or more (34 GB at the 128 MB
-    default; lower ``maxPartitionBytes`` for larger files) raise an error
-    instead of mis-ordering.
+    ``ts`` is the time written in the line (the year, if the line has none, is that of the file's modification),
+    else the file's modification time.
     """
-    m = _order_multiplier(spark)
-    limit = (1 << 63) // m
-    t = spark.read.option("wholetext", "false").text(path)
-    local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    key = F.when(F.col("_metadata.file_size") < F.lit(limit),
-                 F.col("_metadata.file_block_start") * F.lit(m) + local) \
-        .otherwise(F.raise_error(F.lit(f"log file too large for line ordering (limit {limit} bytes)")))
-    return t.select(
-        F.col("_metadata.file_path").alias("run_id"),
-        key.cast("long").alias("line_no"),
-        F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("ts"),
-        F.col("value").alias("line"),
-    )
+    t = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("run_id"), F.col("_metadata.file_block_start").alias("_start"),
+        F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("_changed"),
+        F.monotonically_increasing_id().alias("_row"), F.col("value").alias("line"))
+    splits = t.groupBy("run_id", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+    before = Window.partitionBy("run_id").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("run_id", "_start", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return t.join(splits, ["run_id", "_start"]).select(
+        "run_id", (F.col("_row") + F.col("_shift")).alias("line_no"),
+        line_time(F.col("line"), F.col("_changed")).alias("ts"), "line")
 
 
 def read_csv_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -95,6 +95,11 @@ def model_path_lookups(spark: SparkSession, d: str) -> DataFrame:
                  (pk + pk % 2).cast("string")).alias("model_path"))
 
 
+def log_times(spark: SparkSession, d: str) -> DataFrame:
+    """Engine log lines without their text, for jobs that only need run and time."""
+    return read_table(spark, d, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("line_no"), "ts")
+
+
 def log_lines(spark: SparkSession, d: str) -> DataFrame:
     """Engine log lines: one run per user, events in id order are the lines."""
     e = read_table(spark, d, "events").select("user_id", "event_id", "ts", "event_type", "value",
@@ -111,6 +116,8 @@ def log_lines(spark: SparkSession, d: str) -> DataFrame:
         .when((et == "error") & (k >= 30),
               F.concat(F.lit("ValueError: No base configuration found for model m"),
                        (k % 5).cast("string")))
+        .when((et == "error") & (k < 4),
+              F.concat(F.lit("ValueError: Größe überschritten in shard "), k.cast("string")))
         .when(et == "error", F.concat(F.lit("Exception: worker "), (k % 3).cast("string"), F.lit(" died")))
         .when(et == "view",
               F.concat(F.lit("Loading shards: "), k.cast("string"), F.lit("%|"),
@@ -134,10 +141,10 @@ def log_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def run_models(spark: SparkSession, d: str) -> DataFrame:
-    """Which model configuration each log run served (run r served model id r)."""
+    """Which model configuration each log run served (run r served model id r % 40: several runs a model)."""
     e = read_table(spark, d, "events")
     return e.select(F.col("user_id").alias("run_id")).distinct() \
-        .withColumn("model_id", F.col("run_id").cast("int"))
+        .withColumn("model_id", (F.col("run_id") % 40).cast("int"))
 
 
 def error_catalog(spark: SparkSession) -> DataFrame:
@@ -148,6 +155,11 @@ def error_catalog(spark: SparkSession) -> DataFrame:
         (2, r"no base configuration found for model m[12]", "Missing base configuration",
          "Register a base configuration for the model", 2, "2024-01-01 00:00:00"),
         (3, r"worker 9 died", "Worker nine died", "Restart the worker pool", 0, "2024-01-01 00:00:00"),
+        (4, r"(?P<who>worker) (?P<no>0) died", "Worker zero died", "Restart the worker pool", 1, "2024-01-01 00:00:00"),
+        (5, r"gr\w{2}e \w+schritten in shard [01]\b", "Shard too large", "Split the shard", 0, "2024-01-01 00:00:00"),
+        (6, r"worker (1 died", "Not a pattern", "", 7, "2024-01-01 00:00:00"),
+        (7, r"worker 2 died\nValueError", "Worker two died, then a value error", "", 0, "2024-01-01 00:00:00"),
+        (9, r"\p{L}+ died", "Not a Python pattern", "", 0, "2024-01-01 00:00:00"),
     ]
     return spark.createDataFrame(
         rows, "id int, error_pattern string, error_message string, solution string, "
@@ -178,8 +190,7 @@ def gpu_csv_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gpu_process_csv_lines(spark: SparkSession, d: str) -> DataFrame:
-    e = read_table(spark, d, "events").where(F.col("event_type").isin("purchase", "signup")) \
-        .select("event_id", "user_id", "value", _k().alias("k"))
+    e = read_table(spark, d, "events").select("event_id", "user_id", "value", _k().alias("k"))
     k = F.col("k")
     eid = F.col("event_id")
     name = (F.when(k % 3 == 0, F.lit("/usr/bin/python3"))
@@ -204,7 +215,8 @@ def api_log_lines(spark: SparkSession, d: str) -> DataFrame:
            .otherwise(F.concat(F.lit("Response: "),
                                F.when(et == "error", F.lit("500")).when(k >= 95, F.lit("404"))
                                .otherwise(F.lit("200")))))
-    line = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss,SSS"), F.lit(" - vllm-api - INFO - "), msg)
+    line = F.when(eid % 37 == 0, F.lit("  File \"server.py\", line 1 - in main")).otherwise(
+        F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss,SSS"), F.lit(" - vllm-api - INFO - "), msg))
     return _as_table(e.select(eid.alias("line_no"), line.alias("value")))
 
 
@@ -226,6 +238,9 @@ def messages(spark: SparkSession, d: str) -> DataFrame:
                  js("error", F.concat(F.lit('{"known": false, "message": '), q(k_line), F.lit("}"))))
            .when(k_line.contains("Maximum concurrency"), js("status", F.lit('{"running": true}')))
            .when(ln % 5 == 0, k_line)
+           .when(ln % 7 == 0, F.concat(F.lit("["), ln.cast("string"), F.lit("]")))
+           .when(ln % 11 == 0, F.lit('"x"'))
+           .when(ln % 13 == 0, ln.cast("string"))
            .otherwise(js("output", q(k_line))))
     return _as_table(lines.select(ln.alias("msg_id"), msg.alias("message")))
 

@@ -1,88 +1,116 @@
 """R2: live crash detection over streaming engine-log lines.
 
-Error-ish lines are kept per run in ``applyInPandasWithState`` state (the
-reference never clears its buffer); every crash sentinel emits the buffer
-so far. A run whose log is silent for ``idle`` of *event time* is finished
-and its state dropped: the timeout follows a watermark on the line
-timestamp, so replaying old logs (or an ``availableNow`` trigger) ends, and
-a restarted job times runs out exactly as the first attempt did. A
-processing-time timeout would keep scheduling empty state-cleanup batches.
-``foreachBatch`` then matches each micro-batch of
-crashes against the catalog (known errors) and mines the rest.
+Error-ish lines are kept per run in ``applyInPandasWithState`` state (the reference never clears its buffer);
+every crash sentinel emits the buffer so far at once. A line that arrives late, but inside the watermark, takes
+its place by line number, and the crashes after it are emitted again with a higher ``turn``: of each crash
+the row of the highest turn counts. A run whose log is silent for ``idle`` of *event time* is finished: if it
+never crashed, its buffer is emitted once with ``at_end``, and its state is dropped. The timeout follows a
+watermark on the line timestamp, so replaying old logs (or an ``availableNow`` trigger) ends, and a restarted
+job times runs out exactly as the first attempt did. ``foreachBatch`` then matches each micro-batch
+against the catalog (known errors) and mines the rest.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
 from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import logs as L
 from ..operators import errors as E
+from ..sources.engine_logs import line_time
 
-OUTPUT_SCHEMA = "run_id long, line_no long, ts timestamp_ntz, crash_no long, n_lines long, buffer string"
-STATE_SCHEMA = "buffer string, n_lines long, crash_no long, last_line_no long"
+OUTPUT_FIELDS = ("line_no long, ts timestamp_ntz, crash_no long, n_lines long, buffer string, at_end boolean, "
+                 "turn long")
+STATE_SCHEMA = "lines string, turn long, last_ms long"
+_KEPT = ["line_no", "ts", "line", "is_crash"]
+
+
+def stream_engine_logs(spark: SparkSession, path: str) -> DataFrame:
+    """Streaming (run_id, line_no, ts, line) of log files, each a finished run read whole when it appears."""
+    files = spark.readStream.text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("run_id"),
+        F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("_changed"),
+        F.regexp_replace("value", r"\n$", "").alias("_whole"))
+    lines = files.select("run_id", "_changed", F.posexplode(F.split("_whole", "\n")).alias("line_no", "line"))
+    return lines.select("run_id", F.col("line_no").cast("long").alias("line_no"),
+                        line_time(F.col("line"), F.col("_changed")).alias("ts"), "line")
 
 
 def _crash_fn(idle_ms: int):
+    def rows_of(key, lines: pd.DataFrame, at, turn: int, at_end: bool):
+        """An output row for each position in ``at``: the buffer holds the lines up to it."""
+        crash_no = lines["is_crash"].cumsum()
+        return pd.DataFrame([(key[0], lines["line_no"].iat[i], lines["ts"].iat[i], int(crash_no.iat[i]) + at_end, i + 1,
+                              "".join(lines["line"].iloc[:i + 1] + "\n"), at_end, turn) for i in at],
+                            columns=["run_id", "line_no", "ts", "crash_no", "n_lines", "buffer", "at_end", "turn"])
+
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        text, turn, last_ms = state.get if state.exists else ("[]", 0, 0)
+        lines = pd.DataFrame(json.loads(text), columns=_KEPT)
+        lines["ts"] = pd.to_datetime(lines["ts"])
         if state.hasTimedOut:
             state.remove()
+            if len(lines) and not lines["is_crash"].any():
+                yield rows_of(key, lines, [len(lines) - 1], turn + 1, True)
             return
-        if state.exists:
-            buffer, n_lines, crash_no, last = state.get
-        else:
-            buffer, n_lines, crash_no, last = "", 0, 0, -1
-        parts = [buffer]
-        out = []
-        batch = pd.concat(list(pdfs), ignore_index=True).sort_values("line_no")
-        for r in batch.itertuples(index=False):
-            if r.line_no <= last:
-                continue  # replayed line
-            parts.append(r.line + "\n")
-            n_lines += 1
-            last = r.line_no
-            if r.is_crash:
-                crash_no += 1
-                buffer = "".join(parts)
-                parts = [buffer]
-                out.append((key[0], r.line_no, r.ts, crash_no, n_lines, buffer))
-        state.update(("".join(parts), n_lines, crash_no, last))
-        state.setTimeoutTimestamp(int(batch["event_ms"].max()) + idle_ms)
-        if out:
-            yield pd.DataFrame(out, columns=["run_id", "line_no", "ts", "crash_no", "n_lines", "buffer"])
+        new = pd.concat(list(pdfs), ignore_index=True)
+        known = set(lines["line_no"])
+        fresh = new[~new["line_no"].isin(known)].drop_duplicates("line_no")
+        last_ms = max(last_ms, int(new["event_ms"].max()))
+        if len(fresh):
+            turn += 1
+            lines = pd.concat([lines, fresh[_KEPT]], ignore_index=True) if len(lines) else fresh[_KEPT]
+            lines = lines.sort_values("line_no", ignore_index=True)
+            lines["is_crash"] = lines["is_crash"].astype(bool)
+            # crashes at or after the first line that is new
+            first = int(lines["line_no"].searchsorted(fresh["line_no"].min()))
+            at = [int(i) for i in lines.index[lines["is_crash"]] if i >= first]
+            if at:
+                yield rows_of(key, lines, at, turn, False)
+        kept = lines.assign(ts=lines["ts"].astype(str))[_KEPT]
+        state.update((json.dumps(kept.values.tolist()), turn, last_ms))
+        state.setTimeoutTimestamp(max(last_ms + idle_ms, state.getCurrentWatermarkMs() + 1))
     return fn
 
 
 def live_crashes(lines: DataFrame, idle_minutes: int = 30) -> DataFrame:
-    """``lines``: streaming (run_id, line_no, ts, line). Returns one row per crash.
+    """``lines``: streaming (run_id, line_no, ts, line). Returns rows per crash and per finished run without one.
 
-    Lines later than the watermark (``idle_minutes`` behind the newest
-    timestamp seen) are dropped, so they must arrive within that delay.
+    Lines later than the watermark (``idle_minutes`` behind the newest timestamp seen) are dropped, so they
+    must arrive within that delay.
     """
     e = (lines.withColumn("event_time", F.col("ts").cast("timestamp"))
               .withWatermark("event_time", f"{idle_minutes} minutes")
               .where(L.is_errorish("line"))
               .select("run_id", "line_no", "ts", "line", L.is_crash_sentinel("line").alias("is_crash"),
                       F.unix_millis("event_time").alias("event_ms"), "event_time"))
+    kind = lines.schema["run_id"].dataType.simpleString()
     return e.groupBy("run_id").applyInPandasWithState(
-        _crash_fn(idle_minutes * 60 * 1000), OUTPUT_SCHEMA, STATE_SCHEMA, "append",
+        _crash_fn(idle_minutes * 60 * 1000), f"run_id {kind}, {OUTPUT_FIELDS}", STATE_SCHEMA, "append",
         GroupStateTimeout.EventTimeTimeout)
 
 
+def final_crashes(rows: DataFrame) -> DataFrame:
+    """The row of the highest turn of each crash."""
+    rest = [c for c in rows.columns if c not in ("run_id", "line_no")]
+    return rows.groupBy("run_id", "line_no").agg(F.max_by(F.struct(*rest), "turn").alias("_r")) \
+        .select("run_id", "line_no", "_r.*")
+
+
 def _write_epoch(df: DataFrame, path: str, epoch_id: int) -> None:
-    """Write a micro-batch as its own ``epoch`` partition; a replayed epoch overwrites it."""
-    (df.withColumn("epoch", F.lit(epoch_id).cast("long")).write.mode("overwrite")
-       .option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(path))
+    """Write a micro-batch as its own ``epoch`` folder; a replayed epoch replaces it, with no rows as well."""
+    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/epoch={epoch_id}")
 
 
 def _earlier_epochs(spark, path: str, epoch_id: int) -> DataFrame | None:
     try:
-        return spark.read.parquet(path).where(F.col("epoch") < epoch_id)
+        return spark.read.option("basePath", path).parquet(f"{path.rstrip('/')}/epoch=*").where(F.col("epoch") < epoch_id)
     except AnalysisException:  # nothing written yet
         return None
 
@@ -90,10 +118,9 @@ def _earlier_epochs(spark, path: str, epoch_id: int) -> DataFrame | None:
 def alert_batch(catalog: DataFrame, hits_path: str, new_errors_path: str):
     """``foreachBatch`` handler: known-error hits and newly mined errors of a micro-batch.
 
-    Crashes are matched against the catalog and every error mined in earlier
-    epochs, so a new error is mined once and later crashes count as its hits.
-    New ids continue after the largest id so far. Each epoch is written as
-    its own partition, so a replayed epoch replaces its rows.
+    Buffers are matched once against the catalog and every error mined in earlier epochs, so a new error
+    is mined once and later crashes count as its hits. Ends of runs only match. New ids continue after the
+    largest id of the whole catalog and of the earlier epochs. A replayed epoch replaces its rows.
     """
     cols = ["id", "error_pattern", "error_message", "solution"]
 
@@ -101,15 +128,16 @@ def alert_batch(catalog: DataFrame, hits_path: str, new_errors_path: str):
         spark = crashes.sparkSession
         crashes = crashes.persist()
         try:
-            ok, _ = E.validate_catalog(catalog)
-            known = ok.select(*cols)
+            known = catalog.select(*cols)
             prior = _earlier_epochs(spark, new_errors_path, epoch_id)
             if prior is not None:
                 known = known.unionByName(prior.select(*cols))
-            hits = E.match_known_errors(crashes, known)
-            _write_epoch(hits, hits_path, epoch_id)
+            found = E.search_buffers(crashes, known).persist()
+            _write_epoch(E.with_entries(found, known), hits_path, epoch_id)
             first_id = known.agg(F.max("id")).first()[0] or 0
-            _write_epoch(E.mine_new_errors(crashes, hits, int(first_id)), new_errors_path, epoch_id)
+            unmatched = E.unmatched_crashes(crashes, found)
+            _write_epoch(E.new_entries(E.messages_of_buffers(unmatched), int(first_id)), new_errors_path, epoch_id)
+            found.unpersist()
         finally:
             crashes.unpersist()
     return handle

@@ -9,10 +9,11 @@ from ..operators.gpu import latest_per_gpu, parse_gpu_samples
 
 
 def live_gpu_latest(spark: SparkSession, path: str) -> DataFrame:
-    lines = spark.readStream.text(path).select(
+    """Each file is one poll, read whole: its lines keep their order, and of a GPU's lines the last one counts."""
+    files = spark.readStream.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("ts"),
-        F.col("value").alias("line"))
-    samples = parse_gpu_samples(lines.withColumn("sample_id", F.xxhash64("file", "line")),
-                                keep=("sample_id", "ts"))
-    return latest_per_gpu(samples)
+        F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("ts"), F.col("value").alias("_whole"))
+    lines = files.select("file", "ts", F.posexplode(F.split("_whole", "\n")).alias("_at", "line")) \
+        .withColumn("sample_id", F.struct("file", "_at"))
+    return latest_per_gpu(parse_gpu_samples(lines, keep=("sample_id", "ts"))) \
+        .withColumns({"file": F.col("sample_id.file"), "line_no": F.col("sample_id._at")}).drop("sample_id")

@@ -34,13 +34,13 @@ def start(df: DataFrame, checkpoint: str, sink: str = "memory", query_name: str
 
 
 def start_to_parquet(df: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
-    """Append every micro-batch of changed totals with its epoch (restartable).
+    """Write every micro-batch of changed totals as its epoch's partition (restartable).
 
-    A replayed epoch rewrites identical rows, so readers that keep the
-    latest epoch per model (``current_totals``) see each model once.
+    A replayed epoch replaces its rows; readers keep the latest epoch per model (``current_totals``).
     """
     def write(batch: DataFrame, epoch_id: int) -> None:
-        batch.withColumn("epoch", F.lit(epoch_id)).write.mode("append").parquet(path)
+        batch.withColumn("epoch", F.lit(epoch_id).cast("long")).write.mode("overwrite") \
+            .option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(path)
     return (df.writeStream.outputMode("update").foreachBatch(write)
               .option("checkpointLocation", checkpoint)
               .trigger(**(trigger or {"processingTime": "5 seconds"})).start())

@@ -7,9 +7,10 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from servops.session import build_session
-    s = build_session(master="local[4]", shuffle_partitions=4, extra={"spark.driver.memory": "4g"})
+    s = build_session(master="local[4]", shuffle_partitions=4, extra={
+        "spark.driver.memory": "4g", "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints"))})
     yield s
     s.stop()
 

@@ -72,3 +72,22 @@ def test_retry(spark):
             raise RuntimeError("try again")
         return ["ok"] * len(prompts)
     assert I._call_with_retry(flaky, ["a"], {}, 3, 0, 0) == ["ok"]
+
+
+def test_calls_spread_and_a_failing_call_is_one_row(spark):
+    calls = spark.createDataFrame([(i, 0, 0, "completions", [f"p {i}"], None) for i in range(64)],
+                                  "request_id long, batch_no long, call_no int, endpoint string, prompts array<string>, params_json string")
+
+    def model(prompts, params):
+        if prompts == ["p 7"]:
+            raise ValueError("no")
+        return [p.upper() for p in prompts]
+    out = I.generate(calls, model, attempts=2, wait_min=0, wait_max=0, partitions=8, timer=I.fixed_time, materialize=False)
+    assert len({r[0] for r in out.select(F.spark_partition_id()).collect()}) >= 6
+    rows = {r.request_id: r for r in out.collect()}
+    assert len(rows) == 64 and [i for i, r in rows.items() if r.status == "failed"] == [7]
+    assert rows[7].response is None and rows[7].error == "ValueError: no" and rows[3].latency == 0.25
+    broken = out.where("request_id < 3").withColumn("response", F.when(F.col("request_id") == 1, F.lit("{oops")).otherwise(F.col("response")))
+    assert [(r.request_id, r.reason) for r in I.failed_calls(broken).collect()] == [(1, "unparsable reply")]
+    assert [(r.request_id, r.reason) for r in I.failed_calls(out).collect()] == [(7, "ValueError: no")]
+    assert {r.request_id: r.answers for r in I.answers(out).collect()}[5] == "P 5"

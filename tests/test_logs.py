@@ -53,6 +53,16 @@ def test_concurrency_truncates_and_last_wins(spark):
     assert got == {100: (3, 3), 200: (9, 4)}
 
 
+def test_concurrency_of_several_runs(spark):
+    line = "INFO x Maximum concurrency for 4096 tokens per request: "
+    df = _lines(spark, [(1, 50, 10, line + "4.0x"), (1, 60, 20, line + "5.0x"), (2, 1, 86400, line + "9.0x"),
+                        (3, 1, 5, line + "99999999999999.0x"), (3, 2, 6, line + "1.2.3x")])
+    runs = spark.createDataFrame([(1, 100), (2, 100), (3, 100)], "run_id long, model_id int")
+    models = spark.createDataFrame([(100, "a", None)], "id int, model_name string, max_batch_size int")
+    # the earliest run with a value decides, its last line wins, whatever the line numbers of other runs
+    assert [r.max_batch_size for r in L.max_batch_backfill(df, runs, models).collect()] == [5]
+
+
 def test_run_health_precedence_and_tail(spark):
     df = _lines(spark, [(1, 1, 0, "CUDA error old"), (1, 2, 1, "ok"), (1, 3, 2, "ok"),
                         (2, 4, 0, "Press Enter to close this session"), (2, 5, 1, "RuntimeError: x"),
@@ -80,7 +90,21 @@ def test_message_routes(spark):
     msgs = spark.createDataFrame([(1, '{"type": "pong"}'), (2, '{"type": "output", "data": "hi"}'),
                                   (3, "bare text"), (4, '{"type": "progress", "data": "5%|█|"}'),
                                   (5, '{"type": "error", "data": {"known": true, "message": "boom"}}'),
-                                  (6, '{"type": "other"}')], "msg_id long, message string")
+                                  (6, '{"type": "other"}'), (7, "123"), (8, "[1]"), (9, '"x"'), (10, "null"),
+                                  (11, "{broken")], "msg_id long, message string")
     got = {r.msg_id: (r.route, r.body) for r in L.message_routes(msgs).collect()}
     assert got == {2: ("output", "hi"), 3: ("text", "bare text"), 4: ("progress", "5%|█|"),
-                   5: ("error", "boom"), 6: ("ignored", None)}
+                   5: ("error", "boom"), 6: ("ignored", None), 7: ("ignored", None), 8: ("ignored", None),
+                   9: ("ignored", None), 10: ("ignored", None), 11: ("text", "{broken")}
+
+
+def test_unescape_keeps_every_line(spark):
+    df = _lines(spark, [(1, 1, 0, "plain"), (1, 2, 1, "a \\u2588 b"), (1, 3, 2, "")])
+    assert {r.line_no: r.text for r in L.log_unescape(df).collect()} == {1: "plain", 2: "a █ b", 3: ""}
+
+
+def test_run_health_over_block_ends(spark):
+    rows = [(1, n, n, "CUDA error") for n in range(65_530, 65_536)] + [(1, n, n, "fine") for n in range(65_536, 65_540)]
+    df = _lines(spark, rows)
+    assert [(r.status, r.n_lines) for r in L.run_health(df, tail=4).collect()] == [("running", 4)]
+    assert [(r.status, r.n_lines) for r in L.run_health(df, tail=5).collect()] == [("error", 5)]

@@ -1,14 +1,7 @@
 import os
 import tempfile
 
-from servops.sources.engine_logs import _parse_bytes, read_engine_logs
-
-
-def test_parse_bytes():
-    assert _parse_bytes("128m") == 128 << 20
-    assert _parse_bytes("128MB") == 128 << 20
-    assert _parse_bytes("134217728b") == 134217728
-    assert _parse_bytes("1024") == 1024
+from servops.sources.engine_logs import read_engine_logs
 
 
 def test_engine_log_order_across_splits_and_packed_files(spark):
@@ -31,8 +24,16 @@ def test_engine_log_order_across_splits_and_packed_files(spark):
     for r in sorted(rows, key=lambda r: (r.run_id, r.line_no)):
         got.setdefault(os.path.basename(r.run_id), []).append(r.line)
     assert got == expected
-    keys = [(r.run_id, r.line_no) for r in rows]
-    assert len(set(keys)) == len(keys)
+    for name, lines in expected.items():  # numbered from 0 without gaps
+        assert sorted(r.line_no for r in rows if r.run_id.endswith(name)) == list(range(len(lines)))
+
+
+def test_line_times_give_a_run_its_duration(spark):
+    from servops.operators.logs import run_duration
+    d = tempfile.mkdtemp(prefix="servops-logs-")
+    with open(os.path.join(d, "a.log"), "w") as h:
+        h.write("INFO 2024-03-15 10:00:00 start\nINFO 2024-03-15 11:02:03 end\n")
+    assert [r.uptime for r in run_duration(read_engine_logs(spark, d)).collect()] == ["1h 2m 3s"]
 
 
 def test_api_log_files_and_sinks(spark):
@@ -48,16 +49,31 @@ def test_api_log_files_and_sinks(spark):
     parsed = api_log.parse_lines(api_log.read_api_log(spark, os.path.join(d, "*.log")))
     got = {(r.kind, r.method, r.path, r.status): r.n_lines for r in api_log.summarize(parsed).collect()}
     assert got == {("request", "GET", "/api/models", None): 1, ("response", None, None, 200): 1,
-                   ("response", None, None, 500): 1}
-    # generations sink: partitioned by day, appends accumulate
+                   ("response", None, None, 500): 1, ("unparsed", None, None, None): 1}
+
+
+def test_appended_tables_read_back_and_retries_add_nothing(spark):
+    from pyspark.sql import functions as F
+
+    from servops.sources import sinks, tables
+    d = tempfile.mkdtemp(prefix="servops-sinks-")
     gens = spark.createDataFrame([(1, 5, 0.5, "2024-01-01 10:00:00"), (2, 3, 0.0, "2024-01-02 09:00:00")],
                                  "model_id int, tokens_generated int, time_taken double, generated_at string") \
         .withColumn("generated_at", F.to_timestamp_ntz("generated_at"))
     out = os.path.join(d, "gens")
-    sinks.append_generations(gens, out)
-    sinks.append_generations(gens, out)
-    back = spark.read.parquet(out)
-    assert back.count() == 4
-    assert sorted(str(r.gen_date) for r in back.select("gen_date").distinct().collect()) == \
-        ["2024-01-01", "2024-01-02"]
-    assert back.where("gen_date = '2024-01-02'").count() == 2
+    for batch in ("a", "b", "b", "a"):
+        sinks.append_generations(gens, out, batch, ["generated_at", "model_id"])
+    back = tables.read_generations(spark, out)
+    rows = back.collect()
+    assert len(rows) == 4 and len({r.id for r in rows}) == 4
+    assert sorted(str(r.gen_date) for r in rows) == ["2024-01-01"] * 2 + ["2024-01-02"] * 2
+    assert back.where("gen_date = '2024-01-02'").count() == 2 and "batch" not in back.columns
+    models = spark.createDataFrame([(1, "m", "/p", 1)], "id int, model_name string, model_path string, max_model_len int")
+    errors = spark.createDataFrame([(1, "p", "m", "s", None)], "id int, error_pattern string, error_message string, solution string, first_seen timestamp_ntz")
+    for batch in ("x", "x", "y"):
+        sinks.append_models(models, os.path.join(d, "models"), batch)
+        sinks.append_errors(errors, os.path.join(d, "errors"), batch)
+    assert [(r.id, r.model_path, r.max_batch_size) for r in tables.read_models(spark, os.path.join(d, "models")).collect()] == [(1, "/p", None)] * 2
+    assert [r.initial_count for r in tables.read_errors(spark, os.path.join(d, "errors")).collect()] == [0, 0]
+    sinks.write_json(sinks.to_json_lines(models), os.path.join(d, "json"))
+    assert spark.read.json(os.path.join(d, "json")).count() == 1

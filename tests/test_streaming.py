@@ -1,3 +1,4 @@
+import datetime as dt
 import os
 import tempfile
 
@@ -54,17 +55,59 @@ def test_live_crashes_equal_batch(spark):
     run()
     late.write.parquet(os.path.join(d, "logs", "p2"))
     run()
-    got = sorted((r.run_id, r.line_no, r.crash_no, r.buffer) for r in spark.read.parquet(out).collect())
+    rows = crash_stream.final_crashes(spark.read.parquet(out))
+    got = sorted((r.run_id, r.line_no, r.crash_no, r.buffer) for r in rows.collect() if not r.at_end)
     exp = sorted((r.run_id, r.line_no, r.crash_no, r.buffer) for r in E.crash_buffers(lines).collect())
     assert got == exp and len(got) > 0
 
 
+def _days(spark, rows):
+    t0 = dt.datetime(2024, 1, 1)
+    return spark.createDataFrame([(r, n, t0 + dt.timedelta(minutes=m), l) for r, n, m, l in rows],
+                                 "run_id long, line_no long, ts timestamp_ntz, line string")
+
+
+def test_late_lines_and_runs_that_end_without_a_crash(spark):
+    d = _scratch()
+    sent = "RuntimeError: Server process terminated unexpectedly"
+    parts = [[(1, 2, 2, "Error: b"), (1, 4, 4, sent), (2, 1, 1, "Error: only")],
+             [(1, 1, 1, "Error: a"), (1, 3, 3, "Exception: late"), (1, 6, 6, sent)],  # out of order, inside the watermark
+             [(3, 1, 500, "Error: much later")], [(3, 2, 501, "Error: x")], [(3, 3, 2000, "Error: y")], [(3, 4, 2001, "Error: z")]]
+    src = spark.readStream.schema("run_id long, line_no long, ts timestamp_ntz, line string").parquet(os.path.join(d, "logs", "*"))
+    live = crash_stream.live_crashes(src, idle_minutes=30)
+    out = os.path.join(d, "out")
+    for k, rows in enumerate(parts):
+        _days(spark, rows).coalesce(1).write.parquet(os.path.join(d, "logs", f"p{k}"))
+        (live.writeStream.outputMode("append").format("parquet").option("path", out)
+             .option("checkpointLocation", os.path.join(d, "ck")).trigger(availableNow=True).start().awaitTermination())
+    lines = _days(spark, [r for p in parts for r in p if r[0] < 3])
+    got = crash_stream.final_crashes(spark.read.parquet(out)).where("run_id < 3").collect()
+    exp = sorted((r.run_id, r.line_no, r.crash_no, r.buffer) for r in E.crash_buffers(lines).collect())
+    assert sorted((r.run_id, r.line_no, r.crash_no, r.buffer) for r in got if not r.at_end) == exp and len(exp) == 2
+    assert [(r.run_id, r.line_no, r.buffer) for r in got if r.at_end] == [(2, 1, "Error: only\n")]
+
+
+def test_log_files_as_a_stream(spark):
+    d = _scratch()
+    os.makedirs(os.path.join(d, "logs"))
+    with open(os.path.join(d, "logs", "a.log"), "w") as f:
+        f.write("INFO 03-15 10:00:00 ok\nERROR 2024-03-15 10:00:05 Error: x\nRuntimeError: Server process terminated unexpectedly\n")
+    df = crash_stream.stream_engine_logs(spark, os.path.join(d, "logs"))
+    out = os.path.join(d, "out")
+    (crash_stream.live_crashes(df, 30).writeStream.outputMode("append").format("parquet").option("path", out)
+     .option("checkpointLocation", os.path.join(d, "ck")).trigger(availableNow=True).start().awaitTermination())
+    got = spark.read.parquet(out).collect()
+    assert [(r.line_no, r.buffer) for r in got] == [
+        (2, "ERROR 2024-03-15 10:00:05 Error: x\nRuntimeError: Server process terminated unexpectedly\n")]
+
+
 def test_live_gpu_latest(spark):
     d = _scratch()
     src = os.path.join(d, "csv")
     os.makedirs(src)
     with open(os.path.join(src, "a.csv"), "w") as f:
-        f.write("0, NVIDIA A0, 40, 10, 100, 200, 50, 300\n1, NVIDIA A1, 40, 20, 100, 200, 50, 300\n")
+        f.write("".join(f"0, NVIDIA A0, 40, {u}, 100, 200, 50, 300\n" for u in (55, 90, 70, 10)) +
+                "1, NVIDIA A1, 40, 1, 100, 200, 50, 300\n1, NVIDIA A1, 40, 20, 100, 200, 50, 300\n")
     df = gpu_stream.live_gpu_latest(spark, src)
     q = (df.writeStream.outputMode("update").format("memory").queryName("gpus")
          .option("checkpointLocation", os.path.join(d, "ck")).trigger(availableNow=True).start())
