@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: share of link text above which a block is bad; characters below which a block without a verdict is ambiguous, and
-#: above which a block rich in stop words is good; shares of stop words for good and for possibly good
+#: share of link text above which a block is bad; characters below which a block is ambiguous, and from which fewer
+#: stop words will do; shares of stop words that make a block good from either length on (below the second: bad)
 LINKS, SHORT, LONG, RICH, POOR = 0.4, 70, 140, 0.25, 0.12
 
 #: Frequent function words of European languages.
@@ -49,8 +49,8 @@ LEFT_OUT = frozenset("nav footer aside form menu dialog head button select field
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words in class names, ids and roles of elements that aren't the article.
 HINTS = frozenset("ad ads adv advert adverts advertisement advertising alert alerts banner banners breadcrumb breadcrumbs "
-                  "comment comments commentlist consent contentinfo cookie cookies disclaimer disqus donate footer gdpr "
-                  "hidden login masthead menu menus modal nav navbar navigation newsletter notice notices notification "
+                  "comment comments commentlist consent contentinfo cookie cookies copyright disclaimer disqus donate footer gdpr "
+                  "hidden legal login masthead menu menus modal nav navbar navigation newsletter notice notices notification "
                   "overlay pagination paywall popup promo promoted promotion recommended related replies reply respond "
                   "search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription "
                   "tagcloud teaser toolbar topbar widget widgets".split())
@@ -59,7 +59,7 @@ _COMMENT_HINTS = frozenset("comment comments commentlist disqus replies reply re
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _NEXT = re.compile(r"<(?=[a-zA-Z/!?])")
-_ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _WORD = re.compile(r"[^\W\d_]+")
 _ENDS = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
 
@@ -87,6 +87,8 @@ def _unwanted(name: str, attributes: str, inside: bool) -> str:
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 return "other"
             continue
+        if key not in ("class", "id", "role"):
+            continue
         parts = set(re.findall(r"[a-z]+", value))
         if parts & _COMMENT_HINTS:
             return "comments"
@@ -200,7 +202,7 @@ def first_pass(block: _Block, marked: bool) -> str:
         return "bad"
     words = _WORD.findall(block.text.lower())
     share = sum(w in _STOP for w in words) / max(len(words), 1)
-    if size >= LONG and share >= RICH:
+    if share >= RICH and size >= SHORT or share >= POOR and size >= LONG:
         return "good"
     if marked:
         return "?"
@@ -252,8 +254,8 @@ def main_blocks(page: str | None) -> list[str]:
     if marked:
         blocks = [b for b in blocks if b.inside]
     labels = [first_pass(b, marked) for b in blocks]
-    if marked and "good" not in labels:
-        return [b.text for b, v in zip(blocks, labels) if v != "bad"]
+    if marked:  # the mark decides what the block leaves open
+        labels = ["good" if v == "?" else v for v in labels]
     keep = second_pass(labels, "bad" not in labels)
     return [b.text for b, k in zip(blocks, keep) if k]
 

