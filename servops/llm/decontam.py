@@ -152,10 +152,9 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     index = picked.mapInArrow(lambda bs: _window_rows(bs, widths, None, ["item", "item_tie", "w", "item_at", "item_slots"]),
                               f"item {item_kind}, item_tie long, w long, item_at long, item_slots array<long>")
     index = cut_lineage(index)
-    only = sieve.bit_table(index, "w", BITS, hashed=True)
-    shared = docs.sparkSession.sparkContext.broadcast(only)
+    only = sieve.bit_table(index, "w", BITS)
     picked = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("tie"), F.col(text_col).alias("text"))
-    found = picked.mapInArrow(lambda bs: _window_rows(bs, widths, shared.value, ["id", "tie", "w", "at", "slots"]),
+    found = picked.mapInArrow(lambda bs: _window_rows(bs, widths, only.value, ["id", "tie", "w", "at", "slots"]),
                               f"id {kind}, tie long, w long, at long, slots array<long>")
     j = found.join(index, "w")
     # pairs of slot values along one alignment; an item's tokens bound what a group gathers

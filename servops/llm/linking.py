@@ -1,21 +1,21 @@
 """Components of a similarity join whose candidates come from buckets.
 
-Nodes that share a bucket may be linked; a link is confirmed by an exact check. Buckets can be large (a
-third of all nodes), so their pairs are never all emitted:
+Nodes (64-bit numbers) that share a bucket may be linked; a link is confirmed by an exact check. Buckets can be
+large (a third of all nodes), so their pairs are never all emitted:
 
-1. Each node is held against the least node of each of its buckets; the pair whose sketches agree
-   best is confirmed, and the confirmed links are joined into components.
-2. Buckets that still hold several components give the pairs between different components. Large
-   buckets are cut into blocks for that, and only pairs whose sketches agree well enough leave a task.
-3. These pairs are confirmed best first, a growing number for each two components, until no unconfirmed
-   pair is left between different components. Pairs inside a component need no check, they can't
-   change it.
+1. Each node is held against one node, of the least nodes of its buckets the one it shares most buckets with.
+   Confirmed pairs give trees, and their roots name the components.
+2. In buckets that still hold several components, the pairs between them are compared by their sketches,
+   large buckets in blocks. For each two components the few best pairs are confirmed, which merges most.
+3. Where there were more pairs than these, the round is repeated on the merged components with all pairs. Pairs
+   inside a component need no check, they can't change it.
 
 So the components are the same as with every pair of every bucket confirmed.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -28,8 +28,10 @@ from pyspark.sql import types as T
 from ..session import cut_lineage
 from .components import connected_components
 
-#: nodes a block of a large bucket; buckets up to a quarter of it are joined with themselves
+#: nodes a block of a bucket
 BLOCK = 256
+#: pairs of two components that are confirmed before all are
+SHARE = 4
 
 
 @dataclass(frozen=True)
@@ -38,12 +40,14 @@ class Measure:
 
     ``score`` gives whole numbers for rows of two byte arrays (higher: more alike), ``least`` the
     score below which no pair can be linked; ``fits`` says whether two sizes allow a link, for
-    columns and, as ``fits_arrays``, for numpy.
+    columns and, as ``fits_arrays``, for numpy. ``owns``, if there is one, says for rows of sketches and one
+    sketch which pairs the bucket of that key is to give, being the first one they share.
     """
     score: Callable[[np.ndarray, np.ndarray], np.ndarray]
     least: int
     fits: Callable[[Column, Column], Column]
     fits_arrays: Callable[[np.ndarray, int], np.ndarray]
+    owns: Callable[[int, np.ndarray, np.ndarray], np.ndarray] | None = None
 
 
 def shared_buckets(members: DataFrame, needs: Column | None = None) -> DataFrame:
@@ -62,7 +66,7 @@ def _rows_of(column: pa.Array) -> np.ndarray:
 
 
 def _with_score(pairs: DataFrame, sketches: DataFrame, measure: Measure) -> DataFrame:
-    """The pairs whose sketches agree well enough, with their score."""
+    """The pairs (x, y, ...) whose sketches agree well enough, with their score as ``same``."""
     @F.arrow_udf(T.IntegerType())
     def score(a: pa.Array, b: pa.Array) -> pa.Array:
         if not len(a):
@@ -71,15 +75,53 @@ def _with_score(pairs: DataFrame, sketches: DataFrame, measure: Measure) -> Data
     s = sketches.select("node", "sketch")
     j = pairs.join(s.withColumnsRenamed({"node": "x", "sketch": "sx"}), "x") \
         .join(s.withColumnsRenamed({"node": "y", "sketch": "sy"}), "y")
-    return j.select("x", "y", score("sx", "sy").alias("same")).where(F.col("same") >= measure.least)
+    return j.select(*pairs.columns, score("sx", "sy").alias("same")).where(F.col("same") >= measure.least)
 
 
-def _block_pairs(rows: DataFrame, measure: Measure, node_type: str) -> DataFrame:
-    """Pairs between components in large buckets, by blocks of at most a few hundred nodes.
+def _roots(links: DataFrame) -> DataFrame:
+    """(node, component) of the nodes b of links (a, b), each of which has one a < b; the component is the tree's root."""
+    labels = cut_lineage(links.select(F.col("b").alias("node"), F.col("a").alias("component")))
+    while True:
+        up = labels.select(F.col("node").alias("component"), F.col("component").alias("above"))
+        step = labels.join(up, "component", "left").select("node", F.coalesce("above", "component").alias("component"),
+                                                           F.col("above").isNotNull().alias("moved"))
+        step = cut_lineage(step)
+        labels = step.select("node", "component")
+        if step.where("moved").isEmpty():
+            return labels
+
+
+def _opened(rows: DataFrame) -> DataFrame:
+    """Rows (key, node, n, component) of buckets with several components, with the component most of the bucket's
+    nodes have as ``main``, its nodes there n_main, and the others n_rest."""
+    counts = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c")) \
+        .groupBy("key").agg(F.max(F.struct("c", "component")).alias("m"), F.sum("c").alias("many"), F.count(F.lit(1)).alias("parts")) \
+        .where(F.col("parts") > 1)
+    return cut_lineage(rows.join(counts.select(
+        "key", F.col("m.component").alias("main"), F.col("m.c").alias("n_main"), (F.col("many") - F.col("m.c")).alias("n_rest")), "key"))
+
+
+def _open_pairs(opened: DataFrame, sketches: DataFrame, measure: Measure, share: int | None) -> DataFrame:
+    """Pairs (x, y) of components (a, b) that meet in a bucket; of each two components the ``share`` best (None: all).
+
+    ``more``: there are others.
+    """
+    pairs = _block_pairs(opened.join(sketches.select("node", "sketch"), "node"), measure, share)
+    pairs = pairs.groupBy("x", "y", "a", "b", "same").agg(F.bool_or("more").alias("more"))
+    if share is None:
+        return pairs.select("x", "y", "a", "b", F.lit(False).alias("more"))
+    order = Window.partitionBy(F.least("a", "b"), F.greatest("a", "b")).orderBy(F.col("same").desc(), "x", "y")
+    ranked = pairs.withColumn("turn", F.row_number().over(order))
+    return ranked.where(F.col("turn") <= share + 1).select(
+        "x", "y", "a", "b", (F.col("more") | (F.col("turn") > share)).alias("more"))
+
+
+def _block_pairs(rows: DataFrame, measure: Measure, share: int | None) -> DataFrame:
+    """Pairs between components of a bucket, by blocks of at most a few hundred nodes.
 
-    ``rows``: key, node, n, component, sketch, and of the bucket main (the component most of its nodes
-    have), n_main, n_rest. Nodes outside the main component meet each other and those of the main
-    one; blocks of the main component never meet. Two blocks are compared in memory.
+    Nodes outside the main component meet each other and those of the main one; blocks of the main
+    component never meet. Two blocks are compared in memory; of each two components the ``share`` best
+    pairs come out, and ``more`` says that there are others.
     """
     inside = F.col("component") == F.col("main")
     r = rows.withColumn("_a", F.ceil(F.col("n_rest") / BLOCK).cast("int")).withColumn("_m", F.ceil(F.col("n_main") / BLOCK).cast("int"))
@@ -94,82 +136,125 @@ def _block_pairs(rows: DataFrame, measure: Measure, node_type: str) -> DataFrame
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     r = r.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
-    def compare(nodes, n, component, sketch):
-        sketch = np.frombuffer(b"".join(sketch), np.uint8).reshape(len(nodes), -1)
-        n, component = np.array(n), np.unique(np.array(component, object), return_inverse=True)[1]
-        for i in range(len(nodes) - 1):
-            rest = np.arange(i + 1, len(nodes))
+    def compare(key, node, n, component, sketch):
+        """Best pairs (same, x, y, a, b, more) of each two components of a group."""
+        sketch = np.frombuffer(b"".join(sketch), np.uint8).reshape(len(node), -1)
+        node, n, component = np.array(node), np.array(n), np.array(component)
+        found: dict = {}
+        for i in range(len(node) - 1):
+            rest = np.arange(i + 1, len(node))
             rest = rest[(component[rest] != component[i]) & measure.fits_arrays(n[rest], n[i])]
-            if len(rest):
-                same = measure.score(sketch[rest], sketch[i][None, :])
-                for k in np.flatnonzero(same >= measure.least):
-                    a, b = nodes[i], nodes[rest[k]]
-                    yield (a, b, int(same[k])) if a < b else (b, a, int(same[k]))
+            if not len(rest):
+                continue
+            same = measure.score(sketch[rest], sketch[i][None, :])
+            near = np.flatnonzero(same >= measure.least)
+            if measure.owns and len(near):
+                near = near[measure.owns(key, sketch[rest[near]], sketch[i])]
+            for k in near:
+                x, y = sorted(((int(node[i]), int(component[i])), (int(node[rest[k]]), int(component[rest[k]]))))
+                two = found.setdefault((min(x[1], y[1]), max(x[1], y[1])), [0, []])
+                two[0] += 1
+                heapq.heappush(two[1], (int(same[k]), -x[0], -y[0], x[1], y[1]))
+                if share and len(two[1]) > share:
+                    heapq.heappop(two[1])
+        return [(s, -x, -y, a, b, bool(share) and many > share) for many, best in found.values() for s, x, y, a, b in best]
 
     def run(batches):
         at, held, found = None, [], []
-        kind = None
         for b in batches:
-            kind = b.schema.field("node").type
             for row in zip(*(c.to_pylist() for c in b.columns)):
                 if row[:3] != at:
-                    found += compare(*zip(*held)) if len(held) > 1 else []
+                    found += compare(at[0], *zip(*held)) if len(held) > 1 else []
                     at, held = row[:3], []
                     if len(found) >= 10_000:
-                        yield pack(found, kind)
+                        yield pack(found)
                         found = []
                 held.append(row[3:])
-        found += compare(*zip(*held)) if len(held) > 1 else []
+        found += compare(at[0], *zip(*held)) if len(held) > 1 else []
         if found:
-            yield pack(found, kind)
+            yield pack(found)
 
-    def pack(found, kind):
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], kind), pa.array([p[1] for p in found], kind),
-                                           pa.array([p[2] for p in found], pa.int32())], names=["x", "y", "same"])
-    return r.mapInArrow(run, f"x {node_type}, y {node_type}, same int")
+    def pack(found):
+        same, x, y, a, b, more = zip(*found)
+        longs = [pa.array(c, pa.int64()) for c in (x, y, a, b)]
+        return pa.RecordBatch.from_arrays([*longs, pa.array(same, pa.int32()), pa.array(more)], names=["x", "y", "a", "b", "same", "more"])
+    return r.mapInArrow(run, "x long, y long, a long, b long, same int, more boolean")
+
+
+def confirm_in_cells(pairs: DataFrame, texts: DataFrame, blocks: int, prepare: Callable[[list[str]], list],
+                     linked: Callable[[list, list], np.ndarray]) -> DataFrame:
+    """Of pairs (x, y, a, b) the (a, b) for which ``linked`` holds on what ``prepare`` makes of the texts.
+
+    ``texts``: node, text. The nodes are dealt into ``blocks`` blocks, and a pair goes to the cell of its
+    two blocks, to which each text that the cell needs is sent once, however many pairs ask for it.
+    """
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    placed = pairs.withColumn("i", F.least(block("x"), block("y"))).withColumn("j", F.greatest(block("x"), block("y")))
+    needed = placed.select("i", "j", F.col("x").alias("node")).distinct() \
+        .unionByName(placed.select("i", "j", F.col("y").alias("node")).distinct()).distinct().join(texts.select("node", "text"), "node")
+    none = F.lit(None).cast("long")
+    rows = needed.select("i", "j", "node", "text", none.alias("y"), none.alias("a"), none.alias("b")) \
+        .unionByName(placed.select("i", "j", F.col("x").alias("node"), F.lit(None).cast("string").alias("text"), "y", "a", "b"))
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, "i", "j").sortWithinPartitions("i", "j", F.col("y").isNotNull())
+
+    def check(known, todo):
+        ok = linked([known[x] for x, *_ in todo], [known[y] for _, y, *_ in todo])
+        kept = [t[2:] for t, k in zip(todo, ok) if k]
+        return pa.RecordBatch.from_arrays([pa.array([t[k] for t in kept], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    def run(batches):
+        cell, names, held, known, todo = None, [], [], {}, []
+        for batch in batches:
+            for i, j, node, text, y, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+                if (i, j) != cell:
+                    if todo:
+                        yield check(known, todo)
+                    cell, names, held, known, todo = (i, j), [], [], {}, []
+                if y is None:
+                    names.append(node)
+                    held.append(text)
+                    continue
+                if held:  # the cell's texts come before its pairs
+                    known, held = dict(zip(names, prepare(held))), []
+                todo.append((node, y, a, b))
+                if len(todo) >= 4096:
+                    yield check(known, todo)
+                    todo = []
+        if todo:
+            yield check(known, todo)
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def linked_components(shared: DataFrame, sketches: DataFrame, measure: Measure, confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, component) of the nodes that have a link; the component is its least node.
+    """(node, component) of the nodes whose component is named by another node, its least one along links.
 
     ``shared``: from ``shared_buckets``; ``sketches``: node and sketch (bytes, of one length) of its nodes;
-    ``confirm``: the linked ones of pairs (x, y). Both inputs are read several times.
+    ``confirm``: of pairs (x, y, a, b) the (a, b) whose x and y are linked. All inputs are read several times.
     """
-    node_type = dict(sketches.dtypes)["node"]
     first = F.col("first.node")
+    # the least node that a node shares most buckets with
     stars = shared.where((F.col("node") != first) & measure.fits(F.col("n"), F.col("first.n"))) \
-        .select(first.alias("x"), F.col("node").alias("y")).distinct()
-    best = _with_score(stars, sketches, measure).groupBy("y").agg(F.max_by("x", F.struct("same", "x")).alias("x"))
-    links = cut_lineage(confirm(best.select("x", "y")))
-    component = connected_components(links)
-
-    labelled = shared.select("key", "node", "n").join(component, "node", "left") \
-        .withColumn("component", F.coalesce("component", "node"))
-    counts = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c")) \
-        .groupBy("key").agg(F.max(F.struct("c", "component")).alias("m"), F.sum("c").alias("many"), F.count(F.lit(1)).alias("parts")) \
-        .where(F.col("parts") > 1)
-    opened = cut_lineage(labelled.join(counts.select(
-        "key", F.col("m.component").alias("main"), F.col("m.c").alias("n_main"), (F.col("many") - F.col("m.c")).alias("n_rest")), "key"))
-    small = opened.where(F.col("n_main") + F.col("n_rest") <= BLOCK // 4)
-    left = small.select("key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    right = small.select("key", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"))
-    few = left.join(right, "key").where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy"))
-                                        & measure.fits(F.col("nx"), F.col("ny"))).select("x", "y").distinct()
-    large = opened.where(F.col("n_main") + F.col("n_rest") > BLOCK // 4).join(sketches.select("node", "sketch"), "node")
-    pairs = _with_score(few, sketches, measure).unionByName(_block_pairs(large, measure, node_type)).distinct()
-    pairs = cut_lineage(pairs)
-
-    share = 4
-    while True:
-        def label(name, at, component=component):
-            return component.select(F.col("node").alias(at), F.col("component").alias(name))
-        todo = pairs.join(label("cx", "x"), "x", "left").join(label("cy", "y"), "y", "left") \
-            .withColumn("cx", F.coalesce("cx", "x")).withColumn("cy", F.coalesce("cy", "y")).where(F.col("cx") != F.col("cy"))
-        order = Window.partitionBy(F.least("cx", "cy"), F.greatest("cx", "cy")).orderBy(F.col("same").desc(), "x", "y")
-        todo = cut_lineage(todo.withColumn("turn", F.row_number().over(order)).select("x", "y", "same", "turn"))
-        if todo.isEmpty():
-            return component
-        links = cut_lineage(links.unionByName(confirm(todo.where(F.col("turn") <= share).select("x", "y"))))
-        pairs = todo.where(F.col("turn") > share).select("x", "y", "same")
-        component = connected_components(links)
-        share *= 8
+        .groupBy(first.alias("x"), F.col("node").alias("y")).agg(F.count(F.lit(1)).alias("c")) \
+        .groupBy("y").agg(F.max_by("x", F.struct("c", "x")).alias("x"))
+    best = _with_score(stars.select("x", "y", F.col("x").alias("a"), F.col("y").alias("b")), sketches, measure).drop("same")
+    component = _roots(confirm(best))
+
+    opened = _opened(shared.select("key", "node", "n").join(component, "node", "left")
+                     .withColumn("component", F.coalesce("component", "node")))
+    for share in (SHARE, None):
+        pairs = cut_lineage(_open_pairs(opened, sketches, measure, share))
+        links = cut_lineage(confirm(pairs.select("x", "y", "a", "b")).distinct())
+        last = share is None or pairs.where("more").isEmpty()
+        if not links.isEmpty():
+            merged = connected_components(links, "a", "b").where(F.col("node") != F.col("component"))
+            above = merged.select(F.col("node").alias("component"), F.col("component").alias("above"))
+            into = F.coalesce("above", "component").alias("component")
+            component = cut_lineage(component.join(above, "component", "left").select("node", into)
+                                    .unionByName(above.select(F.col("component").alias("node"), F.col("above").alias("component"))))
+            if not last:
+                opened = _opened(opened.select("key", "node", "n", "component").join(above, "component", "left")
+                                 .select("key", "node", "n", into))
+        if last:
+            break
+    return component

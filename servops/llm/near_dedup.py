@@ -17,13 +17,15 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from . import sieve
-from .linking import Measure, linked_components, shared_buckets
+from .linking import Measure, confirm_in_cells, linked_components, shared_buckets
 from .textarrays import NOT_SPACE, byte_view, mix64, shingles, small_batches, word_hashes
 
 #: 36 bands of 5 coordinates: a pair of similarity 0.8 shares no band once in 1.7 million, one of 0.2 once in 87 does
-BANDS, ROWS = 36, 5
-#: share of equal coordinates below which a pair isn't confirmed; a pair of 0.8 falls below it once in 10^10
-AGREE = 0.6
+BANDS, ROWS, BAND_BITS = 36, 5, 7
+#: share of equal coordinates below which a pair isn't confirmed; a pair of 0.8 falls below it once in a million
+AGREE = 0.66
+#: shingles a block of texts that are compared in one cell, about
+CELL = 1 << 17
 _GROUP = 1 << 16
 
 
@@ -62,12 +64,13 @@ def circulant_signatures(sets: list[np.ndarray], size: int) -> np.ndarray:
 
 
 def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One 64-bit key a band."""
+    """One 64-bit key a band, with the band's number in the lowest bits."""
     parts = signatures.reshape(len(signatures), bands, rows).astype(np.uint64)
-    h = np.broadcast_to(np.arange(bands, dtype=np.uint64) + np.uint64(1), parts.shape[:2]).copy()
+    band = np.broadcast_to(np.arange(bands, dtype=np.uint64), parts.shape[:2])
+    h = band + np.uint64(1)
     for r in range(rows):
         h = mix64(h * np.uint64(0x9FB21C651E98DF25) + parts[:, :, r])
-    return h.view(np.int64)
+    return (h >> np.uint64(BAND_BITS) << np.uint64(BAND_BITS) | band).view(np.int64)
 
 
 def text_sets(column, width: int) -> list[np.ndarray]:
@@ -78,7 +81,7 @@ def text_sets(column, width: int) -> list[np.ndarray]:
 
 
 def sign(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, rows: int) -> DataFrame:
-    """id, hash of the text, n_shingles, node (16-byte identity of the shingle set, null if empty),
+    """id, hash of the text, n_shingles, node (64-bit hash of the shingle set, null if empty),
     sig (one byte a coordinate) and band keys of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
     picked = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("tie"), F.col(text_col).alias("text"))
@@ -89,41 +92,36 @@ def sign(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, ro
             full = [i for i, s in enumerate(sets) if len(s)]
             sigs = circulant_signatures([sets[i] for i in full], bands * rows)
             keys = band_keys(sigs, bands, rows)
-            low = (sigs >> np.uint32(24)).astype(np.uint8)
+            low = (sigs * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8)  # minima are small: mix before cutting
             node, sig, band = [None] * len(sets), [None] * len(sets), [None] * len(sets)
             for k, i in enumerate(full):
                 s = sets[i]
-                ident = np.array([mix64(s).sum(dtype=np.uint64), mix64(s ^ np.uint64(0xE7037ED1A0B428DB)).sum(dtype=np.uint64) + np.uint64(len(s))], ">u8")
-                node[i], sig[i], band[i] = ident.tobytes(), low[k].tobytes(), keys[k]
+                node[i] = int(mix64(s).sum(dtype=np.uint64).view(np.int64))
+                sig[i], band[i] = low[k].tobytes(), keys[k]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.binary()),
+                [b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()),
                  pa.array(sig, pa.binary()), pa.array(band, pa.list_(pa.int64()))],
                 names=["id", "tie", "n", "node", "sig", "bands"])
-    return picked.mapInArrow(run, f"id {kind}, tie long, n long, node binary, sig binary, bands array<long>")
+    return picked.mapInArrow(run, f"id {kind}, tie long, n long, node long, sig binary, bands array<long>")
 
 
-def _measure(size: int, percent: int) -> Measure:
-    """Equal coordinates of two signatures; sizes that allow the similarity."""
-    return Measure(score=lambda a, b: (a == b).sum(1), least=int(AGREE * size),
+def _measure(bands: int, rows: int, percent: int) -> Measure:
+    """Equal coordinates of two signatures; sizes that allow the similarity; the first band two signatures share."""
+    def owns(key, a, b):
+        first = (a == b).reshape(len(a), bands, rows).all(2).argmax(1)
+        return first == (key & (1 << BAND_BITS) - 1)
+    return Measure(score=lambda a, b: (a == b).sum(1), least=int(AGREE * bands * rows),
                    fits=lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m),
-                   fits_arrays=lambda n, m: 100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+                   fits_arrays=lambda n, m: 100 * np.minimum(n, m) >= percent * np.maximum(n, m), owns=owns)
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (x, y) whose full sets have 100 * intersection >= percent * union."""
-    rows = pairs.select("x", "y").join(texts.select(F.col("node").alias("x"), F.col("text").alias("tx")), "x") \
-        .join(texts.select(F.col("node").alias("y"), F.col("text").alias("ty")), "y")
-
-    def run(batches):
-        for b in small_batches(batches, 2):
-            x, y = b.column(0), b.column(1)
-            keep = []
-            for s, t in zip(text_sets(b.column(2), width), text_sets(b.column(3), width)):
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(100 * both >= percent * (len(s) + len(t) - both) and both > 0)
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([x.filter(mask), y.filter(mask)], names=["x", "y"])
-    return rows.select("x", "y", "tx", "ty").mapInArrow(run, "x binary, y binary")
+def linked_sets(xs: list[np.ndarray], ys: list[np.ndarray], percent: int) -> np.ndarray:
+    """Whether the full sets have 100 * intersection >= percent * union."""
+    out = np.zeros(len(xs), bool)
+    for k, (s, t) in enumerate(zip(xs, ys)):
+        both = len(np.intersect1d(s, t, assume_unique=True))
+        out[k] = both > 0 and 100 * both >= percent * (len(s) + len(t) - both)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
@@ -138,22 +136,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nothing. A null id counts as greater than any other. Other columns aren't read.
     """
     signed = cut_lineage(sign(docs, id_col, text_col, width, bands, rows))
-    nodes = signed.where(F.col("node").isNotNull()).groupBy("node", "n").agg(
-        F.min("tie").alias("tie"), F.first("sig").alias("sketch"), F.first("bands").alias("bands"))
+    nodes = signed.where(F.col("node").isNotNull()).groupBy("node").agg(
+        F.min("n").alias("n"), F.min("tie").alias("tie"), F.first("sig").alias("sketch"), F.first("bands").alias("bands"))
     nodes = cut_lineage(nodes)
     shared = shared_buckets(nodes.select("node", "n", F.explode("bands").alias("key")))
     candidates = shared.select("node").distinct()
     maybe = sieve.bit_table(candidates, "node")
-    sketches = cut_lineage(nodes.where(sieve.may_hold(maybe, F.col("node"))).join(candidates, "node", "left_semi")
-                           .select("node", "tie", "sketch"))
+    sketches = cut_lineage(nodes.select("node", "tie", "n", "sketch").where(sieve.may_hold(maybe, F.col("node")))
+                           .join(candidates, "node", "left_semi"))
     # one text of each node in a bucket: only those texts are shuffled
     wanted = sieve.bit_table(sketches, "tie")
-    tie = F.xxhash64(F.col(text_col))
-    texts = docs.where(sieve.may_hold(wanted, tie)).select(tie.alias("tie"), F.col(text_col).alias("text")) \
-        .join(sketches.select("tie", "node"), "tie").groupBy("node").agg(F.first("text").alias("text"))
+    texts = docs.select(F.xxhash64(F.col(text_col)).alias("tie"), F.col(text_col).alias("text")) \
+        .where(sieve.may_hold(wanted, F.col("tie"))).join(sketches.select("tie", "node", "n"), "tie").groupBy("node").agg(F.first("text").alias("text"), F.first("n").alias("n"))
     texts = cut_lineage(texts)
-    component = linked_components(shared, sketches, _measure(bands * rows, percent),
-                                  lambda pairs: confirm(pairs, texts, width, percent))
+    blocks = 1 + (texts.agg(F.sum("n")).first()[0] or 0) // CELL
+    component = linked_components(
+        shared, sketches, _measure(bands, rows, percent),
+        lambda pairs: confirm_in_cells(pairs, texts, blocks, lambda found: text_sets(pa.array(found, pa.string()), width),
+                                       lambda xs, ys: linked_sets(xs, ys, percent)))
 
     # classes of all rows
     least_id = F.struct(F.col("id").isNull().alias("no_id"), "id", "tie")

@@ -7,34 +7,36 @@ parameter, not a function of the data: a set too large for it lets more rows thr
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BITS = 1 << 21
 
 
-def bit_table(keys: DataFrame, col: str, bits: int = BITS, hashed: bool = False) -> bytes:
-    """Bits of the hashes of ``col`` (any type; ``hashed``: it is a 64-bit hash itself).
-
-    At most ``bits`` / 8 bytes come to the driver.
-    """
-    at = F.pmod(F.col(col) if hashed else F.xxhash64(F.col(col)), F.lit(bits))
+def bit_table(keys: DataFrame, col: str, bits: int = BITS):
+    """Broadcast bits of the 64-bit hashes in ``col``: at most ``bits`` / 8 bytes pass the driver."""
+    at = F.pmod(F.col(col), F.lit(bits))
     words = keys.select(at.alias("_at")).select(F.floor(F.col("_at") / 32).alias("_word"), (F.col("_at") % 32).alias("_bit")) \
         .groupBy("_word").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_bit").cast("int"))).alias("_bits"))
     table = np.zeros(bits // 32, "<u4")
     found = words.toArrow()
     table[found.column(0).to_numpy()] = found.column(1).to_numpy().astype("<u4")
-    return table.tobytes()
-
-
-def may_hold(table: bytes, col: Column) -> Column:
-    """False only for values that are not in the set."""
-    at = F.pmod(F.xxhash64(col), F.lit(8 * len(table)))
-    byte = F.substring(F.lit(table), (F.floor(at / 8) + 1).cast("int"), F.lit(1))
-    return F.getbit(F.conv(F.hex(byte), 16, 10).cast("long"), (at % 8).cast("int")) == 1
+    return keys.sparkSession.sparkContext.broadcast(table.tobytes())
 
 
 def held(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """The same test for an array of 64-bit hashes (a table made with ``hashed``), ``table`` being its bytes."""
+    """False only for 64-bit hashes (unsigned) that are not in the set; ``table``: its bytes as an array."""
     at = hashes & np.uint64(8 * len(table) - 1)
     return (table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
+
+
+def may_hold(table, hashes: Column) -> Column:
+    """The same test for a column of 64-bit hashes; ``table`` is the broadcast bytes."""
+    @F.arrow_udf(T.BooleanType())
+    def test(values: pa.Array) -> pa.Array:
+        known = pc.fill_null(values, 0).to_numpy(zero_copy_only=False).view(np.uint64)
+        return pc.and_(pa.array(held(np.frombuffer(table.value, np.uint8), known)), values.is_valid())
+    return test(hashes)

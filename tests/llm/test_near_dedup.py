@@ -92,6 +92,14 @@ def test_against_all_pairs(spark):
         assert found(df, width=width, percent=percent)[1] == brute(rows, width, percent)
 
 
+def test_sketch_bytes_tell_coordinates_apart(spark):
+    """Unlike documents agree in few sketch bytes, so that few of their pairs are confirmed."""
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(300)), None, None, None) for i in range(20)]
+    got = near_dedup.sign(common.docs(spark, rows), "doc_id", "text", 2, 36, 5).select("sig").collect()
+    sigs = np.array([np.frombuffer(r["sig"], np.uint8) for r in got])
+    assert max((sigs[i] == sigs[j]).mean() for i in range(20) for j in range(i)) < 0.1
+
+
 def test_large_buckets_by_blocks(spark, monkeypatch):
     """Copies near the threshold: many pairs of a bucket are no links, classes come from chains."""
     monkeypatch.setattr(linking, "BLOCK", 8)
