@@ -116,12 +116,11 @@ def _open_pairs(opened: DataFrame, sketches: DataFrame, measure: Measure, share:
         "x", "y", "a", "b", (F.col("more") | (F.col("turn") > share)).alias("more"))
 
 
-def _block_pairs(rows: DataFrame, measure: Measure, share: int | None) -> DataFrame:
-    """Pairs between components of a bucket, by blocks of at most a few hundred nodes.
+def _grouped(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(key, i, j, columns) of the groups of two blocks of a bucket's nodes, group after group in each partition.
 
     Nodes outside the main component meet each other and those of the main one; blocks of the main
-    component never meet. Two blocks are compared in memory; of each two components the ``share`` best
-    pairs come out, and ``more`` says that there are others.
+    component never meet.
     """
     inside = F.col("component") == F.col("main")
     r = rows.withColumn("_a", F.ceil(F.col("n_rest") / BLOCK).cast("int")).withColumn("_m", F.ceil(F.col("n_main") / BLOCK).cast("int"))
@@ -131,10 +130,19 @@ def _block_pairs(rows: DataFrame, measure: Measure, share: int | None) -> DataFr
                             lambda i: F.struct(i.alias("i"), (F.col("_a") + F.col("_own")).alias("j")))
     with_all = F.transform(F.sequence(F.lit(0), F.col("_a") + F.col("_m") - 1),
                            lambda j: F.struct(F.least(j, F.col("_own")).alias("i"), F.greatest(j, F.col("_own")).alias("j")))
-    r = r.select("key", "node", "n", "component", "sketch", F.explode(F.when(inside, with_rest).otherwise(with_all)).alias("g")) \
-        .select("key", "g.i", "g.j", "node", "n", "component", "sketch")
+    r = r.select("key", *columns, F.explode(F.when(inside, with_rest).otherwise(with_all)).alias("g")) \
+        .select("key", "g.i", "g.j", *columns)
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    r = r.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return r.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def _block_pairs(rows: DataFrame, measure: Measure, share: int | None) -> DataFrame:
+    """Pairs between components of a bucket, by blocks of at most a few hundred nodes.
+
+    Two blocks are compared in memory; of each two components the ``share`` best pairs come out, and
+    ``more`` says that there are others.
+    """
+    r = _grouped(rows, ["node", "n", "component", "sketch"])
 
     def compare(key, node, n, component, sketch):
         """Best pairs (same, x, y, a, b, more) of each two components of a group."""
@@ -181,6 +189,57 @@ def _block_pairs(rows: DataFrame, measure: Measure, share: int | None) -> DataFr
     return r.mapInArrow(run, "x long, y long, a long, b long, same int, more boolean")
 
 
+def _block_links(rows: DataFrame, measure: Measure, linked: Callable[[list, list], np.ndarray]) -> DataFrame:
+    """Links between components of a bucket, confirmed where the blocks meet; ``rows`` have the nodes' text.
+
+    In a group, a pair is only looked at while its components haven't been linked there, so a group gives
+    fewer links than it has nodes.
+    """
+    r = _grouped(rows, ["node", "n", "component", "sketch", "text"])
+
+    def compare(node, n, component, sketch, text):
+        sketch = np.frombuffer(b"".join(sketch), np.uint8).reshape(len(node), -1)
+        n, component = np.array(n), np.array(component)
+        found = []
+        for i in range(len(node) - 1):
+            while True:
+                rest = np.arange(i + 1, len(node))
+                rest = rest[(component[rest] != component[i]) & measure.fits_arrays(n[rest], n[i])]
+                same = measure.score(sketch[rest], sketch[i][None, :]) if len(rest) else np.zeros(0)
+                rest = rest[same >= measure.least]
+                hit = -1
+                for at in range(0, len(rest), 32):
+                    ok = linked([text[i]] * len(rest[at:at + 32]), [text[k] for k in rest[at:at + 32]])
+                    if ok.any():
+                        hit = int(rest[at:at + 32][ok.argmax()])
+                        break
+                if hit < 0:
+                    break
+                a, b = component[i], component[hit]
+                found.append((int(a), int(b)))
+                component[component == max(a, b)] = min(a, b)
+        return found
+
+    def run(batches):
+        at, held, found = None, [], []
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if row[:3] != at:
+                    found += compare(*zip(*held)) if len(held) > 1 else []
+                    at, held = row[:3], []
+                held.append(row[3:])
+            if found:
+                yield pack(found)
+                found = []
+        found += compare(*zip(*held)) if len(held) > 1 else []
+        if found:
+            yield pack(found)
+
+    def pack(found):
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+    return r.mapInArrow(run, "a long, b long").distinct()
+
+
 def confirm_in_cells(pairs: DataFrame, texts: DataFrame, blocks: int, prepare: Callable[[list[str]], list],
                      linked: Callable[[list, list], np.ndarray]) -> DataFrame:
     """Of pairs (x, y, a, b) the (a, b) for which ``linked`` holds on what ``prepare`` makes of the texts.
@@ -226,11 +285,14 @@ def confirm_in_cells(pairs: DataFrame, texts: DataFrame, blocks: int, prepare: C
     return rows.mapInArrow(run, "a long, b long")
 
 
-def linked_components(shared: DataFrame, sketches: DataFrame, measure: Measure, confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def linked_components(shared: DataFrame, sketches: DataFrame, measure: Measure, confirm: Callable[[DataFrame], DataFrame],
+                      linked: Callable[[list, list], np.ndarray] | None = None) -> DataFrame:
     """(node, component) of the nodes whose component is named by another node, its least one along links.
 
     ``shared``: from ``shared_buckets``; ``sketches``: node and sketch (bytes, of one length) of its nodes;
     ``confirm``: of pairs (x, y, a, b) the (a, b) whose x and y are linked. All inputs are read several times.
+    For short texts ``linked`` does it for two lists of texts; ``sketches`` then have a text, which travels with
+    them, and step 2 confirms all pairs at once, where the blocks meet.
     """
     first = F.col("first.node")
     # the least node that a node shares most buckets with
@@ -243,9 +305,12 @@ def linked_components(shared: DataFrame, sketches: DataFrame, measure: Measure,
     opened = _opened(shared.select("key", "node", "n").join(component, "node", "left")
                      .withColumn("component", F.coalesce("component", "node")))
     for share in (SHARE, None):
-        pairs = cut_lineage(_open_pairs(opened, sketches, measure, share))
-        links = cut_lineage(confirm(pairs.select("x", "y", "a", "b")).distinct())
-        last = share is None or pairs.where("more").isEmpty()
+        if linked:
+            links, last = cut_lineage(_block_links(opened.join(sketches.select("node", "sketch", "text"), "node"), measure, linked)), True
+        else:
+            pairs = cut_lineage(_open_pairs(opened, sketches, measure, share))
+            links = cut_lineage(confirm(pairs.select("x", "y", "a", "b")).distinct())
+            last = share is None or pairs.where("more").isEmpty()
         if not links.isEmpty():
             merged = connected_components(links, "a", "b").where(F.col("node") != F.col("component"))
             above = merged.select(F.col("node").alias("component"), F.col("component").alias("above"))
