@@ -5,8 +5,6 @@ from pyspark.sql import functions as F
 from servops.llm import mixing
 from . import common
 
-LEVELS = {"d": F.lit(None)}
-
 
 def levels():
     return {"domain": F.substring("source", 1, 1), "lang": F.col("lang"), "source": F.col("source")}
