@@ -5,23 +5,22 @@ large (a third of all nodes), so their pairs are never all emitted:
 
 1. Each node is held against one node, of the least nodes of its buckets the one it shares most buckets with.
    Confirmed pairs give trees, and their roots name the components.
-2. In buckets that still hold several components, the pairs between them are compared by their sketches,
-   large buckets in blocks. For each two components the few best pairs are confirmed, which merges most.
-3. Where there were more pairs than these, the round is repeated on the merged components with all pairs. Pairs
-   inside a component need no check, they can't change it.
+2. The nodes of buckets that still hold several components meet in blocks of the bucket, with their texts. There
+   the pairs between components are looked at, by their sketches first and then exactly, until their
+   components are linked: a group of two blocks gives fewer links than it has nodes. The links merge the
+   components. Pairs inside a component need no check, they can't change it.
 
 So the components are the same as with every pair of every bucket confirmed.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,8 +29,6 @@ from .components import connected_components
 
 #: nodes a block of a bucket
 BLOCK = 256
-#: pairs of two components that are confirmed before all are
-SHARE = 4
 
 
 @dataclass(frozen=True)
@@ -40,14 +37,12 @@ class Measure:
 
     ``score`` gives whole numbers for rows of two byte arrays (higher: more alike), ``least`` the
     score below which no pair can be linked; ``fits`` says whether two sizes allow a link, for
-    columns and, as ``fits_arrays``, for numpy. ``owns``, if there is one, says for rows of sketches and one
-    sketch which pairs the bucket of that key is to give, being the first one they share.
+    columns and, as ``fits_arrays``, for numpy.
     """
     score: Callable[[np.ndarray, np.ndarray], np.ndarray]
     least: int
     fits: Callable[[Column, Column], Column]
     fits_arrays: Callable[[np.ndarray, int], np.ndarray]
-    owns: Callable[[int, np.ndarray, np.ndarray], np.ndarray] | None = None
 
 
 def shared_buckets(members: DataFrame, needs: Column | None = None) -> DataFrame:
@@ -101,21 +96,6 @@ def _opened(rows: DataFrame) -> DataFrame:
         "key", F.col("m.component").alias("main"), F.col("m.c").alias("n_main"), (F.col("many") - F.col("m.c")).alias("n_rest")), "key"))
 
 
-def _open_pairs(opened: DataFrame, sketches: DataFrame, measure: Measure, share: int | None) -> DataFrame:
-    """Pairs (x, y) of components (a, b) that meet in a bucket; of each two components the ``share`` best (None: all).
-
-    ``more``: there are others.
-    """
-    pairs = _block_pairs(opened.join(sketches.select("node", "sketch"), "node"), measure, share)
-    pairs = pairs.groupBy("x", "y", "a", "b", "same").agg(F.bool_or("more").alias("more"))
-    if share is None:
-        return pairs.select("x", "y", "a", "b", F.lit(False).alias("more"))
-    order = Window.partitionBy(F.least("a", "b"), F.greatest("a", "b")).orderBy(F.col("same").desc(), "x", "y")
-    ranked = pairs.withColumn("turn", F.row_number().over(order))
-    return ranked.where(F.col("turn") <= share + 1).select(
-        "x", "y", "a", "b", (F.col("more") | (F.col("turn") > share)).alias("more"))
-
-
 def _grouped(rows: DataFrame, columns: list[str]) -> DataFrame:
     """(key, i, j, columns) of the groups of two blocks of a bucket's nodes, group after group in each partition.
 
@@ -136,60 +116,8 @@ def _grouped(rows: DataFrame, columns: list[str]) -> DataFrame:
     return r.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
-def _block_pairs(rows: DataFrame, measure: Measure, share: int | None) -> DataFrame:
-    """Pairs between components of a bucket, by blocks of at most a few hundred nodes.
-
-    Two blocks are compared in memory; of each two components the ``share`` best pairs come out, and
-    ``more`` says that there are others.
-    """
-    r = _grouped(rows, ["node", "n", "component", "sketch"])
-
-    def compare(key, node, n, component, sketch):
-        """Best pairs (same, x, y, a, b, more) of each two components of a group."""
-        sketch = np.frombuffer(b"".join(sketch), np.uint8).reshape(len(node), -1)
-        node, n, component = np.array(node), np.array(n), np.array(component)
-        found: dict = {}
-        for i in range(len(node) - 1):
-            rest = np.arange(i + 1, len(node))
-            rest = rest[(component[rest] != component[i]) & measure.fits_arrays(n[rest], n[i])]
-            if not len(rest):
-                continue
-            same = measure.score(sketch[rest], sketch[i][None, :])
-            near = np.flatnonzero(same >= measure.least)
-            if measure.owns and len(near):
-                near = near[measure.owns(key, sketch[rest[near]], sketch[i])]
-            for k in near:
-                x, y = sorted(((int(node[i]), int(component[i])), (int(node[rest[k]]), int(component[rest[k]]))))
-                two = found.setdefault((min(x[1], y[1]), max(x[1], y[1])), [0, []])
-                two[0] += 1
-                heapq.heappush(two[1], (int(same[k]), -x[0], -y[0], x[1], y[1]))
-                if share and len(two[1]) > share:
-                    heapq.heappop(two[1])
-        return [(s, -x, -y, a, b, bool(share) and many > share) for many, best in found.values() for s, x, y, a, b in best]
-
-    def run(batches):
-        at, held, found = None, [], []
-        for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                if row[:3] != at:
-                    found += compare(at[0], *zip(*held)) if len(held) > 1 else []
-                    at, held = row[:3], []
-                    if len(found) >= 10_000:
-                        yield pack(found)
-                        found = []
-                held.append(row[3:])
-        found += compare(at[0], *zip(*held)) if len(held) > 1 else []
-        if found:
-            yield pack(found)
-
-    def pack(found):
-        same, x, y, a, b, more = zip(*found)
-        longs = [pa.array(c, pa.int64()) for c in (x, y, a, b)]
-        return pa.RecordBatch.from_arrays([*longs, pa.array(same, pa.int32()), pa.array(more)], names=["x", "y", "a", "b", "same", "more"])
-    return r.mapInArrow(run, "x long, y long, a long, b long, same int, more boolean")
-
-
-def _block_links(rows: DataFrame, measure: Measure, linked: Callable[[list, list], np.ndarray]) -> DataFrame:
+def _block_links(rows: DataFrame, measure: Measure, prepare: Callable[[list[str]], list],
+                 linked: Callable[[list, list], np.ndarray]) -> DataFrame:
     """Links between components of a bucket, confirmed where the blocks meet; ``rows`` have the nodes' text.
 
     In a group, a pair is only looked at while its components haven't been linked there, so a group gives
@@ -200,7 +128,13 @@ def _block_links(rows: DataFrame, measure: Measure, linked: Callable[[list, list
     def compare(node, n, component, sketch, text):
         sketch = np.frombuffer(b"".join(sketch), np.uint8).reshape(len(node), -1)
         n, component = np.array(n), np.array(component)
-        found = []
+        found, made = [], {}
+
+        def known(which):
+            """What ``prepare`` makes of the texts, once a group and only of those that are looked at."""
+            new = [k for k in which if k not in made]
+            made.update(zip(new, prepare([text[k] for k in new])) if new else ())
+            return [made[k] for k in which]
         for i in range(len(node) - 1):
             while True:
                 rest = np.arange(i + 1, len(node))
@@ -209,9 +143,10 @@ def _block_links(rows: DataFrame, measure: Measure, linked: Callable[[list, list
                 rest = rest[same >= measure.least]
                 hit = -1
                 for at in range(0, len(rest), 32):
-                    ok = linked([text[i]] * len(rest[at:at + 32]), [text[k] for k in rest[at:at + 32]])
+                    some = rest[at:at + 32].tolist()
+                    ok = linked(known([i]) * len(some), known(some))
                     if ok.any():
-                        hit = int(rest[at:at + 32][ok.argmax()])
+                        hit = some[int(ok.argmax())]
                         break
                 if hit < 0:
                     break
@@ -285,14 +220,13 @@ def confirm_in_cells(pairs: DataFrame, texts: DataFrame, blocks: int, prepare: C
     return rows.mapInArrow(run, "a long, b long")
 
 
-def linked_components(shared: DataFrame, sketches: DataFrame, measure: Measure, confirm: Callable[[DataFrame], DataFrame],
-                      linked: Callable[[list, list], np.ndarray] | None = None) -> DataFrame:
+def linked_components(shared: DataFrame, sketches: DataFrame, measure: Measure, blocks: int,
+                      prepare: Callable[[list[str]], list], linked: Callable[[list, list], np.ndarray]) -> DataFrame:
     """(node, component) of the nodes whose component is named by another node, its least one along links.
 
-    ``shared``: from ``shared_buckets``; ``sketches``: node and sketch (bytes, of one length) of its nodes;
-    ``confirm``: of pairs (x, y, a, b) the (a, b) whose x and y are linked. All inputs are read several times.
-    For short texts ``linked`` does it for two lists of texts; ``sketches`` then have a text, which travels with
-    them, and step 2 confirms all pairs at once, where the blocks meet.
+    ``shared``: from ``shared_buckets``; ``sketches``: node, sketch (bytes, of one length) and text of its nodes. For two
+    lists of what ``prepare`` makes of texts, ``linked`` says which are linked. ``blocks``: see ``confirm_in_cells``.
+    All inputs are read several times.
     """
     first = F.col("first.node")
     # the least node that a node shares most buckets with
@@ -300,26 +234,14 @@ def linked_components(shared: DataFrame, sketches: DataFrame, measure: Measure,
         .groupBy(first.alias("x"), F.col("node").alias("y")).agg(F.count(F.lit(1)).alias("c")) \
         .groupBy("y").agg(F.max_by("x", F.struct("c", "x")).alias("x"))
     best = _with_score(stars.select("x", "y", F.col("x").alias("a"), F.col("y").alias("b")), sketches, measure).drop("same")
-    component = _roots(confirm(best))
+    component = _roots(confirm_in_cells(best, sketches, blocks, prepare, linked))
 
     opened = _opened(shared.select("key", "node", "n").join(component, "node", "left")
                      .withColumn("component", F.coalesce("component", "node")))
-    for share in (SHARE, None):
-        if linked:
-            links, last = cut_lineage(_block_links(opened.join(sketches.select("node", "sketch", "text"), "node"), measure, linked)), True
-        else:
-            pairs = cut_lineage(_open_pairs(opened, sketches, measure, share))
-            links = cut_lineage(confirm(pairs.select("x", "y", "a", "b")).distinct())
-            last = share is None or pairs.where("more").isEmpty()
-        if not links.isEmpty():
-            merged = connected_components(links, "a", "b").where(F.col("node") != F.col("component"))
-            above = merged.select(F.col("node").alias("component"), F.col("component").alias("above"))
-            into = F.coalesce("above", "component").alias("component")
-            component = cut_lineage(component.join(above, "component", "left").select("node", into)
-                                    .unionByName(above.select(F.col("component").alias("node"), F.col("above").alias("component"))))
-            if not last:
-                opened = _opened(opened.select("key", "node", "n", "component").join(above, "component", "left")
-                                 .select("key", "node", "n", into))
-        if last:
-            break
-    return component
+    links = cut_lineage(_block_links(opened.join(sketches.select("node", "sketch", "text"), "node"), measure, prepare, linked))
+    if links.isEmpty():
+        return component
+    merged = connected_components(links, "a", "b").where(F.col("node") != F.col("component"))
+    above = merged.select(F.col("node").alias("component"), F.col("component").alias("above"))
+    return cut_lineage(component.join(above, "component", "left").select("node", F.coalesce("above", "component").alias("component"))
+                       .unionByName(above.select(F.col("component").alias("node"), F.col("above").alias("component"))))

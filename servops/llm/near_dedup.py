@@ -17,11 +17,11 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from . import sieve
-from .linking import Measure, confirm_in_cells, linked_components, shared_buckets
+from .linking import Measure, linked_components, shared_buckets
 from .textarrays import NOT_SPACE, byte_view, mix64, shingles, small_batches, word_hashes
 
 #: 36 bands of 5 coordinates: a pair of similarity 0.8 shares no band once in 1.7 million, one of 0.2 once in 87 does
-BANDS, ROWS, BAND_BITS = 36, 5, 7
+BANDS, ROWS = 36, 5
 #: share of equal coordinates below which a pair isn't confirmed; a pair of 0.8 falls below it once in a million
 AGREE = 0.66
 #: shingles a block of texts that are compared in one cell, about
@@ -64,13 +64,12 @@ def circulant_signatures(sets: list[np.ndarray], size: int) -> np.ndarray:
 
 
 def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One 64-bit key a band, with the band's number in the lowest bits."""
+    """One 64-bit key a band."""
     parts = signatures.reshape(len(signatures), bands, rows).astype(np.uint64)
-    band = np.broadcast_to(np.arange(bands, dtype=np.uint64), parts.shape[:2])
-    h = band + np.uint64(1)
+    h = np.broadcast_to(np.arange(bands, dtype=np.uint64) + np.uint64(1), parts.shape[:2]).copy()
     for r in range(rows):
         h = mix64(h * np.uint64(0x9FB21C651E98DF25) + parts[:, :, r])
-    return (h >> np.uint64(BAND_BITS) << np.uint64(BAND_BITS) | band).view(np.int64)
+    return h.view(np.int64)
 
 
 def text_sets(column, width: int) -> list[np.ndarray]:
@@ -105,14 +104,11 @@ def sign(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, ro
     return picked.mapInArrow(run, f"id {kind}, tie long, n long, node long, sig binary, bands array<long>")
 
 
-def _measure(bands: int, rows: int, percent: int) -> Measure:
-    """Equal coordinates of two signatures; sizes that allow the similarity; the first band two signatures share."""
-    def owns(key, a, b):
-        first = (a == b).reshape(len(a), bands, rows).all(2).argmax(1)
-        return first == (key & (1 << BAND_BITS) - 1)
-    return Measure(score=lambda a, b: (a == b).sum(1), least=int(AGREE * bands * rows),
+def _measure(size: int, percent: int) -> Measure:
+    """Equal coordinates of two signatures; sizes that allow the similarity."""
+    return Measure(score=lambda a, b: (a == b).sum(1), least=int(AGREE * size),
                    fits=lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m),
-                   fits_arrays=lambda n, m: 100 * np.minimum(n, m) >= percent * np.maximum(n, m), owns=owns)
+                   fits_arrays=lambda n, m: 100 * np.minimum(n, m) >= percent * np.maximum(n, m))
 
 
 def linked_sets(xs: list[np.ndarray], ys: list[np.ndarray], percent: int) -> np.ndarray:
@@ -147,13 +143,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # one text of each node in a bucket: only those texts are shuffled
     wanted = sieve.bit_table(sketches, "tie")
     texts = docs.select(F.xxhash64(F.col(text_col)).alias("tie"), F.col(text_col).alias("text")) \
-        .where(sieve.may_hold(wanted, F.col("tie"))).join(sketches.select("tie", "node", "n"), "tie").groupBy("node").agg(F.first("text").alias("text"), F.first("n").alias("n"))
+        .where(sieve.may_hold(wanted, F.col("tie"))).join(sketches, "tie").groupBy("node").agg(F.first("text").alias("text"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     texts = cut_lineage(texts)
     blocks = 1 + (texts.agg(F.sum("n")).first()[0] or 0) // CELL
     component = linked_components(
-        shared, sketches, _measure(bands, rows, percent),
-        lambda pairs: confirm_in_cells(pairs, texts, blocks, lambda found: text_sets(pa.array(found, pa.string()), width),
-                                       lambda xs, ys: linked_sets(xs, ys, percent)))
+        shared, texts, _measure(bands * rows, percent), blocks,
+        lambda found: text_sets(pa.array(found, pa.string()), width), lambda xs, ys: linked_sets(xs, ys, percent))
 
     # classes of all rows
     least_id = F.struct(F.col("id").isNull().alias("no_id"), "id", "tie")
