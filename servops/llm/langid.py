@@ -29,6 +29,12 @@ SEEN, CONTEXTS = 4, 1 << 15
 SYMBOLS = 127
 #: bytes of evidence the score counts at most
 EVIDENCE = 64
+#: one labelled text in so many sets the limits of ``clear_texts`` and doesn't teach; texts a language must have for that
+ASIDE, ENOUGH = 4, 10
+#: bits by which a text must be beyond a limit; part of a text that must speak for one language
+BEYOND, PART = 32, 2 / 3
+#: code points of a text that the limits are set from
+_HEAD = 1 << 16
 _PIECE = 1 << 19
 
 
@@ -215,6 +221,97 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_
                     F.when(F.col("speaks"), F.col("told.score")).otherwise(F.lit(0.0)).alias(score_out))
 
 
+def letters(text: Column) -> Column:
+    """The text's words in lower case with one space between: style, numbers and codes say nothing about its language."""
+    plain = F.regexp_replace(F.lower(text), r"(?<![\p{L}\p{M}])[\p{L}\p{M}]*+\p{N}[\p{L}\p{M}\p{N}]*+|[^\p{L}\p{M}]++", " ")
+    return F.regexp_replace(plain, " {2,}+", " ")
+
+
+def aside(key: Column) -> Column:
+    """Rows set aside from teaching, to set the limits of ``clear_texts``."""
+    return F.pmod(F.xxhash64(key, F.lit(9)), F.lit(ASIDE)) == 0
+
+
+def _best(bits: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(best language, its bits a byte, bits a byte by which the second best is behind; 0 with one language)."""
+    order = np.sort(bits, axis=1)
+    second = order[:, min(1, bits.shape[1] - 1)]
+    return bits.argmin(1), order[:, 0] / size, (second - order[:, 0]) / size
+
+
+def calibrate(docs: DataFrame, model: LanguageModel, lang_col: str = "lang", text_col: str = "text", key: Column | None = None,
+              texts_a_language: int = TEXTS_A_LANGUAGE) -> dict[str, tuple[float, float, float]]:
+    """Language -> (bits a byte of its texts, of the same letters in random order, lead before the second language).
+
+    ``model`` has learnt from ``letters``. Medians over a sample of labelled rows that should not have taught
+    (so a few wrong labels move nothing), of at least ``EVIDENCE`` bytes; languages with fewer than ``ENOUGH`` of them have no entry.
+    """
+    if not model.languages:
+        return {}
+    rows = docs.where(F.col(lang_col).isin(model.languages)).select(
+        F.col(lang_col).alias("l"), F.col(text_col).alias("t"), F.xxhash64(key if key is not None else F.col(text_col), F.lit(6)).alias("k"))
+    sizes = {r[0]: r[1] for r in rows.groupBy("l").count().collect()}
+    if not sizes:
+        return {}
+    scale = 1 << 20
+    share = F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, min(scale, -(-scale * texts_a_language // n)))])
+    sample = rows.where(F.pmod("k", F.lit(scale)) < share[F.col("l")]).select("l", letters(F.substring("t", 1, _HEAD)).alias("t"))
+    sample = sample.where(F.octet_length("t") >= EVIDENCE)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        place = {k: i for i, k in enumerate(shared.value.languages)}
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            mixed = []
+            for t in texts:
+                points = np.frombuffer(t.encode("utf-32-le"), np.uint32)
+                mixed.append(np.random.default_rng(len(points)).permutation(points).tobytes().decode("utf-32-le"))
+            own = np.array([place[x] for x in b.column(0).to_pylist()], np.int64)
+            data, off = byte_view(b.column(1))
+            size = np.maximum(np.diff(off), 1)
+            bits = _lengths(shared.value).of(data, off)
+            rate = bits[np.arange(len(own)), own] / size if len(own) else np.zeros(0)
+            noise = _best(_lengths(shared.value).of(*byte_view(pa.array(mixed, pa.string()))), size)[1]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rate), pa.array(noise), pa.array(_best(bits, size)[2])],
+                                             names=["l", "rate", "noise", "lead"])
+    found = sample.mapInArrow(run, "l string, rate double, noise double, lead double").groupBy("l").agg(
+        F.count(F.lit(1)).alias("n"), *[F.percentile(c, F.lit(0.5)).alias(c) for c in ("rate", "noise", "lead")])
+    return {r["l"]: (r["rate"], r["noise"], r["lead"]) for r in found.collect() if r["n"] >= ENOUGH}
+
+
+def clear_texts(docs: DataFrame, model: LanguageModel, limits: dict[str, tuple[float, float, float]], lang_col: str = "lang",
+                text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` whose text has a letter and isn't gibberish, foreign to all languages of the model or mixed.
+
+    Judged on its ``letters``, in the best language of a model that has learnt from such: it goes when a byte costs more than midway between
+    the language's texts and the same letters in random order, or when less than two thirds of it
+    speak for the language (a text with a part p of it is (1 - p) leads dearer than usual and has a lead of 2 p - 1
+    times the usual one), by ``BEYOND`` bits each. A best language without limits has the first limit of the language
+    where it is highest. Rows stay where the limits can't tell: there are none, or none for the language
+    that the row is labelled with.
+    """
+    speaks = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
+    if not limits:
+        return docs.where(speaks)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    lenient = (*max((x[:2] for x in limits.values()), key=sum), 0.0)
+
+    @F.arrow_udf("boolean")
+    def clear(texts: pa.Array) -> pa.Array:
+        data, off = byte_view(texts)
+        size = np.maximum(np.diff(off), 1)
+        best, rate, lead = _best(_lengths(shared.value).of(data, off), size)
+        usual, noise, ahead = np.array([limits.get(k, lenient) for k in shared.value.languages]).T[:, best]
+        gibberish = (rate - (usual + noise) / 2) * size > BEYOND
+        mixed = (((rate - usual) - (1 - PART) * ahead) * size > BEYOND) & (((2 * PART - 1) * ahead - lead) * size > BEYOND)
+        return pa.array(~(gibberish | mixed))
+    told = F.col(lang_col).isNull() | F.col(lang_col).isin(list(limits))
+    kept = F.when(~speaks, False).when(~told, True).otherwise(clear(letters(F.col(text_col))))
+    r = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), kept.alias("clear"))
+    return r.where("clear").select("row.*")
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Rows that never teach: crc32 of the id as text leaves 1 when divided by 3 (a null id doesn't)."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))

@@ -59,3 +59,23 @@ def test_run_equals_the_stages(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "/root/testdata/sf0.001")
     assert sorted(map(str, got.collect())) == sorted(map(str, docs.collect())) and F
+
+
+def test_language_stage_rejects_on_the_models_evidence(spark):
+    import random
+    random.seed(4)
+    rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    en, de = ([r["text"][:700] for r in rows if r["lang"] == k and len(r["text"]) > 1000][:10] for k in ("en", "de"))
+    bad = ["".join(random.choices("abcdefghijklmnopqrstuvwxyz ", k=600)) for _ in range(10)]
+    bad += ["Zażółć gęślą jaźń, a potem wszyscy poszli do domu na obiad." * 4, "сегодня хорошая погода, мы идём гулять. " * 5]
+    bad += [a + " " + b for a, b in zip(en, de)]
+    odd = [(10**6 + i, t, None, "x", len(t)) for i, t in enumerate(bad)]
+    docs = spark.createDataFrame([tuple(r) for r in rows] + odd, spark.read.parquet(f"{SF}/documents.parquet").schema)
+    left = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, SF).collect()}
+    assert not left & {r[0] for r in odd[:12]} and len(left & {r[0] for r in odd[12:]}) <= 2
+    assert len(left & {r["doc_id"] for r in rows}) >= len(rows) - 2
+
+
+def test_language_stage_keeps_what_it_cannot_judge(spark):
+    rows = [(i, f"words without any label {i}", None, None, None) for i in range(5)]
+    assert corpus_pipeline.language_id(spark, common.docs(spark, rows), SF).count() == 5
