@@ -2,9 +2,10 @@
 
 Texts become sequences of tokens in which numbers, units (after a number) and names (capitalised words
 inside a sentence) are replaced by typed placeholders, the slots. Windows of such tokens are joined by hash
-between documents and benchmark items. Along one alignment of a document with an item the slots must be
-filled consistently: each value of the item stands for one value of the document and the other way round. So
-a question is found again verbatim or with other numbers and names.
+between documents and benchmark items. Windows with the item's own slots count always. Those with other slots
+count if along one alignment of a document with an item the slots are filled consistently: each value of the
+item stands for one value of the document and the other way round. So a question is found again verbatim, verbatim
+but for some values, or with other numbers and names.
 """
 
 from __future__ import annotations
@@ -158,12 +159,14 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
                               f"id {kind}, tie long, w long, at long, slots array<long>")
     j = found.join(index, "w")
     # pairs of slot values along one alignment; an item's tokens bound what a group gathers
+    exact = F.col("item_slots") == F.col("slots")
     along = j.groupBy("id", "tie", "item", "item_tie", (F.col("at") - F.col("item_at")).alias("shift")).agg(
-        F.collect_set("item_at").alias("places"),
+        F.collect_set("item_at").alias("places"), F.collect_set(F.when(exact, F.col("item_at"))).alias("sure"),
         F.array_distinct(F.flatten(F.collect_set(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))))).alias("pairs"))
     values = F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"])))
     others = F.size(F.array_distinct(F.transform("pairs", lambda p: p["d"])))
-    along = along.where((values == F.size("pairs")) & (others == F.size("pairs")))
+    one_to_one = (values == F.size("pairs")) & (others == F.size("pairs"))
+    along = along.withColumn("places", F.when(one_to_one, F.col("places")).otherwise(F.col("sure"))).where(F.size("places") > 0)
     same = F.forall("pairs", lambda p: p["i"] == p["d"])
     per = along.select("id", "tie", "item", "item_tie", "places", same.alias("same")) \
         .groupBy("id", "tie", "item", "item_tie").agg(

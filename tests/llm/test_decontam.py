@@ -59,6 +59,20 @@ def test_verbatim_and_new_parameters(spark):
     assert got[7, 0]["coverage"] == 1.0 and got[1, 0]["coverage"] > 0.8
 
 
+def test_one_altered_value_hides_no_identical_windows(spark):
+    words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    words[10], words[50] = "3", "3"
+    item = " ".join(words)
+    altered, swapped = [*words], [*words]
+    altered[50] = "9"  # 3 -> 3 and 3 -> 9
+    words[30] = "17"
+    swapped[30] = "3"  # another value of the item
+    got = find(spark, [" ".join(altered), " ".join(swapped)], [item, " ".join(words)])
+    assert set(got) >= {(0, 0), (1, 1)}
+    assert got[0, 0]["n_windows"] == 53 - 8 and not got[0, 0]["verbatim"]
+    assert got[1, 1]["n_windows"] == 53 - 8 and not got[1, 1]["verbatim"]
+
+
 def test_short_items_and_parts(spark):
     short = "what is the capital of France"  # one window of its own length
     long = " ".join(f"tok{i}" for i in range(60))
