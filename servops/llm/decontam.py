@@ -39,6 +39,7 @@ _DIGIT = byte_class(lambda b: 48 <= b <= 57)
 _MARK = byte_class(lambda b: b in b".!?:;\n\r\"")
 _JOINS = byte_class(lambda b: b in b".,")
 _NUM, _UNIT, _NAME = (np.uint64(x) for x in (0x6E756D, 0x756E6974, 0x6E616D65))
+_RAW = np.uint64(0x726177)
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -92,11 +93,11 @@ def windows(code: np.ndarray, slot: np.ndarray, width: int) -> tuple[np.ndarray,
     return mix64(out), plain[width:] - plain[:n] >= min(LITERALS, width)
 
 
-def _window_rows(batches, widths: list[int], only: bytes | None, names: list[str]):
+def _window_rows(batches, widths: list[tuple[int, bool]], widest: int, only: bytes | None, names: list[str]):
     """Arrow batches of the windows of the texts in column 2; ``only``: those the bit table may hold.
 
-    ``widths`` are from the widest to the narrowest: a text shorter than the widest one gives, without a
-    table, its single window; with one, the windows of every width.
+    ``widths`` has (tokens, whether raw). Raw windows are of the tokens themselves and have no slots. A text shorter
+    than ``widest`` gives, without a table, its single window of a kind; with one, the windows of every width.
     """
     table = np.frombuffer(only, np.uint8) if only is not None else None
     for b in small_batches(batches, 2):
@@ -104,31 +105,34 @@ def _window_rows(batches, widths: list[int], only: bytes | None, names: list[str
         code, value, slot, first = canonical(data, off)
         sizes = np.diff(first)
         texts = np.repeat(np.arange(len(sizes)), sizes)
-        rows, at, hashes, width_of = [], [], [], []
-        for width in widths:
-            w, good = windows(code, slot, width)
+        rows, at, hashes, width_of, kind = [], [], [], [], []
+        for width, raw in widths:
+            w, good = windows(value ^ _RAW, np.zeros(len(slot), bool), width) if raw else windows(code, slot, width)
             if not len(w):
                 continue
             good &= texts[width - 1:] == texts[:len(w)]  # not over the end of a text
             if table is not None:
                 good &= sieve.held(table, w)
-            elif width < widths[0]:
+            elif width < widest:
                 good &= sizes[texts[:len(w)]] == width
             hit = np.flatnonzero(good)
             rows.append(texts[hit])
             at.append(hit)
             hashes.append(w[hit])
             width_of.append(np.full(len(hit), width))
+            kind.append(np.full(len(hit), raw))
         if not rows:
             continue
-        rows, at, hashes, width_of = (np.concatenate(x) for x in (rows, at, hashes, width_of))
+        rows, at, hashes, width_of, kind = (np.concatenate(x) for x in (rows, at, hashes, width_of, kind))
         if not len(rows):
             continue
-        values = [value[a:a + k][slot[a:a + k]].view(np.int64) for a, k in zip(at, width_of)]
+        none = np.zeros(0, np.int64)
+        values = [none if raw else value[a:a + k][slot[a:a + k]].view(np.int64) for a, k, raw in zip(at, width_of, kind)]
         take = pa.array(rows)
         yield pa.RecordBatch.from_arrays(
             [b.column(0).take(take), b.column(1).take(take), pa.array(hashes.view(np.int64)),
-             pa.array((at - first[rows]).astype(np.int64)), pa.array(values, pa.list_(pa.int64()))], names=names)
+             pa.array((at - first[rows]).astype(np.int64)), pa.array(values, pa.list_(pa.int64())),
+             pa.array(width_of), pa.array(kind)], names=names)
 
 
 def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -137,26 +141,30 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     """Benchmark items found in documents: one row per (row identity, item).
 
     ``id_col``, text_hash, ``item_col``, n_windows (distinct windows of the item found), item_windows,
-    coverage (n_windows / item_windows), verbatim (no slot was filled otherwise). An item of fewer than
-    ``width`` tokens is one window of its own length. Windows with fewer than 4 tokens that aren't slots are left out; an
-    item without any other window is not searched for. Null and empty texts hold nothing and are never
-    found. Repeated rows of documents give one row. Other columns aren't read.
+    coverage, verbatim (no slot was filled otherwise). An item of fewer than ``width`` tokens is one window of its own
+    length. A window is found by its lower-cased tokens, or by its tokens with slots where at least 4 of them
+    aren't slots; coverage is the share of the item's windows, or of those with 4 such tokens if that is
+    higher. Null and empty texts hold nothing and are never found. Repeated rows of documents give one
+    row. Other columns aren't read.
 
     Documents' windows pass a fixed-size bit table of the items' windows before they are shuffled, so what
     leaves the scan is in proportion to what is found.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     item_kind = items.schema[item_col].dataType.simpleString()
-    widths = list(range(width, LITERALS - 1, -1))
+    widths = [(k, False) for k in range(width, LITERALS - 1, -1)] + [(k, True) for k in range(width, 0, -1)]
+    more = "slots array<long>, width long, raw boolean"
     picked = items.select(F.col(item_col).alias("item"), F.xxhash64(F.col(item_text_col)).alias("tie"),
                           F.col(item_text_col).alias("text"))
-    index = picked.mapInArrow(lambda bs: _window_rows(bs, widths, None, ["item", "item_tie", "w", "item_at", "item_slots"]),
-                              f"item {item_kind}, item_tie long, w long, item_at long, item_slots array<long>")
+    index = picked.mapInArrow(lambda bs: _window_rows(bs, widths, width, None, ["item", "item_tie", "w", "item_at", "item_slots", "width", "raw"]),
+                              f"item {item_kind}, item_tie long, w long, item_at long, item_{more}")
     index = cut_lineage(index)
     only = sieve.bit_table(index, "w", BITS)
+    # as many rows as there are widths at most
+    used = sorted((r["width"], r["raw"]) for r in index.select("width", "raw").distinct().collect())
     picked = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("tie"), F.col(text_col).alias("text"))
-    found = picked.mapInArrow(lambda bs: _window_rows(bs, widths, only.value, ["id", "tie", "w", "at", "slots"]),
-                              f"id {kind}, tie long, w long, at long, slots array<long>")
+    found = picked.mapInArrow(lambda bs: _window_rows(bs, used, width, only.value, ["id", "tie", "w", "at", "slots", "width", "raw"]),
+                              f"id {kind}, tie long, w long, at long, {more}").drop("width", "raw")
     j = found.join(index, "w")
     # pairs of slot values along one alignment; an item's tokens bound what a group gathers
     exact = F.col("item_slots") == F.col("slots")
@@ -170,12 +178,15 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     same = F.forall("pairs", lambda p: p["i"] == p["d"])
     per = along.select("id", "tie", "item", "item_tie", "places", same.alias("same")) \
         .groupBy("id", "tie", "item", "item_tie").agg(
-            F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("long").alias("n_windows"),
-            F.bool_and("same").alias("verbatim"))
-    sizes = index.groupBy("item", "item_tie").agg(F.count_distinct("item_at").alias("item_windows"))
+            F.array_distinct(F.flatten(F.collect_set("places"))).alias("places"), F.bool_and("same").alias("verbatim"))
+    sizes = index.groupBy("item", "item_tie").agg(F.count_distinct("item_at").alias("item_windows"),
+                                                  F.collect_set(F.when(~F.col("raw"), F.col("item_at"))).alias("plain"))
+    n_plain = F.size(F.array_intersect("places", "plain"))
     out = per.withColumnsRenamed({"item": "i", "item_tie": "it"}) \
         .join(sizes, F.col("i").eqNullSafe(F.col("item")) & (F.col("it") == F.col("item_tie"))) \
-        .withColumn("coverage", F.col("n_windows") / F.col("item_windows")) \
+        .withColumn("n_windows", F.size("places").cast("long")) \
+        .withColumn("coverage", F.greatest(F.col("n_windows") / F.col("item_windows"),
+                                           F.when(F.size("plain") > 0, n_plain / F.size("plain")))) \
         .where((F.col("coverage") >= share) | (F.col("n_windows") >= enough))
     return out.select(F.col("id").alias(id_col), F.col("tie").alias("text_hash"), F.col("i").alias(item_col), "n_windows",
                       "item_windows", "coverage", "verbatim")

@@ -73,6 +73,16 @@ def test_one_altered_value_hides_no_identical_windows(spark):
     assert got[1, 1]["n_windows"] == 53 - 8 and not got[1, 1]["verbatim"]
 
 
+def test_verbatim_copies_of_items_rich_in_slots_or_short(spark):
+    items = ["What is 17 times 23?", "Jim met Bob, Tom, Eve and Ann at 3, 4, 5 and 6 in Rome, Bonn, Oslo and Lima", "Add 2 and 2",
+             "The capital of France is called Paris"]
+    texts = ["so we ask what is 17 times 23 again", "Then " + items[1] + " again", "now Add 2 and 2 please",
+             "and The capital of France is called Paris they said", "what is 17 times 24", "Add 2 and 3"]
+    got = find(spark, texts, items)
+    assert set(got) == {(i, i) for i in range(4)}
+    assert all(r["coverage"] == 1.0 and r["verbatim"] for r in got.values())
+
+
 def test_short_items_and_parts(spark):
     short = "what is the capital of France"  # one window of its own length
     long = " ".join(f"tok{i}" for i in range(60))
