@@ -15,6 +15,8 @@ from . import decontam, digest, extract, langid, licenses, line_dedup, mixing, n
 VOCABULARY = "byte_bpe_50k.json"
 TOKEN_LIMIT = 1024
 SHARDS = 24
+#: per cent of a long line that may be edited; code points from which on a short line may have one edit
+LINE_GROW, LINE_SHORT = 4, 20
 #: tree of the mix: the sources' numbers in four domains, then language, then source; and its weights
 MIX_WEIGHTS = {("domain0",): 4, ("domain1",): 3, ("domain2",): 2, ("domain3",): 1,
                (None, "en"): 4, (None, "de"): 2, (None, "fr"): 2, (None, "es"): 1}
@@ -61,7 +63,7 @@ def op6_source_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, d: str) -> DataFrame:
-    left = line_dedup.dedup_lines(read_table(spark, d, "documents"))
+    left = line_dedup.dedup_lines(read_table(spark, d, "documents"), grow=LINE_GROW, short=LINE_SHORT)
     return left.select("doc_id", "n_lines", "n_dropped", F.char_length("text").cast("long").alias("n_chars"),
                        F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
 
