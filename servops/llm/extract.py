@@ -37,7 +37,8 @@ STOP_WORDS = {
     "nl": "aan als bij dat de der deze die dit door een en er het hij ik in is maar met naar niet nog om ook op te tot "
           "uit van voor was wat we werd wordt ze zich zijn",
 }
-_STOP = frozenset(w for ws in STOP_WORDS.values() for w in ws.split())
+_LISTS = [frozenset(ws.split()) for ws in STOP_WORDS.values()]
+_STOP = frozenset().union(*_LISTS)
 
 #: Elements by what they do to the text.
 BLOCKS = frozenset("address article aside blockquote body caption center col colgroup dd details div dl dt fieldset figcaption "
@@ -193,13 +194,24 @@ def blocks_of(page: str) -> tuple[list[_Block], bool]:
     return blocks, marked
 
 
-def first_pass(block: _Block, marked: bool) -> str:
-    """good, bad, or ambiguous ("?")."""
+def listed(blocks: list[_Block]) -> bool:
+    """Whether a list of stop words fits the page: its longer blocks that aren't links, or a rich one of them."""
+    found = [_WORD.findall(b.text.lower()) for b in blocks if len(b.text) >= SHORT and b.linked <= LINKS * len(b.text)]
+    if any(sum(w in ws for w in words) >= RICH * max(len(words), 1) for words in found for ws in _LISTS):
+        return True
+    words = [w for ws in found for w in ws]
+    return max(sum(w in ws for w in words) for ws in _LISTS) >= POOR * len(words)
+
+
+def first_pass(block: _Block, marked: bool, known: bool = True) -> str:
+    """good, bad, or ambiguous ("?"). In a language without a list (not ``known``) length and links decide."""
     size = len(block.text)
     if block.linked > LINKS * size:
         return "bad"
     if marked and not block.inside:
         return "bad"
+    if not known:
+        return "bad" if "©" in block.text else "good" if size >= SHORT else "?"
     words = _WORD.findall(block.text.lower())
     share = sum(w in _STOP for w in words) / max(len(words), 1)
     if share >= RICH and size >= SHORT or share >= POOR and size >= LONG:
@@ -253,7 +265,8 @@ def main_blocks(page: str | None) -> list[str]:
             marked = False
     if marked:
         blocks = [b for b in blocks if b.inside]
-    labels = [first_pass(b, marked) for b in blocks]
+    known = marked or listed(blocks)
+    labels = [first_pass(b, marked, known) for b in blocks]
     if marked:  # the mark decides what the block leaves open
         labels = ["good" if v == "?" else v for v in labels]
     keep = second_pass(labels, "bad" not in labels)

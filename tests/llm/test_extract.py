@@ -76,3 +76,11 @@ def test_pages_of_the_data(spark):
 
 def test_stop_words_are_there():
     assert all(len(w.split()) >= 20 for w in extract.STOP_WORDS.values()) and common.SCHEMA
+
+
+def test_unmarked_pages_in_languages_without_stop_words():
+    for text in ("Wczoraj wieczorem cała rodzina poszła do teatru, żeby zobaczyć nową sztukę, którą napisał młody autor z Krakowa.",
+                 "Сегодня утром жители города увидели первый снег, который выпал ночью и покрыл все улицы, дома и деревья белым ковром.",
+                 "今天早上城市的居民看到了第一场雪，昨天晚上的雪覆盖了所有的街道、房屋和树木，孩子们非常高兴地跑到外面去玩雪，老人们坐在窗边喝着热茶，看着外面的白色世界，大家都觉得这是一个美好的早晨。"):
+        page = f"<body><div><a href=1>{text}</a></div><p>{text}</p><p>{text} 2</p><p>Copyright © 2024 {text}</p></body>"
+        assert extract.main_blocks(page) == [text, text + " 2"]
