@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, queries
+from . import licenses, queries, spelling
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -124,3 +124,93 @@ run as (select *, sum(tokens) over (partition by domain, lang, source order by o
   range between unbounded preceding and current row) as s from turn)
 select doc_id, domain, lang, source, tokens, (whole + case when rest > 0 and s <= rest then 1 else 0 end)::bigint as copies from run
 """
+
+
+_K = 8  # centroids of op11, its rounds and scale
+_ROUNDS, _SCALE, _DIMS = 10, 1024, 64
+_usable = "len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
+
+
+def _round(r: int) -> str:
+    """Assignment to the centroids c{r}, and the centroids after it."""
+    return f"""
+a{r} as materialized (
+  select k.i, arg_min(c.c, list_sum(list_transform(list_zip(k.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::hugeint * {_K} + c.c) as c
+  from kept k, c{r} c group by k.i),
+m{r} as (select c, p, sum(x)::hugeint as s, count(*)::hugeint as n from a{r} join parts using (i) group by c, p),
+n{r} as (select c, list(((s - ((s % n) + n) % n) // n)::bigint order by p) as v from m{r} group by c),
+c{r + 1} as materialized (select c{r}.c, coalesce(n{r}.v, c{r}.v) as v from c{r} left join n{r} using (c))"""
+
+
+ORACLE_SQL["op11_centroid_clusters"] = f"""
+with kept as materialized (
+  select row_number() over () as i, vec_id, list_transform(embedding, lambda x: floor({_SCALE} * x::double)::bigint) as v
+  from embeddings where len(embedding) = {_DIMS} and {_usable}),
+parts as materialized (select i, unnest(v) as x, generate_subscripts(v, 1) as p from kept),
+c0 as materialized (
+  select row_number() over (order by sha256('3:' || vec_id), v) - 1 as c, v from kept
+  qualify row_number() over (order by sha256('3:' || vec_id), v) <= {_K}),
+{",".join(_round(r) for r in range(_ROUNDS))},
+d as (
+  select k.i, k.vec_id, c.c, list_sum(list_transform(list_zip(k.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as distance, c.v
+  from kept k, c{_ROUNDS} c),
+best as (select i, vec_id, arg_min(c, distance::hugeint * {_K} + c) as c from d group by i, vec_id)
+select d.vec_id, d.c::int as cluster, distance, (sum(distance) over (partition by d.c))::bigint as cluster_inertia,
+  (sum(distance) over ())::bigint as inertia, sha256(array_to_string(v, ',')) as centroid_sha256
+from d join best using (i, c)
+"""
+
+# crc32 of a list of bytes, by the table of its reflected polynomial
+_crc_table = ("list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), "
+              "lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end))")
+_bytes = ("flatten(list_transform(string_split({0}, ''), lambda ch: case when unicode(ch) < 128 then [unicode(ch)::bigint] "
+          "else [(192 + unicode(ch) // 64)::bigint, (128 + unicode(ch) % 64)::bigint] end))")
+ORACLE_SQL["op12_spelling_variants"] = f"""
+with recursive runs as (
+  select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'),
+    '[a-z\u00C0-\u00FF]+')) as w from documents),
+counted as (select coalesce(doc_id::varchar, '') || ':' || w as named, w, count(*) as k from runs where length(w) >= 5 group by all),
+tab as materialized (select {_crc_table} as t),
+hashed as (
+  select w, k, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, {_bytes.format("named")}),
+    lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1]))) as h from counted, tab),
+said as (
+  select case when h % {spelling.SLIPS} = 0 then substr(w, 1, (h % length(w))::int) || substr(w, (h % length(w))::int + 2) else w end as word,
+    sum(k)::bigint as n from hashed group by 1),
+words as materialized (select word, n, length(word) as size from said where length(word) >= 5 and n >= 3),
+less as materialized (
+  select word, n, size, p, substr(word, 1, (p - 1)::int) || substr(word, (p + 1)::int) as rest
+  from words, lateral (select unnest(range(1, size + 1)) as p)),
+pairs as (
+  select a.word, b.word as other, b.n from less a join less b on a.rest = b.rest and a.p = b.p and a.size = b.size and a.word <> b.word
+  union select a.word, b.word, b.n from less a join words b on a.rest = b.word
+  union select b.word, a.word, a.n from less a join words b on a.rest = b.word),
+near as (select word, count(*)::bigint as n_near, min({{'less': -n, 'other': other}}) as best from pairs group by word),
+told as materialized (
+  select w.word, case when -best.less >= 2 * n then best.other end as form, n, coalesce(n_near, 0)::bigint as n_near,
+    case when -best.less >= 2 * n then (-best.less)::bigint end as form_n
+  from words w left join near using (word)),
+up(word, root) as (
+  select word, form from told where form is not null
+  union all select up.word, told.form from up join told on up.root = told.word where told.form is not null),
+top as (select word, arg_max(root, n) as root from (select up.word, up.root, told.n from up join told on told.word = up.root) group by word)
+select word, form, coalesce(root, word) as root, n, n_near, form_n from told left join top using (word)
+"""
+
+ORACLE_SQL["op13_embedding_dedup"] = f"""
+with recursive kept as materialized (
+  select row_number() over () as i, vec_id, label, embedding::double[] as v,
+    label is not null and coalesce(len(embedding) > 0 and {_usable} and len(list_filter(embedding, lambda x: x <> 0)) > 0, false) as good
+  from embeddings),
+links as materialized (
+  select a.i as x, b.i as y from kept a join kept b on a.label = b.label and a.i <> b.i and len(a.v) = len(b.v)
+  where a.good and b.good and list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2]))
+    / (sqrt(list_sum(list_transform(a.v, lambda x: x * x))) * sqrt(list_sum(list_transform(b.v, lambda x: x * x)))) >= 0.98),
+reach(i, r) as (
+  select i, i from kept
+  union select reach.i, links.y from reach join links on reach.r = links.x),
+heads as (select reach.i, min(k.vec_id) as component_id from reach join kept k on k.i = reach.r group by reach.i),
+many as (select x as i, count(*) as n from links group by x)
+select vec_id, coalesce(n, 0)::bigint as n_links, component_id, vec_id is not distinct from component_id as kept
+from kept join heads using (i) left join many using (i)
+"""

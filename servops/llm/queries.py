@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import decontam, digest, extract, langid, licenses, line_dedup, mixing, near_dedup, sharding, tokencount
+from . import (centroids, decontam, digest, extract, langid, licenses, line_dedup, mixing, near_dedup, sharding, spelling, tokencount,
+               vector_dedup)
 
 #: file of the tokenizer whose tokens are counted
 VOCABULARY = "byte_bpe_50k.json"
@@ -81,6 +82,18 @@ def op10_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return digest.compare_with_next(read_table(spark, d, "documents"))
 
 
+def op11_centroid_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return centroids.cluster_vectors(read_table(spark, d, "embeddings"))
+
+
+def op12_spelling_variants(spark: SparkSession, d: str) -> DataFrame:
+    return spelling.spelling_variants(read_table(spark, d, "documents"))
+
+
+def op13_embedding_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return vector_dedup.near_vectors(read_table(spark, d, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: fn for name, fn in sorted(globals().items(), key=lambda x: (len(x[0].split("_")[0]), x[0]))
     if name.startswith("op") and name[2].isdigit()
