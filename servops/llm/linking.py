@@ -117,15 +117,17 @@ def _grouped(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def _block_links(rows: DataFrame, measure: Measure, prepare: Callable[[list[str]], list],
-                 linked: Callable[[list, list], np.ndarray]) -> DataFrame:
+                 linked: Callable[[list, list], np.ndarray], once: bool = False) -> DataFrame:
     """Links between components of a bucket, confirmed where the blocks meet; ``rows`` have the nodes' text.
 
     In a group, a pair is only looked at while its components haven't been linked there, so a group gives
-    fewer links than it has nodes.
+    fewer links than it has nodes. With ``once``, ``rows`` have the ``keys`` of all of the node's buckets too, and
+    of the buckets that a pair shares only the least looks at it.
     """
-    r = _grouped(rows, ["node", "n", "component", "sketch", "text"])
+    r = _grouped(rows, ["node", "n", "component", "sketch", "text"] + (["keys"] if once else []))
 
-    def compare(node, n, component, sketch, text):
+    def compare(key, node, n, component, sketch, text, keys=None):
+        own = [frozenset(k) for k in keys] if once else []
         sketch = np.frombuffer(b"".join(sketch), np.uint8).reshape(len(node), -1)
         n, component = np.array(n), np.array(component)
         found, made = [], {}
@@ -141,6 +143,8 @@ def _block_links(rows: DataFrame, measure: Measure, prepare: Callable[[list[str]
                 rest = rest[(component[rest] != component[i]) & measure.fits_arrays(n[rest], n[i])]
                 same = measure.score(sketch[rest], sketch[i][None, :]) if len(rest) else np.zeros(0)
                 rest = rest[same >= measure.least]
+                if once:
+                    rest = np.array([k for k in rest.tolist() if min(own[i] & own[k]) == key], np.int64)
                 hit = -1
                 for at in range(0, len(rest), 32):
                     some = rest[at:at + 32].tolist()
@@ -160,13 +164,13 @@ def _block_links(rows: DataFrame, measure: Measure, prepare: Callable[[list[str]
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns)):
                 if row[:3] != at:
-                    found += compare(*zip(*held)) if len(held) > 1 else []
+                    found += compare(at[0], *zip(*held)) if len(held) > 1 else []
                     at, held = row[:3], []
                 held.append(row[3:])
             if found:
                 yield pack(found)
                 found = []
-        found += compare(*zip(*held)) if len(held) > 1 else []
+        found += compare(at[0], *zip(*held)) if len(held) > 1 else []
         if found:
             yield pack(found)
 
@@ -220,13 +224,13 @@ def confirm_in_cells(pairs: DataFrame, texts: DataFrame, blocks: int, prepare: C
     return rows.mapInArrow(run, "a long, b long")
 
 
-def linked_components(shared: DataFrame, sketches: DataFrame, measure: Measure, blocks: int,
-                      prepare: Callable[[list[str]], list], linked: Callable[[list, list], np.ndarray]) -> DataFrame:
+def linked_components(shared: DataFrame, sketches: DataFrame, measure: Measure, blocks: int, prepare: Callable[[list[str]], list],
+                      linked: Callable[[list, list], np.ndarray], once: bool = False) -> DataFrame:
     """(node, component) of the nodes whose component is named by another node, its least one along links.
 
     ``shared``: from ``shared_buckets``; ``sketches``: node, sketch (bytes, of one length) and text of its nodes. For two
-    lists of what ``prepare`` makes of texts, ``linked`` says which are linked. ``blocks``: see ``confirm_in_cells``.
-    All inputs are read several times.
+    lists of what ``prepare`` makes of texts, ``linked`` says which are linked. ``blocks``: see ``confirm_in_cells``;
+    ``once``: see ``_block_links``, for pairs that share many buckets and are dear to confirm. All inputs are read several times.
     """
     first = F.col("first.node")
     # the least node that a node shares most buckets with
@@ -238,7 +242,10 @@ def linked_components(shared: DataFrame, sketches: DataFrame, measure: Measure,
 
     opened = _opened(shared.select("key", "node", "n").join(component, "node", "left")
                      .withColumn("component", F.coalesce("component", "node")))
-    links = cut_lineage(_block_links(opened.join(sketches.select("node", "sketch", "text"), "node"), measure, prepare, linked))
+    rows = opened.join(sketches.select("node", "sketch", "text"), "node")
+    if once:
+        rows = rows.join(opened.groupBy("node").agg(F.collect_set("key").alias("keys")), "node")
+    links = cut_lineage(_block_links(rows, measure, prepare, linked, once))
     if links.isEmpty():
         return component
     merged = connected_components(links, "a", "b").where(F.col("node") != F.col("component"))
