@@ -29,6 +29,8 @@ from .components import connected_components
 
 #: nodes a block of a bucket
 BLOCK = 256
+#: buckets of a node that are compared to tell where a pair is looked at
+FEW = 8
 
 
 @dataclass(frozen=True)
@@ -116,15 +118,64 @@ def _grouped(rows: DataFrame, columns: list[str]) -> DataFrame:
     return r.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
+def _with_partner(rows: DataFrame, measure: Measure) -> DataFrame:
+    """The rows of groups (key, i, j) that have a pair to confirm there: of different components, and sizes and
+    sketches allow a link. A pair doesn't count where a lesser bucket is among the ``keys`` of both, the least ``FEW``
+    buckets of each, so one that shares many buckets is looked at in a few of them.
+
+    ``rows``: key, i, j, node, n, component, sketch, keys, one group after the other.
+    """
+
+    def marked(table):
+        """Rows of whole groups; neighbours at every distance are compared for all groups at once."""
+        column = {f: table.column(f).combine_chunks() for f in table.column_names}
+        group = [column[f].to_numpy() for f in ("key", "i", "j")]
+        n, component = column["n"].to_numpy(), column["component"].to_numpy()
+        sketch = _rows_of(column["sketch"])
+        keys = column["keys"].flatten().to_numpy().reshape(-1, FEW)
+        found = np.zeros(len(n), bool)
+        apart = np.arange(len(n))
+        for d in range(1, len(n)):
+            apart = apart[apart + d < len(n)]
+            apart = apart[np.logical_and.reduce([g[apart] == g[apart + d] for g in group])]
+            if not len(apart):
+                break
+            x = apart[(component[apart] != component[apart + d]) & measure.fits_arrays(n[apart], n[apart + d])]
+            x = x[measure.score(sketch[x], sketch[x + d]) >= measure.least] if len(x) else x
+            for some in np.array_split(x, len(x) // 4096 + 1):
+                one = keys[some][:, :, None]
+                lesser = ((one == keys[some + d][:, None, :]) & (one < group[0][some][:, None, None])).any((1, 2))
+                some = some[~lesser]
+                found[some] = found[some + d] = True
+        return table.filter(pa.array(found)).to_batches()
+
+    def run(batches):
+        held, many = [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            many += b.num_rows
+            last = [b.column(f).to_numpy() for f in ("key", "i", "j")]
+            cut = int(np.flatnonzero(np.logical_or.reduce([g != g[-1] for g in last]))[-1]) + 1 if any((g != g[-1]).any() for g in last) else 0
+            if many >= 8192 and cut:
+                held[-1] = b.slice(0, cut)
+                yield from marked(pa.Table.from_batches(held))
+                held, many = [b.slice(cut)], b.num_rows - cut
+        if held:
+            yield from marked(pa.Table.from_batches(held))
+    return rows.mapInArrow(run, rows.schema)
+
+
 def _block_links(rows: DataFrame, measure: Measure, prepare: Callable[[list[str]], list],
                  linked: Callable[[list, list], np.ndarray], once: bool = False) -> DataFrame:
     """Links between components of a bucket, confirmed where the blocks meet; ``rows`` have the nodes' text.
 
     In a group, a pair is only looked at while its components haven't been linked there, so a group gives
-    fewer links than it has nodes. With ``once``, ``rows`` have the ``keys`` of all of the node's buckets too, and
-    of the buckets that a pair shares only the least looks at it.
+    fewer links than it has nodes. With ``once``, ``rows`` are those of ``_with_partner`` in groups, with its rule for
+    pairs that share many buckets.
     """
-    r = _grouped(rows, ["node", "n", "component", "sketch", "text"] + (["keys"] if once else []))
+    r = rows if once else _grouped(rows, ["node", "n", "component", "sketch", "text"])
 
     def compare(key, node, n, component, sketch, text, keys=None):
         own = [frozenset(k) for k in keys] if once else []
@@ -144,7 +195,7 @@ def _block_links(rows: DataFrame, measure: Measure, prepare: Callable[[list[str]
                 same = measure.score(sketch[rest], sketch[i][None, :]) if len(rest) else np.zeros(0)
                 rest = rest[same >= measure.least]
                 if once:
-                    rest = np.array([k for k in rest.tolist() if min(own[i] & own[k]) == key], np.int64)
+                    rest = np.array([k for k in rest.tolist() if min(own[i] & own[k], default=key) >= key], np.int64)
                 hit = -1
                 for at in range(0, len(rest), 32):
                     some = rest[at:at + 32].tolist()
@@ -242,9 +293,17 @@ def linked_components(shared: DataFrame, sketches: DataFrame, measure: Measure,
 
     opened = _opened(shared.select("key", "node", "n").join(component, "node", "left")
                      .withColumn("component", F.coalesce("component", "node")))
-    rows = opened.join(sketches.select("node", "sketch", "text"), "node")
     if once:
-        rows = rows.join(opened.groupBy("node").agg(F.collect_set("key").alias("keys")), "node")
+        def together(rows: DataFrame) -> DataFrame:
+            parts = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            return rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+        most = F.array_repeat(F.lit((1 << 63) - 1), FEW)
+        keys = opened.groupBy("node").agg(F.slice(F.concat(F.sort_array(F.collect_set("key")), most), 1, FEW).alias("keys"))
+        rows = opened.join(sketches.select("node", "sketch"), "node").join(keys, "node")
+        rows = _with_partner(_grouped(rows, ["node", "n", "component", "sketch", "keys"]), measure)
+        rows = together(rows.join(sketches.select("node", "text"), "node").select("key", "i", "j", "node", "n", "component", "sketch", "text", "keys"))
+    else:
+        rows = opened.join(sketches.select("node", "sketch", "text"), "node")
     links = cut_lineage(_block_links(rows, measure, prepare, linked, once))
     if links.isEmpty():
         return component
