@@ -17,14 +17,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import logs as L
-from ..functions.patterns import compiled, line_local
+from ..functions.patterns import compiled, line_local, line_reach
 from ..functions.text import py_strip, re_escape
 from ..session import cut_lineage
+from . import literals
 from .ids import assign_dense_ids
-from .ordering import prefix_sum
+from .ordering import prefix_sum, with_neighbour
 
 # Patterns that travel to the tasks in one piece: rows, and characters in all.
 MAX_PATTERNS, MAX_PATTERN_CHARS = 20_000, 4 << 20
+# Line feeds up to which a match is looked for in neighbouring lines.
+MAX_REACH = 16
 
 
 def error_lines(lines: DataFrame) -> DataFrame:
@@ -104,22 +107,68 @@ def _search(texts: DataFrame, keys: list[str], text_col: str, patterns: list[tup
     return texts.select(*keys, text_col).mapInArrow(run, schema)
 
 
+def _kinds(catalog: DataFrame) -> DataFrame:
+    """(id, pattern, reach) of the patterns that Python takes; reach: line feeds a match can hold, -1 for a pattern
+    that stays inside a line, null without a bound."""
+    def run(batches):
+        for b in batches:
+            ids, patterns, reach = [], [], []
+            for i, p in zip(*(c.to_pylist() for c in b.columns)):
+                if compiled(p) is None:
+                    continue
+                r = -1 if line_local(p) else line_reach(p)
+                ids.append(i)
+                patterns.append(p)
+                reach.append(int(r) if r <= MAX_REACH else None)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(patterns, pa.string()), pa.array(reach, pa.int32())],
+                                             names=["id", "pattern", "reach"])
+    p = catalog.select(F.col("id").cast("long").alias("id"), F.col("error_pattern").alias("pattern")).where(F.col("pattern").isNotNull())
+    return cut_lineage(p.mapInArrow(run, "id long, pattern string, reach int"))
+
+
+def neighbouring_lines(segments: DataFrame, reach: int) -> DataFrame:
+    """(run_id, seg, text): each error-ish line of a run behind the ``reach`` before it, every line with its line feed.
+
+    Neighbours come from (run, block) partitions and the blocks' edges, so no task holds a run.
+    """
+    d = segments.select("run_id", "line_no", "seg", F.concat("line", F.lit("\n")).alias("_l0"))
+    for k in range(reach):
+        # the line before, with what it knows of those before it
+        d = with_neighbour(d, ["run_id"], "line_no", [f"_l{k}"], following=False, prefix="_p").withColumnRenamed(f"_p_l{k}", f"_l{k + 1}")
+    return d.select("run_id", "seg", F.concat_ws("", *[F.col(f"_l{k}") for k in range(reach, -1, -1)]).alias("text"))
+
+
 def find_hits(segments: DataFrame, events: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(run_id, line_no, ts, at_end, error_id): every event whose buffer a catalog pattern is found in."""
-    out = events.select("run_id", "line_no", "ts", "at_end", F.lit(0).cast("long").alias("error_id")).limit(0)
+    """(run_id, line_no, ts, at_end, error_id): every event whose buffer a catalog pattern is found in.
+
+    Patterns that stay inside a line meet the distinct lines, joined over a literal that they require where they
+    have one; patterns that hold a bounded number of line feeds meet neighbouring lines. Only those without a bound
+    (anchors, look-around, endless repeats over line ends) are searched in the buffers' text.
+    """
+    kinds = _kinds(catalog)
+    local = kinds.where("reach = -1").select("id", "pattern")
+    indexed = cut_lineage(literals.with_window(local))
+    loose = local.join(indexed.select("id"), "id", "left_anti").withColumnRenamed("pattern", "error_pattern")
     distinct = segments.select("line").distinct()
-    for piece in _pattern_slices(catalog):
-        usable = [(i, p) for i, p in piece if compiled(p) is not None]
-        local = [(i, p) for i, p in usable if line_local(p)]
-        reaching = [(i, p) for i, p in usable if not line_local(p)]
-        if local:
-            found = _search(distinct, ["line"], "line", local)
-            first = segments.join(found, "line").groupBy("run_id", "error_id").agg(F.min("seg").alias("from_seg"))
-            out = out.unionByName(events.join(first, "run_id").where(F.col("from_seg") <= F.col("upto"))
-                                  .select("run_id", "line_no", "ts", "at_end", "error_id"))
-        if reaching:
-            texts = _buffers(segments, ends=True)
-            out = out.unionByName(_search(texts, ["run_id", "line_no", "ts", "at_end"], "buffer", reaching))
+    found = [segments.join(literals.lines_with(distinct, indexed), "line").select("run_id", "error_id", "seg")]
+    for piece in _pattern_slices(loose):
+        if piece:
+            found.append(segments.join(_search(distinct, ["line"], "line", piece), "line").select("run_id", "error_id", "seg"))
+    for (reach,) in kinds.where("reach >= 0").select("reach").distinct().orderBy("reach").collect():
+        texts = cut_lineage(neighbouring_lines(segments, reach))
+        for piece in _pattern_slices(kinds.where(F.col("reach") == reach).withColumnRenamed("pattern", "error_pattern")):
+            hits = _search(texts.select("text").distinct(), ["text"], "text", piece)
+            found.append(texts.join(hits, "text").select("run_id", "error_id", "seg"))
+    first = found[0]
+    for more in found[1:]:
+        first = first.unionByName(more)
+    first = first.groupBy("run_id", "error_id").agg(F.min("seg").alias("from_seg"))
+    keys = ["run_id", "line_no", "ts", "at_end"]
+    out = events.join(first, "run_id").where(F.col("from_seg") <= F.col("upto")).select(*keys, "error_id")
+    for piece in _pattern_slices(kinds.where(F.col("reach").isNull()).withColumnRenamed("pattern", "error_pattern")):
+        if piece:
+            wanted = _buffers(segments, ends=True).join(events.select("run_id", "line_no"), ["run_id", "line_no"], "left_semi")
+            out = out.unionByName(_search(wanted, keys, "buffer", piece))
     return out
 
 
