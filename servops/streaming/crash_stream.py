@@ -1,6 +1,6 @@
 """R2: live crash detection over streaming engine-log lines.
 
-Error-ish lines are kept per run in ``applyInPandasWithState`` state (the reference never clears its buffer);
+Error-ish lines are kept per run as list state (``transformWithState``), to which a batch appends its own lines;
 every crash sentinel emits the buffer so far at once. A line that arrives late, but inside the watermark, takes
 its place by line number, and the crashes after it are emitted again with a higher ``turn``: of each crash
 the row of the highest turn counts. A run whose log is silent for ``idle`` of *event time* is finished: if it
@@ -12,14 +12,14 @@ against the catalog (known errors) and mines the rest.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import TimerValues
 
 from ..functions import logs as L
 from ..operators import errors as E
@@ -27,8 +27,11 @@ from ..sources.engine_logs import line_time
 
 OUTPUT_FIELDS = ("line_no long, ts timestamp_ntz, crash_no long, n_lines long, buffer string, at_end boolean, "
                  "turn long")
-STATE_SCHEMA = "lines string, turn long, last_ms long"
+LINE_STATE = "line_no long, ts timestamp_ntz, line string, is_crash boolean"
+#: emissions so far, newest event time, largest line number, line of the last crash (-1: none)
+RUN_STATE = "turn long, last_ms long, last_line long, last_crash long"
 _KEPT = ["line_no", "ts", "line", "is_crash"]
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def stream_engine_logs(spark: SparkSession, path: str) -> DataFrame:
@@ -42,41 +45,62 @@ def stream_engine_logs(spark: SparkSession, path: str) -> DataFrame:
                         line_time(F.col("line"), F.col("_changed")).alias("ts"), "line")
 
 
-def _crash_fn(idle_ms: int):
-    def rows_of(key, lines: pd.DataFrame, at, turn: int, at_end: bool):
+class CrashBuffers(StatefulProcessor):
+    """A run's error lines as list state, appended to; they are read when a crash or a late line asks for them.
+
+    A batch without either costs its own lines, whatever the run holds already.
+    """
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.lines = handle.getListState("lines", LINE_STATE)
+        self.run = handle.getValueState("run", RUN_STATE)
+
+    def _all_lines(self) -> pd.DataFrame:
+        lines = pd.DataFrame([tuple(x) for x in self.lines.get()], columns=_KEPT)
+        return lines.drop_duplicates("line_no").sort_values("line_no", ignore_index=True)
+
+    def _rows(self, key, lines: pd.DataFrame, at: list[int], turn: int, at_end: bool) -> pd.DataFrame:
         """An output row for each position in ``at``: the buffer holds the lines up to it."""
-        crash_no = lines["is_crash"].cumsum()
+        crash_no = lines["is_crash"].astype(bool).cumsum()
         return pd.DataFrame([(key[0], lines["line_no"].iat[i], lines["ts"].iat[i], int(crash_no.iat[i]) + at_end, i + 1,
                               "".join(lines["line"].iloc[:i + 1] + "\n"), at_end, turn) for i in at],
                             columns=["run_id", "line_no", "ts", "crash_no", "n_lines", "buffer", "at_end", "turn"])
 
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        text, turn, last_ms = state.get if state.exists else ("[]", 0, 0)
-        lines = pd.DataFrame(json.loads(text), columns=_KEPT)
-        lines["ts"] = pd.to_datetime(lines["ts"])
-        if state.hasTimedOut:
-            state.remove()
-            if len(lines) and not lines["is_crash"].any():
-                yield rows_of(key, lines, [len(lines) - 1], turn + 1, True)
-            return
-        new = pd.concat(list(pdfs), ignore_index=True)
-        known = set(lines["line_no"])
-        fresh = new[~new["line_no"].isin(known)].drop_duplicates("line_no")
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        turn, last_ms, last_line, last_crash = self.run.get() if self.run.exists() else (0, 0, -1, -1)
+        new = pd.concat(list(rows), ignore_index=True)
+        fresh = new.drop_duplicates("line_no")
+        if (fresh["line_no"] <= last_line).any():  # late lines, or lines that were given before
+            fresh = fresh[~fresh["line_no"].isin(set(self._all_lines()["line_no"]))]
         last_ms = max(last_ms, int(new["event_ms"].max()))
         if len(fresh):
             turn += 1
-            lines = pd.concat([lines, fresh[_KEPT]], ignore_index=True) if len(lines) else fresh[_KEPT]
-            lines = lines.sort_values("line_no", ignore_index=True)
-            lines["is_crash"] = lines["is_crash"].astype(bool)
-            # crashes at or after the first line that is new
-            first = int(lines["line_no"].searchsorted(fresh["line_no"].min()))
-            at = [int(i) for i in lines.index[lines["is_crash"]] if i >= first]
-            if at:
-                yield rows_of(key, lines, at, turn, False)
-        kept = lines.assign(ts=lines["ts"].astype(str))[_KEPT]
-        state.update((json.dumps(kept.values.tolist()), turn, last_ms))
-        state.setTimeoutTimestamp(max(last_ms + idle_ms, state.getCurrentWatermarkMs() + 1))
-    return fn
+            kept = fresh[_KEPT].sort_values("line_no")
+            self.lines.appendList([(int(n), t, x, bool(c)) for n, t, x, c in zip(kept["line_no"], [t.to_pydatetime() for t in kept["ts"]], kept["line"], kept["is_crash"])])
+            crashes = kept["line_no"][kept["is_crash"].astype(bool)]
+            last_line = max(last_line, int(kept["line_no"].max()))
+            last_crash = max(last_crash, int(crashes.max()) if len(crashes) else -1)
+            first = int(kept["line_no"].min())
+            if last_crash >= first:  # crashes at or after the first line that is new
+                lines = self._all_lines()
+                at = [int(i) for i in lines.index[lines["is_crash"].astype(bool) & (lines["line_no"] >= first)]]
+                yield self._rows(key, lines, at, turn, False)
+        self.run.update((turn, last_ms, last_line, last_crash))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
+        self.handle.registerTimer(max(last_ms + self.idle_ms, timerValues.getCurrentWatermarkInMs() + 1))
+
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        turn, _, _, last_crash = self.run.get() if self.run.exists() else (0, 0, -1, 0)
+        if last_crash < 0:
+            lines = self._all_lines()
+            yield self._rows(key, lines, [len(lines) - 1], turn + 1, True)
+        self.lines.clear()
+        self.run.clear()
 
 
 def live_crashes(lines: DataFrame, idle_minutes: int = 30) -> DataFrame:
@@ -91,9 +115,10 @@ def live_crashes(lines: DataFrame, idle_minutes: int = 30) -> DataFrame:
               .select("run_id", "line_no", "ts", "line", L.is_crash_sentinel("line").alias("is_crash"),
                       F.unix_millis("event_time").alias("event_ms"), "event_time"))
     kind = lines.schema["run_id"].dataType.simpleString()
-    return e.groupBy("run_id").applyInPandasWithState(
-        _crash_fn(idle_minutes * 60 * 1000), f"run_id {kind}, {OUTPUT_FIELDS}", STATE_SCHEMA, "append",
-        GroupStateTimeout.EventTimeTimeout)
+    # list state and timers need this state store
+    lines.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return e.groupBy("run_id").transformWithStateInPandas(
+        CrashBuffers(idle_minutes * 60 * 1000), f"run_id {kind}, {OUTPUT_FIELDS}", "Append", "EventTime")
 
 
 def final_crashes(rows: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import datetime as dt
 import os
 import tempfile
 
@@ -77,3 +78,31 @@ def test_appended_tables_read_back_and_retries_add_nothing(spark):
     assert [r.initial_count for r in tables.read_errors(spark, os.path.join(d, "errors")).collect()] == [0, 0]
     sinks.write_json(sinks.to_json_lines(models), os.path.join(d, "json"))
     assert spark.read.json(os.path.join(d, "json")).count() == 1
+
+
+def test_lines_without_a_time_have_that_of_the_line_before(spark):
+    d = tempfile.mkdtemp(prefix="servops-logs-")
+    want = {}
+    for f, n in [("a.log", 300), ("b.log", 5), ("c.log", 200)]:
+        last, lines = None, []
+        for i in range(n):
+            if i % 41 == 3:
+                last = dt.datetime(2024, 3, 15, 10, i // 60, i % 60)
+                lines.append((f"ERROR 2024-03-15 10:{i // 60:02d}:{i % 60:02d} {f} {i}", last))
+            else:
+                lines.append((f"  File {f}, line {i}" + "x" * (i % 9), last))
+        with open(os.path.join(d, f), "w") as h:
+            h.write("".join(x + "\n" for x, _ in lines))
+        want[f] = lines
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = read_engine_logs(spark, d).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    for f, lines in want.items():
+        got = sorted((r.line_no, r.line, r.ts) for r in rows if r.run_id.endswith(f))
+        changed = got[0][2]
+        assert [(x, t) for _, x, t in got] == [(x, t or changed) for x, t in lines] and changed.year > 2024
