@@ -140,12 +140,46 @@ def _earlier_epochs(spark, path: str, epoch_id: int) -> DataFrame | None:
         return None
 
 
+def turns_path(hits_path: str) -> str:
+    return f"{hits_path.rstrip('/')}_turns"
+
+
+def _last_turns(spark, hits_path: str) -> DataFrame:
+    turns = spark.read.option("basePath", turns_path(hits_path)).parquet(f"{turns_path(hits_path)}/epoch=*")
+    return turns.groupBy("run_id", "line_no").agg(F.max("turn").alias("turn"))
+
+
+def current_hits(spark: SparkSession, hits_path: str) -> DataFrame:
+    """The hits of each crash's highest turn: a late line changes a crash's hits, it doesn't add to them."""
+    hits = spark.read.option("basePath", hits_path).parquet(f"{hits_path.rstrip('/')}/epoch=*")
+    return hits.join(_last_turns(spark, hits_path), ["run_id", "line_no", "turn"])
+
+
+def current_new_errors(spark: SparkSession, catalog: DataFrame, hits_path: str, new_errors_path: str) -> DataFrame:
+    """The mined errors without those that a late line has made known ones.
+
+    An error stays while a crash that it was mined from has no later turn, or while a crash of the highest turn
+    holds it and nothing of the catalog.
+    """
+    mined = spark.read.option("basePath", new_errors_path).parquet(f"{new_errors_path.rstrip('/')}/epoch=*")
+    hits = current_hits(spark, hits_path).select("run_id", "line_no", F.col("error_id").alias("id"))
+    known = hits.join(catalog.select("id"), "id").select("run_id", "line_no").distinct()
+    alone = hits.join(known, ["run_id", "line_no"], "left_anti").select("id").distinct()
+    source = _last_turns(spark, hits_path).withColumnsRenamed({"run_id": "first_run_id", "line_no": "first_line_no"})
+    as_mined = mined.join(source, ["first_run_id", "first_line_no", "turn"]).select("id")
+    several = mined.where("n_crashes > 1").select("id")
+    return mined.join(as_mined.unionByName(several).unionByName(alone).distinct(), "id", "left_semi")
+
+
 def alert_batch(catalog: DataFrame, hits_path: str, new_errors_path: str):
     """``foreachBatch`` handler: known-error hits and newly mined errors of a micro-batch.
 
     Buffers are matched once against the catalog and every error mined in earlier epochs, so a new error
     is mined once and later crashes count as its hits. Ends of runs only match. New ids continue after the
     largest id of the whole catalog and of the earlier epochs. A replayed epoch replaces its rows.
+
+    A crash that a late line changes comes again with a higher ``turn``. Every row has its turn, and the turns of all
+    crashes are written beside ``hits_path`` (``turns_path``): ``current_hits`` and ``current_new_errors`` read what holds.
     """
     cols = ["id", "error_pattern", "error_message", "solution"]
 
@@ -158,10 +192,14 @@ def alert_batch(catalog: DataFrame, hits_path: str, new_errors_path: str):
             if prior is not None:
                 known = known.unionByName(prior.select(*cols))
             found = E.search_buffers(crashes, known).persist()
-            _write_epoch(E.with_entries(found, known), hits_path, epoch_id)
+            turns = crashes.select("run_id", "line_no", "turn")
+            _write_epoch(turns, turns_path(hits_path), epoch_id)
+            _write_epoch(E.with_entries(found, known).join(turns, ["run_id", "line_no"]), hits_path, epoch_id)
             first_id = known.agg(F.max("id")).first()[0] or 0
             unmatched = E.unmatched_crashes(crashes, found)
-            _write_epoch(E.new_entries(E.messages_of_buffers(unmatched), int(first_id)), new_errors_path, epoch_id)
+            mined = E.new_entries(E.messages_of_buffers(unmatched), int(first_id))
+            source = turns.withColumnsRenamed({"run_id": "first_run_id", "line_no": "first_line_no"})
+            _write_epoch(mined.join(source, ["first_run_id", "first_line_no"]), new_errors_path, epoch_id)
             found.unpersist()
         finally:
             crashes.unpersist()

@@ -160,3 +160,26 @@ def _unmatched_same_batch(spark, lines, mined_rows, covered):
         if any(_re.search(r.error_pattern, c.buffer, _re.IGNORECASE) for r in mined_rows):
             out.add((c.run_id, c.line_no))
     return out
+
+
+def test_late_lines_change_hits_and_withdraw_mined_errors(spark):
+    d = _scratch()
+    sent = "RuntimeError: Server process terminated unexpectedly"
+    parts = [[(1, 4, 4, sent), (2, 1, 1, "Error: known one"), (2, 5, 5, sent), (3, 9, 6, sent + " new")],
+             [(1, 1, 1, "Error: known one"), (2, 2, 2, "Exception: second known"), (2, 8, 8, sent)]]  # late lines
+    catalog = spark.createDataFrame([(1, "known one", "m1", "s"), (2, "second known", "m2", "s")],
+                                    "id int, error_pattern string, error_message string, solution string")
+    src = spark.readStream.schema("run_id long, line_no long, ts timestamp_ntz, line string").parquet(os.path.join(d, "logs", "*"))
+    hits, mined = os.path.join(d, "hits"), os.path.join(d, "mined")
+    handler = crash_stream.alert_batch(catalog, hits, mined)
+    for k, rows in enumerate(parts):
+        _days(spark, rows).coalesce(1).write.parquet(os.path.join(d, "logs", f"p{k}"))
+        (crash_stream.live_crashes(src, 30).writeStream.foreachBatch(handler).option("checkpointLocation", os.path.join(d, "ck"))
+             .trigger(availableNow=True).start().awaitTermination())
+    lines = _days(spark, [r for p in parts for r in p])
+    now = sorted((r.run_id, r.line_no, r.error_id) for r in crash_stream.current_hits(spark, hits).collect() if r.error_id <= 2)
+    assert now == sorted((r.run_id, r.line_no, r.error_id) for r in E.match_known_errors(lines, catalog).collect())
+    assert now == [(1, 4, 1), (2, 5, 1), (2, 5, 2), (2, 8, 1), (2, 8, 2)]
+    everything = {r.error_message for r in spark.read.parquet(mined).collect()}
+    left = {r.error_message for r in crash_stream.current_new_errors(spark, catalog, hits, mined).collect()}
+    assert len(everything) == 2 and left == {m for m in everything if m.endswith("new")}
