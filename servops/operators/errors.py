@@ -77,11 +77,14 @@ def _buffers(segments: DataFrame, ends: bool = False) -> DataFrame:
         .drop(*([] if ends else ["at_end"]))
 
 
-def _pattern_slices(catalog: DataFrame):
-    """The catalog's (id, pattern) in pieces that fit a task, however large the catalog is."""
+def _pattern_slices(catalog: DataFrame, size=None):
+    """The catalog's (id, pattern) in pieces that fit a task, however large the catalog is; none of an empty one.
+
+    ``size``: (patterns, characters) of the catalog where they are known.
+    """
     p = catalog.select(F.col("id").cast("long").alias("id"), "error_pattern").where(F.col("error_pattern").isNotNull())
-    size = p.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("error_pattern")).alias("chars")).first()
-    slices = 1 + max((size["n"] or 0) // MAX_PATTERNS, (size["chars"] or 0) // MAX_PATTERN_CHARS)
+    n, chars = size or p.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("error_pattern")), F.lit(0))).first()
+    slices = 1 + max(n // MAX_PATTERNS, chars // MAX_PATTERN_CHARS) if n else 0
     for k in range(slices):
         piece = p.where(F.pmod(F.xxhash64("id"), F.lit(slices)) == k) if slices > 1 else p
         yield [(r["id"], r["error_pattern"]) for r in piece.collect()]
@@ -146,17 +149,23 @@ def find_hits(segments: DataFrame, events: DataFrame, catalog: DataFrame) -> Dat
     (anchors, look-around, endless repeats over line ends) are searched in the buffers' text.
     """
     kinds = _kinds(catalog)
-    local = kinds.where("reach = -1").select("id", "pattern")
-    indexed = cut_lineage(literals.with_window(local))
-    loose = local.join(indexed.select("id"), "id", "left_anti").withColumnRenamed("pattern", "error_pattern")
-    distinct = segments.select("line").distinct()
-    found = [segments.join(literals.lines_with(distinct, indexed), "line").select("run_id", "error_id", "seg")]
-    for piece in _pattern_slices(loose):
-        if piece:
-            found.append(segments.join(_search(distinct, ["line"], "line", piece), "line").select("run_id", "error_id", "seg"))
-    for (reach,) in kinds.where("reach >= 0").select("reach").distinct().orderBy("reach").collect():
+    # at most one row a number of line feeds
+    sizes = {r["reach"]: (r["n"], r["chars"]) for r in kinds.groupBy("reach").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.length("pattern")).alias("chars")).collect()}
+    kinds = kinds.withColumnRenamed("pattern", "error_pattern")
+    found = [segments.select("run_id", F.lit(0).cast("long").alias("error_id"), "seg").limit(0)]
+    if -1 in sizes:
+        local = kinds.where("reach = -1")
+        indexed = cut_lineage(literals.with_window(local.select("id", F.col("error_pattern").alias("pattern"))))
+        distinct = segments.select("line").distinct()
+        with_line = literals.lines_with(distinct, indexed)
+        if indexed.count() < sizes[-1][0]:
+            for piece in _pattern_slices(local.join(indexed.select("id"), "id", "left_anti")):
+                with_line = with_line.unionByName(_search(distinct, ["line"], "line", piece))
+        found.append(segments.join(with_line, "line").select("run_id", "error_id", "seg"))
+    for reach in sorted(r for r in sizes if r is not None and r >= 0):
         texts = cut_lineage(neighbouring_lines(segments, reach))
-        for piece in _pattern_slices(kinds.where(F.col("reach") == reach).withColumnRenamed("pattern", "error_pattern")):
+        for piece in _pattern_slices(kinds.where(F.col("reach") == reach), sizes[reach]):
             hits = _search(texts.select("text").distinct(), ["text"], "text", piece)
             found.append(texts.join(hits, "text").select("run_id", "error_id", "seg"))
     first = found[0]
@@ -165,10 +174,9 @@ def find_hits(segments: DataFrame, events: DataFrame, catalog: DataFrame) -> Dat
     first = first.groupBy("run_id", "error_id").agg(F.min("seg").alias("from_seg"))
     keys = ["run_id", "line_no", "ts", "at_end"]
     out = events.join(first, "run_id").where(F.col("from_seg") <= F.col("upto")).select(*keys, "error_id")
-    for piece in _pattern_slices(kinds.where(F.col("reach").isNull()).withColumnRenamed("pattern", "error_pattern")):
-        if piece:
-            wanted = _buffers(segments, ends=True).join(events.select("run_id", "line_no"), ["run_id", "line_no"], "left_semi")
-            out = out.unionByName(_search(wanted, keys, "buffer", piece))
+    for piece in _pattern_slices(kinds.where(F.col("reach").isNull()), sizes.get(None, (0, 0))):
+        wanted = _buffers(segments, ends=True).join(events.select("run_id", "line_no"), ["run_id", "line_no"], "left_semi")
+        out = out.unionByName(_search(wanted, keys, "buffer", piece))
     return out
 
 
