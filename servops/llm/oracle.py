@@ -16,7 +16,8 @@ def _list(values) -> str:
 
 
 _WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_templates = ", ".join(f"({k}, {_text(label)}, {_list(ws)})" for k, label, ws in licenses.template_words())
+_templates = ", ".join(f"({k}, {_text(label)}, {_list(ws)}, {_list(licenses.required_words(label, ws))}::varchar[])"
+                       for k, label, ws in licenses.template_words())
 _places = " || ".join(
     "[{'at': i, 'label': " + _text(label) + "} for i in range(1, len(w) + 2 - " + str(len(parts)) + ") if "
     + " and ".join(f"w[i + {k}] = {_text(p)}" for k, p in enumerate(parts)) + "]"
@@ -27,16 +28,16 @@ with low as (
   select doc_id, translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}') as t from documents),
 words as (select doc_id, t, regexp_extract_all(t, '{_WORDS}') as w from low),
 places as (select doc_id, len(w) as n, {_places} as p from words),
-lines as (select doc_id, row_number() over () as b, line
-          from (select doc_id, unnest(string_split(t, chr(10))) as line from low)),
-sets as (select doc_id, b, list_distinct(regexp_extract_all(line, '{_WORDS}')) as w from lines
-         where regexp_matches(line, '{_WORDS}')),
-templates(k, label, tw) as (values {_templates}),
+lines as (select doc_id, b, regexp_extract_all(line, '{_WORDS}') as lw
+          from (select doc_id, unnest(string_split(t, chr(10))) as line, generate_subscripts(string_split(t, chr(10)), 1) as b from low)),
+starts as (select doc_id, len(lw) as n, sum(len(lw)) over (partition by doc_id order by b) - len(lw) as s from lines),
+sets as (select doc_id, list_distinct(w[s + 1 : s + l.n + {licenses.reach()}]) as w
+         from starts l join words using (doc_id) where l.n > 0),
+templates(k, label, tw, must) as (values {_templates}),
 hits as (
-  select doc_id, b, label, len(list_intersect(w, tw)) / len(tw) as score
+  select doc_id, label, len(list_intersect(w, tw)) / len(tw) as score
   from sets, templates
-  where len(list_intersect(w, tw)) / len(tw) >= {licenses.THRESHOLD}
-  qualify score = max(score) over (partition by doc_id, b)),
+  where len(list_intersect(w, tw)) / len(tw) >= {licenses.THRESHOLD} and list_has_all(w, must)),
 best as (select doc_id, list(distinct label) as found, max(score) as best from hits group by doc_id)
 select p.doc_id, n::bigint as n_words, len(p)::bigint as n_base,
   (list_min([x.at for x in p]) - 1)::bigint as first_word, (list_max([x.at for x in p]) - 1)::bigint as last_word,
