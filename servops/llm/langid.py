@@ -10,8 +10,7 @@ length in every language is a sum of table rows.
 
 from __future__ import annotations
 
-import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +22,8 @@ from .textarrays import byte_view
 UNDECIDED = "und"
 #: labelled texts a language is learnt from, expected number (chosen by a hash of the key)
 TEXTS_A_LANGUAGE = 600
-#: times a context must have been seen to be kept; three-byte contexts kept in all (the most frequent)
-SEEN, CONTEXTS = 4, 1 << 15
-#: bytes that have a symbol of their own; the others share the last symbol
-SYMBOLS = 127
+#: times a context must have been seen to be kept; bytes of the longest context
+SEEN, ORDER = 4, 3
 #: bytes of evidence the score counts at most
 EVIDENCE = 64
 #: one labelled text in so many sets the limits of ``clear_texts`` and doesn't teach; texts a language must have for that
@@ -45,7 +42,6 @@ class LanguageModel:
     grams: np.ndarray  # context and byte as four bytes in one number
     which: np.ndarray  # language of each count
     counts: np.ndarray
-    key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
 def gram_numbers(data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -118,77 +114,74 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", key:
     return LanguageModel(languages, grams[order], which[order], counts[order])
 
 
+class _Level:
+    """One language's contexts of one length: sorted (context, byte) numbers with their bits, contexts with their escapes."""
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, depth: int):
+        self.mask = np.uint32((1 << 8 * (depth + 1)) - 1)
+        pairs, place = np.unique(grams & self.mask, return_inverse=True)
+        count = np.bincount(place, weights=counts, minlength=len(pairs))
+        contexts, place = np.unique(pairs >> np.uint32(8), return_inverse=True)
+        total, kinds = (np.bincount(place, weights=w, minlength=len(contexts)) for w in (count, None))
+        kept = total >= (SEEN if depth else 1)
+        with np.errstate(divide="ignore"):
+            bits = -np.log2(count / (total + kinds)[place])
+        self.pairs, self.bits = pairs[kept[place]], bits[kept[place]]
+        self.contexts, self.escape = contexts[kept], -np.log2(kinds / (total + kinds))[kept]
+
+    def after(self, grams: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+        """Bits of each gram's byte in this level's context, from its bits after the next shorter one."""
+        at, known = _find(self.contexts, (grams & self.mask) >> np.uint32(8))
+        bits = shorter.copy()
+        bits[known] += self.escape[at[known]]
+        at, known = _find(self.pairs, grams & self.mask)
+        bits[known] = self.bits[at[known]]
+        return bits
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the sorted keys, whether it is there) of each wanted number."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
 class CodeLengths:
-    """The model flattened: bits of each symbol after each kept context, a column a language."""
+    """The model as sorted arrays: bits of every byte after its longest kept context, a column a language."""
 
     def __init__(self, model: LanguageModel):
-        g, n, w = model.grams, model.counts, model.which
-        raw = [(g >> np.uint32(s) & np.uint32(255)).astype(np.int64) for s in (24, 16, 8, 0)]
-        use = np.bincount(raw[3], weights=n, minlength=256)
-        use[0] = 0
-        own = np.sort(np.argsort(-use, kind="stable")[:SYMBOLS - 1][use[np.argsort(-use, kind="stable")[:SYMBOLS - 1]] > 0])
-        self.symbol = np.full(256, len(own) + 1, np.int64)
-        self.symbol[0] = 0  # before the text
-        self.symbol[own] = np.arange(1, len(own) + 1)
-        a = self.a = len(own) + 2
-        c = [self.symbol[x] for x in raw]
-        ctx3 = (c[0] * a + c[1]) * a + c[2]
-        # three-byte contexts kept in some language, the most frequent
-        kinds, inverse = np.unique(ctx3 * len(model.languages) + w, return_inverse=True)
-        seen = np.bincount(inverse, weights=n)
-        enough = kinds[seen >= SEEN] // len(model.languages)
-        held, place = np.unique(enough, return_inverse=True)
-        weight = np.bincount(place, weights=seen[seen >= SEEN]) if len(held) else np.zeros(0)
-        held = np.sort(held[np.argsort(-weight, kind="stable")[:CONTEXTS]])
-        # row of every three-byte context: its own, else that of its last two bytes
-        self.row = len(held) + np.tile(np.arange(a * a), a)
-        self.row[held] = np.arange(len(held))
-        self.row = self.row.astype(np.int32)
-        table = np.empty((len(held) + a * a, a, len(model.languages)), np.float32)
-        for k in range(len(model.languages)):
-            mine = w == k
-            m, s0, s1, s2, s3 = n[mine], *(x[mine] for x in c)
-            order0 = self._level(np.bincount(s3, weights=m, minlength=a)[None, :], np.full((1, a), np.log2(a)), 0)
-            order1 = self._level(np.bincount(s2 * a + s3, weights=m, minlength=a * a).reshape(a, a), np.broadcast_to(order0, (a, a)), SEEN)
-            order2 = self._level(np.bincount((s1 * a + s2) * a + s3, weights=m, minlength=a ** 3).reshape(a * a, a),
-                                 np.tile(order1, (a, 1)), SEEN)
-            at = np.searchsorted(held, ctx3[mine])
-            hit = (at < len(held)) & (held[np.minimum(at, len(held) - 1)] == ctx3[mine]) if len(held) else np.zeros(len(m), bool)
-            deep = np.bincount(at[hit] * a + s3[hit], weights=m[hit], minlength=len(held) * a).reshape(len(held), a)
-            table[:len(held), :, k] = self._level(deep, order2[held % (a * a)], SEEN)
-            table[len(held):, :, k] = order2
-        self.table = table.reshape(-1, len(model.languages))
-
-    @staticmethod
-    def _level(count: np.ndarray, shorter: np.ndarray, least: int) -> np.ndarray:
-        """Bits of each symbol in each context (rows), from its counts and the bits of the shorter context."""
-        total, kinds = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            seen = -np.log2(count / (total + kinds))
-            escape = -np.log2(kinds / (total + kinds))
-        bits = np.where(count > 0, seen, escape + shorter)
-        return np.where(total >= max(least, 1), bits, shorter)
+        self.levels = [[_Level(model.grams[model.which == k], model.counts[model.which == k], d) for d in range(ORDER + 1)]
+                       for k in range(len(model.languages))]
+
+    def bits(self, grams: np.ndarray) -> np.ndarray:
+        """Bits of each (context, byte) in every language (columns)."""
+        out = np.full((len(grams), len(self.levels)), 8.0)
+        for k, levels in enumerate(self.levels):
+            for level in levels:
+                out[:, k] = level.after(grams, out[:, k])
+        return out
 
     def of(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Code length in bits of every whole text (rows) in every language (columns)."""
-        out = np.zeros((len(off) - 1, self.table.shape[1]))
-        a = self.a
+        out = np.zeros((len(off) - 1, len(self.levels)))
         for texts, grams, starts in _pieces(data, off):
-            c = [self.symbol[(grams >> np.uint32(s) & np.uint32(255)).astype(np.uint8)] for s in (24, 16, 8, 0)]
-            at = self.row[(c[0] * a + c[1]) * a + c[2]] * np.int64(a) + c[3]
-            np.add.at(out, texts, np.add.reduceat(self.table[at], starts, axis=0, dtype=np.float64))
+            kinds, place = np.unique(grams, return_inverse=True)
+            np.add.at(out, texts, np.add.reduceat(self.bits(kinds)[place], starts, axis=0))
         return out
 
 
-_flat: dict[str, CodeLengths] = {}
+def _share(spark, model: LanguageModel):
+    """Broadcast of the model as plain arrays: a broadcast names classes by their module, which a worker needn't have."""
+    return spark.sparkContext.broadcast({"languages": model.languages, "grams": model.grams, "which": model.which,
+                                         "counts": model.counts})
 
 
-def _lengths(model: LanguageModel) -> CodeLengths:
-    """The worker's table, made once a model."""
-    if model.key not in _flat:
-        _flat.clear()
-        _flat[model.key] = CodeLengths(model)
-    return _flat[model.key]
+def _lengths(shared: dict) -> CodeLengths:
+    """The worker's code lengths, made once a model."""
+    if "lengths" not in shared:
+        shared["lengths"] = CodeLengths(LanguageModel(*(shared[k] for k in ("languages", "grams", "which", "counts"))))
+    return shared["lengths"]
 
 
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_out: str = "lang_pred",
@@ -200,7 +193,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_
     null or has no letter, and every text if no language was learnt, is ``und`` with score 0.
     No shuffle; the model goes to the workers with the function, its size is bounded by the sample.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = _share(docs.sparkSession, model)
     no_language = not model.languages
 
     @F.arrow_udf("struct<lang:string,score:double>")
@@ -211,7 +204,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_
         size = np.maximum(np.diff(off), 1)
         ahead = (bits - bits.min(1, keepdims=True)) * (np.minimum(size, EVIDENCE) / size)[:, None]
         score = 1 / np.exp2(-np.minimum(ahead, 1000)).sum(1)
-        names = np.array(shared.value.languages, object)[best]
+        names = np.array(shared.value["languages"], object)[best]
         return pa.StructArray.from_arrays([pa.array(names.tolist(), pa.string()), pa.array(score)], names=["lang", "score"])
     found = F.lit(None).cast("struct<lang:string,score:double>") if no_language else identify(F.col(text_col))
     speaks = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)) & F.lit(not no_language)
@@ -257,10 +250,10 @@ def calibrate(docs: DataFrame, model: LanguageModel, lang_col: str = "lang", tex
     share = F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, min(scale, -(-scale * texts_a_language // n)))])
     sample = rows.where(F.pmod("k", F.lit(scale)) < share[F.col("l")]).select("l", letters(F.substring("t", 1, _HEAD)).alias("t"))
     sample = sample.where(F.octet_length("t") >= EVIDENCE)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = _share(docs.sparkSession, model)
 
     def run(batches):
-        place = {k: i for i, k in enumerate(shared.value.languages)}
+        place = {k: i for i, k in enumerate(shared.value["languages"])}
         for b in batches:
             texts = b.column(1).to_pylist()
             mixed = []
@@ -294,7 +287,7 @@ def clear_texts(docs: DataFrame, model: LanguageModel, limits: dict[str, tuple[f
     speaks = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     if not limits:
         return docs.where(speaks)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = _share(docs.sparkSession, model)
     lenient = (*max((x[:2] for x in limits.values()), key=sum), 0.0)
 
     @F.arrow_udf("boolean")
@@ -302,7 +295,7 @@ def clear_texts(docs: DataFrame, model: LanguageModel, limits: dict[str, tuple[f
         data, off = byte_view(texts)
         size = np.maximum(np.diff(off), 1)
         best, rate, lead = _best(_lengths(shared.value).of(data, off), size)
-        usual, noise, ahead = np.array([limits.get(k, lenient) for k in shared.value.languages]).T[:, best]
+        usual, noise, ahead = np.array([limits.get(k, lenient) for k in shared.value["languages"]]).T[:, best]
         gibberish = (rate - (usual + noise) / 2) * size > BEYOND
         mixed = (((rate - usual) - (1 - PART) * ahead) * size > BEYOND) & (((2 * PART - 1) * ahead - lead) * size > BEYOND)
         return pa.array(~(gibberish | mixed))
