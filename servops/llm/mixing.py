@@ -102,7 +102,7 @@ def mix(docs: DataFrame, levels: dict[str, Column], budget_share: float = 0.5, e
     ``budget_share`` of all tokens, rounded down; a leaf may be used ``epochs`` times. Of its budget a leaf
     takes as many whole epochs as fit, then the documents of one more in their seeded order as long as
     the running sum stays within the rest; rows of equal order (same id) go together. A leaf without any
-    token is taken once. A null or empty text has no tokens. Input columns named mix_... are replaced.
+    token is taken once. A null or empty text has no tokens. Input columns with the names of these are replaced, all others stay.
 
     A leaf can hold a third of all rows: its order is cut into bins, the bins' sums are added up first, and
     only the bin in which the budget ends is put in order. That gives each leaf the last order it takes, and
@@ -110,7 +110,7 @@ def mix(docs: DataFrame, levels: dict[str, Column], budget_share: float = 0.5, e
     """
     names = [f"mix_{n}" for n in levels]
     size = tokens if tokens is not None else tokens_of(F.col(text_col))
-    kept = [F.col(f"`{c}`") for c in docs.columns if not c.startswith("mix_")]
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in {*map(str.lower, names), "mix_tokens", "mix_copies"}]
     base = docs.select(F.struct(*kept).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"),
                        *[c.alias(n) for n, c in zip(names, levels.values())], size.cast("long").alias("mix_tokens"))
     leaves = cut_lineage(base.groupBy(*names).agg(F.sum("mix_tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")))

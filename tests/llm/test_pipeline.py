@@ -79,3 +79,16 @@ def test_language_stage_rejects_on_the_models_evidence(spark):
 def test_language_stage_keeps_what_it_cannot_judge(spark):
     rows = [(i, f"words without any label {i}", None, None, None) for i in range(5)]
     assert corpus_pipeline.language_id(spark, common.docs(spark, rows), SF).count() == 5
+
+
+def test_columns_of_any_name_come_back_as_they_were(spark):
+    names = ["_key_id", "_key_text", "_mark_id", "_mark_text", "key_id", "mark_text", "row", "mix_notes", "mix_tokens", "mix_copies",
+             "MIX_lang", "text_hash", "kept", "clear", "a.b"]
+    df = spark.createDataFrame([r + tuple(f"{c}{i}" for c in names) for i, r in enumerate(common.ROWS)],
+                               common.SCHEMA + ", " + ", ".join(f"`{c}` string" for c in names))
+    whole = {tuple(r) for r in df.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, SF)
+        rows = out.collect()
+        assert out.columns == df.columns and rows and {tuple(r) for r in rows} <= whole, name
+    assert corpus_pipeline.shards(spark, df, SF).count() == len(common.ROWS)
