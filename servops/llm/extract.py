@@ -1,10 +1,12 @@
 """Main text of web pages by two-pass block rules (operator 3).
 
 A page is cut into blocks at block-level tags. Elements that never hold the article (menus, footers, forms,
-scripts, ...; by tag, role or class name) are left out. Pass one classifies each block by its length, its
+scripts, ...; by tag, or hidden) are left out. Class names, ids and roles are hints: what they enclose is left out too, but never
+an article that is marked, nor most of the page's text. Pass one classifies each block by its length, its
 density of stop words and the share of its text inside links: good, bad, or ambiguous. Pass two gives each
 ambiguous block the label of its nearest decided neighbours. On a page that marks its article
-(``article``, ``main``), blocks outside are bad, and inside only links count against a block.
+(``article``, ``main``), blocks outside are bad; inside, links and calls to share or subscribe count against a block, and the
+mark stands for a good neighbour: an ambiguous block goes only right between two bad ones.
 """
 
 from __future__ import annotations
@@ -55,6 +57,18 @@ HINTS = frozenset("ad ads adv advert adverts advertisement advertising alert ale
                   "overlay pagination paywall popup promo promoted promotion recommended related replies reply respond "
                   "search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription "
                   "tagcloud teaser toolbar topbar widget widgets".split())
+#: Words that say of a hint that it isn't there, and those that ids of page furniture have beside a hint
+#: (other ids with a hint in them are anchors made from headings).
+NEGATIONS = frozenset("has no not with without hide".split())
+FURNITURE = frozenset("area articles bar block body bottom box button buttons column container content div form group header icons "
+                      "inner item items left links list main module modules outer pane panel post posts primary region right row "
+                      "secondary section site slot title top unit wrap wrapper".split())
+#: First words and other words of calls to share, to follow or to subscribe.
+CALLS = frozenset("advertisement follow join share sign sponsored subscribe tweet".split())
+CALL_WORDS = CALLS | frozenset("article email facebook friends inbox instagram linkedin media more newsletter now page post reddit "
+                               "social story today twitter up updates us whatsapp youtube".split())
+#: hints nested deeper belong to those around them
+NESTED = 8
 _COMMENT_HINTS = frozenset("comment comments commentlist disqus replies reply respond".split())
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
@@ -66,40 +80,78 @@ _ENDS = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
 
 
 class _Block:
-    __slots__ = ("text", "linked", "inside", "heading")
+    __slots__ = ("text", "linked", "inside", "heading", "regions")
 
-    def __init__(self, text: str, linked: int, inside: bool, heading: bool):
-        self.text, self.linked, self.inside, self.heading = text, linked, inside, heading
+    def __init__(self, text: str, linked: int, inside: bool, heading: bool, regions: tuple = ()):
+        self.text, self.linked, self.inside, self.heading, self.regions = text, linked, inside, heading, regions
+
+
+class _Region:
+    """An open element whose names hint at something else than the article."""
+    __slots__ = ("name", "depth", "comments", "article")
+
+    def __init__(self, name: str, comments: bool):
+        self.name, self.depth, self.comments, self.article = name, 1, comments, False
+
+
+def _hinted(key: str, value: str, inside: bool) -> str:
+    """"comments", "other" or "" of a class, id or role."""
+    found = ""
+    for name in value.split():
+        parts = [x for x in re.split(r"[^a-z]+", name) if x]
+        hints = {x for at, x in enumerate(parts) if not (at and parts[at - 1] in NEGATIONS)
+                 and (x in HINTS or x == "header" and not inside)}
+        if key == "id" and not all(x in HINTS or x in FURNITURE for x in parts):
+            continue
+        if hints & _COMMENT_HINTS:
+            return "comments"
+        found = "other" if hints else found
+    return found
 
 
 def _unwanted(name: str, attributes: str, inside: bool) -> str:
-    """Why an element is left out: "" (it isn't), "comments", or "other"."""
-    if name in LEFT_OUT:
-        return "other"
-    if name == "header" and not inside:
-        return "other"
+    """Why an element is left out: "" (it isn't), "never" (by tag or hidden), or what its names hint at: "comments", "other"."""
+    if name in LEFT_OUT or name == "header" and not inside:
+        return "never"
     if not attributes.strip() or name in ("html", "body", "article", "main") and "comment" not in attributes.lower():
         return ""
+    why = ""
     for key, value in _ATTRIBUTE.findall(attributes):
-        key, value = key.lower(), value.strip("\"'").lower()
+        key, value = key.lower(), value.strip("\"'")
+        # names in camel case are cut like others
+        value = (re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value) if key in ("class", "id") else value).lower()
         if key == "hidden" or key == "aria-hidden" and value == "true":
-            return "other"
-        if key == "style":
-            if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return "other"
-            continue
-        if key not in ("class", "id", "role"):
-            continue
-        parts = set(re.findall(r"[a-z]+", value))
-        if parts & _COMMENT_HINTS:
-            return "comments"
-        if parts & HINTS or "header" in parts and not inside:
-            return "other"
-    return ""
+            return "never"
+        if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+            return "never"
+        if key in ("class", "id", "role"):
+            hint = _hinted(key, value, inside)
+            why = hint if hint == "comments" or not why else why
+    return why
+
+
+def _without_regions(blocks: list[_Block]) -> list[_Block]:
+    """Blocks outside the hinted regions that go: those without the marked article and with half of the page's text at most.
+
+    Comments go as well if they hold more, as long as a good block stands outside them.
+    """
+    size = [len(b.text) - b.linked for b in blocks]
+    held: dict[_Region, int] = {}
+    for b, n in zip(blocks, size):
+        for r in b.regions:
+            held[r] = held.get(r, 0) + n
+    gone = set()
+    for r, n in held.items():
+        most = 2 * n > sum(size)
+        if most and r.comments and not r.article:
+            most = not any(first_pass(b, False) == "good" for b in blocks if r not in b.regions)
+        if not r.article and not most:
+            gone.add(r)
+    return [b for b in blocks if gone.isdisjoint(b.regions)]
 
 
 def blocks_of(page: str) -> tuple[list[_Block], bool]:
-    """The page's blocks outside left-out elements, in order, and whether it marks its article."""
+    """The page's blocks outside left-out elements and regions, in order, and whether it marks its article."""
     blocks: list[_Block] = []
     buffer: list[str] = []
     linked = 0
@@ -107,14 +159,15 @@ def blocks_of(page: str) -> tuple[list[_Block], bool]:
     inside = 0  # open article and main elements
     marked = False
     heading = False
-    dropped: list | None = None  # [element name, depth of that name, reason]
+    dropped: list | None = None  # [element name, depth of that name]
+    regions: list[_Region] = []  # open elements with a hint
 
     def flush():
         nonlocal linked, buffer
         if buffer:
             text = " ".join(html.unescape("".join(buffer)).split())
             if text:
-                blocks.append(_Block(text, linked, inside > 0, heading))
+                blocks.append(_Block(text, linked, inside > 0, heading, tuple(regions)))
         buffer, linked = [], 0
 
     def add(piece: str):
@@ -157,7 +210,7 @@ def blocks_of(page: str) -> tuple[list[_Block], bool]:
                 at = end.end() if end else (at if name == "title" else len(page))
             continue
         if dropped is not None:
-            if not closing and name in ("article", "main") and not inside and dropped[2] == "other" and name != dropped[0]:
+            if not closing and name in ("article", "main") and not inside and name != dropped[0]:
                 dropped = None  # an element left open before the article
             else:
                 if name == dropped[0]:
@@ -174,24 +227,40 @@ def blocks_of(page: str) -> tuple[list[_Block], bool]:
             flush()
             heading = not closing and len(name) == 2 and name[0] == "h" and name[1].isdigit()
             links = 0 if name not in ("li", "td", "th", "div") else links
+        # comments are often articles of their own
+        marks = name == "main" or name == "article" and not any(r.comments for r in regions)
         if closing:
             if name == "a":
                 links = max(0, links - 1)
-            elif name in ("article", "main"):
+            elif name in ("article", "main") and marks:
                 inside = max(0, inside - 1)
+            if regions:
+                flush()
+                for k, r in enumerate(regions):
+                    r.depth -= name == r.name
+                    if not r.depth or name in ("body", "html"):
+                        del regions[k:]
+                        break
             continue
         why = _unwanted(name, attributes, inside > 0)
-        if why and name not in VOID and not attributes.rstrip().endswith("/"):
+        open_ = name not in VOID and not attributes.rstrip().endswith("/")
+        if why and open_:
             flush()
-            dropped = [name, 1, why]
-            continue
+            if why == "never":
+                dropped = [name, 1]
+                continue
+        for r in regions:
+            r.depth += name == r.name and open_
+            r.article = r.article or marks and not inside and name in ("article", "main") and name != r.name
+        if why and open_ and len(regions) < NESTED:
+            regions.append(_Region(name, why == "comments"))
         if name == "a":
             links = 1
-        elif name in ("article", "main"):
+        elif name in ("article", "main") and marks:
             inside += 1
             marked = True
     flush()
-    return blocks, marked
+    return _without_regions(blocks), marked
 
 
 def listed(blocks: list[_Block]) -> bool:
@@ -203,6 +272,12 @@ def listed(blocks: list[_Block]) -> bool:
     return max(sum(w in ws for w in words) for ws in _LISTS) >= POOR * len(words)
 
 
+def calls(words: list[str]) -> bool:
+    """Whether a short block calls to share, to follow or to subscribe: by its first word, and half of those that aren't stop words."""
+    own = [w for w in words if w not in _LISTS[0]]
+    return bool(words) and words[0] in CALLS and 2 * sum(w in CALL_WORDS for w in own) >= len(own)
+
+
 def first_pass(block: _Block, marked: bool, known: bool = True) -> str:
     """good, bad, or ambiguous ("?"). In a language without a list (not ``known``) length and links decide."""
     size = len(block.text)
@@ -210,9 +285,11 @@ def first_pass(block: _Block, marked: bool, known: bool = True) -> str:
         return "bad"
     if marked and not block.inside:
         return "bad"
+    words = _WORD.findall(block.text.lower())
+    if size < SHORT and not block.heading and calls(words):
+        return "bad"
     if not known:
         return "bad" if "©" in block.text else "good" if size >= SHORT else "?"
-    words = _WORD.findall(block.text.lower())
     share = sum(w in _STOP for w in words) / max(len(words), 1)
     if share >= RICH and size >= SHORT or share >= POOR and size >= LONG:
         return "good"
@@ -223,11 +300,15 @@ def first_pass(block: _Block, marked: bool, known: bool = True) -> str:
     return "?"
 
 
-def second_pass(labels: list[str], unknown: bool) -> list[bool]:
+def second_pass(labels: list[str], unknown: bool, marked: bool = False) -> list[bool]:
     """Ambiguous blocks take the label of the nearest decided block; at equal distance good wins.
 
-    ``unknown``: whether all are kept if none is decided.
+    ``unknown``: whether all are kept if none is decided. ``marked``: in a marked article a good neighbour is never further than
+    two blocks away, so only the label of bad blocks right before and after passes on.
     """
+    if marked:
+        at = ["good", *labels, "good"]
+        return [v == "good" or v == "?" and not at[i] == at[i + 2] == "bad" for i, v in enumerate(labels)]
     n = len(labels)
     before, after = [(-1, "?")] * n, [(-1, "?")] * n
     last = None
@@ -267,9 +348,7 @@ def main_blocks(page: str | None) -> list[str]:
         blocks = [b for b in blocks if b.inside]
     known = marked or listed(blocks)
     labels = [first_pass(b, marked, known) for b in blocks]
-    if marked:  # the mark decides what the block leaves open
-        labels = ["good" if v == "?" else v for v in labels]
-    keep = second_pass(labels, "bad" not in labels)
+    keep = second_pass(labels, "bad" not in labels, marked)
     return [b.text for b, k in zip(blocks, keep) if k]
 
 

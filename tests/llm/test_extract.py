@@ -84,3 +84,56 @@ def test_unmarked_pages_in_languages_without_stop_words():
                  "今天早上城市的居民看到了第一场雪，昨天晚上的雪覆盖了所有的街道、房屋和树木，孩子们非常高兴地跑到外面去玩雪，老人们坐在窗边喝着热茶，看着外面的白色世界，大家都觉得这是一个美好的早晨。"):
         page = f"<body><div><a href=1>{text}</a></div><p>{text}</p><p>{text} 2</p><p>Copyright © 2024 {text}</p></body>"
         assert extract.main_blocks(page) == [text, text + " 2"]
+
+
+def test_wrappers_with_hints_do_not_lose_the_article():
+    body = f"<h1>Head</h1><p>{LONG}</p><p>{LONG} 2</p>"
+    for names in ('class="site has-sidebar"', 'class="wrap with-header"', 'class="layout sidebar-right"', 'id="page" class="no-comments"',
+                  'class="comments-open"', 'class="ads widget-area"'):
+        for inner in (body, f"<main>{body}</main>", f"<article>{body}</article>"):
+            page = f"<body><nav><a href=x>Home</a></nav><div {names}><div>{inner}</div></div><footer>{LONG}</footer></body>"
+            if "comments-open" not in names or "<article>" not in inner:
+                assert extract.main_blocks(page) == ["Head", LONG, LONG + " 2"], (names, inner)
+
+
+def test_ids_made_from_headings_stay():
+    page = "<article><p>{0}</p>" + "".join(f'<section id="{k}"><h2>{k}</h2><p>{{0}}</p></section>' for k in (
+        "search-algorithms", "related-work", "comments", "related-posts", "newsletter-box")) + "</article>"
+    assert extract.main_blocks(page.format(LONG)) == [LONG, "search-algorithms", LONG, "related-work", LONG]
+
+
+def test_both_passes_in_a_marked_article():
+    page = f"""<article><h1>Share prices fell</h1><p>{LONG}</p><p>Share this on social media</p><p>{LONG} 2</p><p>A short end.</p>
+    <p>Subscribe now for more</p><ul><li><a href=1>One page of many</a></li><li>or</li><li><a href=2>Another page</a></li></ul></article>"""
+    assert extract.main_blocks(page) == ["Share prices fell", LONG, LONG + " 2", "A short end."]
+    assert extract.second_pass(["?", "bad", "?", "bad", "?"], False, True) == [True, False, False, False, True]
+
+
+def test_comments_that_are_articles():
+    thread = "".join(f'<article class="entry"><p>{LONG} {k}</p></article>' for k in range(9))
+    for page in (f'<div class="post"><p>{LONG}</p></div><div id="comments">{thread}</div>',
+                 f'<article><p>{LONG}</p><div class="comment-list">{thread}</div></article>',
+                 f'<main><p>{LONG}</p></main><section class="comments">{thread}</section>'):
+        assert extract.main_blocks(page) == [LONG]
+    assert extract.main_blocks(f'<div class="commentaries"><p>{LONG}</p></div>') == [LONG]
+
+
+def plain_labels(blocks):
+    """Both passes on an unmarked page, read plainly."""
+    first = [extract.first_pass(b, False, extract.listed(blocks)) for b in blocks]
+    out = []
+    for i, v in enumerate(first):
+        near = sorted((abs(i - k), w != "good") for k, w in enumerate(first) if w != "?")
+        out.append(v == "good" if v != "?" else "bad" not in first if not near else not near[0][1])
+    return out
+
+
+def test_two_passes_against_a_plain_version():
+    import random
+    random.seed(5)
+    parts = [LONG, "Short one.", "Tiny", "<a href=x>" + LONG + "</a>", "Copyright © 2024 by us", "zq " * 40, "Follow us on Twitter", "<b>x</b> y"]
+    for _ in range(300):
+        page = "".join(f"<p>{random.choice(parts)}</p>" for _ in range(random.randint(0, 12)))
+        blocks, marked = extract.blocks_of(page)
+        assert not marked
+        assert extract.main_blocks(page) == [b.text for b, k in zip(blocks, plain_labels(blocks)) if k]
