@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import gpu as G
@@ -53,6 +53,26 @@ def gpu_process_view(procs: DataFrame) -> DataFrame:
                         "memory_usage", G.mb_to_gb("memory_usage").alias("memory_gb"), "type")
 
 
+def poll_processes(text) -> Column:
+    """Array of the processes that one poll's whole text lists; blank and short lines are skipped."""
+    lines = F.filter(F.split(text, "\n"), lambda x: ~py_is_blank(x) & (F.size(F.split(x, ",")) >= len(PROCESS_FIELDS)))
+
+    def row(line):
+        cells = [py_strip(F.get(F.split(line, ","), F.lit(i))) for i in range(len(PROCESS_FIELDS))]
+        return F.struct(*[(c if typ == "string" else c.try_cast(typ)).alias(name) for c, (name, typ) in zip(cells, PROCESS_FIELDS)])
+    return F.transform(lines, row)
+
+
+def latest_processes(polls: DataFrame) -> DataFrame:
+    """Processes of each host's latest poll, from ``(host, ts, poll, text)``, one row a poll.
+
+    A poll replaces the host's whole list, so a process that it doesn't list has ended, and a poll without
+    processes empties the list. Partial ``max_by``: one poll a host and task is shuffled.
+    """
+    last = polls.groupBy("host").agg(F.max_by(F.struct("ts", poll_processes("text").alias("p")), F.struct("ts", "poll")).alias("_s"))
+    return last.select("host", F.col("_s.ts").alias("ts"), F.inline("_s.p")).withColumn("type", F.lit(G.PROCESS_TYPE_COMPUTE))
+
+
 def latest_per_gpu(samples: DataFrame) -> DataFrame:
     """Most recent sample of every device (partial max_by: one row per device per task)."""
     g = samples.groupBy("gpu_index").agg(

@@ -45,6 +45,24 @@ def server_state_timeline(lines: DataFrame) -> DataFrame:
                     (~F.col("state").eqNullSafe(F.col("prev_state"))).alias("changed"))
 
 
+def live_state_timeline(msgs: DataFrame, channel: str = "run_id") -> DataFrame:
+    """Running/stopped state of each channel from its two sources in one order: the last writer wins.
+
+    Output messages write a state by their markers (both: stopped). A status message always writes one: its
+    ``running``, where null, false, 0 and an empty text mean stopped, as does a status without it.
+    """
+    routed = message_routes(msgs, keep=(channel,))
+    told = ~F.coalesce(F.col("body"), F.lit("")).isin("", "false", "0", "null")
+    state = (F.when(F.col("route") == "status", F.when(told, F.lit("running")).otherwise(F.lit("stopped")))
+             .when(F.col("route") != "output", F.lit(None))
+             .when(L.any_contains("body", L.STOPPED_MARKERS), F.lit("stopped"))
+             .when(L.any_contains("body", L.RUNNING_MARKERS), F.lit("running")))
+    marks = routed.select(channel, "msg_id", F.col("route").alias("source"), state.alias("state")).where(F.col("state").isNotNull())
+    j = with_neighbour(marks, [channel], "msg_id", ["state"], following=False)
+    return j.select(channel, "msg_id", "source", "state", "prev_state",
+                    (~F.col("state").eqNullSafe(F.col("prev_state"))).alias("changed"))
+
+
 def parsed_concurrency(lines: DataFrame) -> DataFrame:
     """Maximum-concurrency lines: int(float(x)) of the reported value, null where it isn't a whole number of 32 bits."""
     raw = F.regexp_extract("line", L.CONCURRENCY_RE, 2)
@@ -130,16 +148,16 @@ def log_unescape(lines: DataFrame) -> DataFrame:
     return lines.select("run_id", "line_no", unescape_unicode("line").alias("text"))
 
 
-def message_routes(msgs: DataFrame) -> DataFrame:
+def message_routes(msgs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Route live messages: JSON {type, data} by type, text that isn't JSON shown as is; pong dropped.
 
     JSON that isn't an object has no type and is ignored. ``progress`` gets its own route (the UI had
-    none for it).
+    none for it). Columns of ``keep`` come first.
     """
     is_json = F.try_parse_json("message").isNotNull()
     is_obj = F.json_object_keys("message").isNotNull()
     p = F.from_json("message", "type string, data string")
-    t = msgs.select("msg_id", "message", is_json.alias("_json"), is_obj.alias("_obj"), p.alias("_p"))
+    t = msgs.select(*keep, "msg_id", "message", is_json.alias("_json"), is_obj.alias("_obj"), p.alias("_p"))
     typ = F.col("_p.type")
     data = F.col("_p.data")
     route = (F.when(~F.col("_json"), F.lit("text"))
@@ -154,6 +172,6 @@ def message_routes(msgs: DataFrame) -> DataFrame:
             .when(typ == "status", F.get_json_object(data, "$.running")))
     # Emit 0 or 1 row per message through a generator: a plain filter on
     # ``route`` would be pushed below the projection and parse the JSON twice.
-    one = F.filter(F.array(F.struct(F.col("msg_id"), route.alias("route"), body.alias("body"))),
+    one = F.filter(F.array(F.struct(*keep, F.col("msg_id"), route.alias("route"), body.alias("body"))),
                    lambda x: x["route"] != "drop")
     return t.select(F.inline(one))

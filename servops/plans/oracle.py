@@ -390,7 +390,7 @@ ORACLE_SQL: dict[str, str] = {
                       lambda acc, x: replace(acc, x, chr(cast('0x' || substr(x, 3, 4) as int))), line) as text
         from log_fx""",
     "message_routes": with_("l0_fx", "log_fx") + """,
-        msg_fx AS (select line_no as msg_id, case when trim(line) = '' then '{"type": "pong"}'
+        msg_fx AS (select run_id, line_no as msg_id, case when trim(line) = '' then '{"type": "pong"}'
             when contains(line, '%|') then concat('{"type": "progress", "data": "', line, '"}')
             when contains(line, 'RuntimeError') then concat('{"type": "error", "data": {"known": false, "message": "', line, '"}}')
             when contains(line, 'Maximum concurrency') then '{"type": "status", "data": {"running": true}}'
@@ -399,7 +399,7 @@ ORACLE_SQL: dict[str, str] = {
             when line_no % 11 = 0 then '"x"'
             when line_no % 13 = 0 then line_no::varchar
             else concat('{"type": "output", "data": "', line, '"}') end as message from log_fx),
-        q AS (select msg_id, message, obj, js, case when obj then json_extract_string(message, '$.type') end as typ
+        q AS (select run_id, msg_id, message, obj, js, case when obj then json_extract_string(message, '$.type') end as typ
               from (select *, case when json_valid(message) then json_type(message) = 'OBJECT' else false end as obj,
                 json_valid(message) as js from msg_fx))
         select msg_id,
@@ -500,3 +500,13 @@ ORACLE_SQL: dict[str, str] = {
           join plan_fx pl on pl.request_id = b.request_id
         group by pl.model_id""",
 }
+
+ORACLE_SQL["live_state_timeline"] = ORACLE_SQL["message_routes"].replace("        select msg_id,\n", "        , routed as (select run_id, msg_id,\n", 1) + f""")
+        select run_id, msg_id, source, state, prev_state, not (state is not distinct from prev_state) as changed
+        from (select *, lag(state) over (partition by run_id order by msg_id) as prev_state
+              from (select run_id, msg_id, route as source,
+                      case when route = 'status' then case when coalesce(line, '') in ('', 'false', '0', 'null') then 'stopped' else 'running' end
+                           when route <> 'output' then null
+                           when {_contains_any(STOPPED_MARKERS)} then 'stopped'
+                           when {_contains_any(RUNNING_MARKERS)} then 'running' end as state
+                    from (select run_id, msg_id, route, body as line from routed)) where state is not null)"""

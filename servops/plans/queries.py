@@ -93,6 +93,10 @@ def q_server_state_timeline(spark, d):
     return L.server_state_timeline(fx.log_lines(spark, d))
 
 
+def q_live_state_timeline(spark, d):
+    return L.live_state_timeline(fx.channel_messages(spark, d))
+
+
 def q_max_batch_backfill(spark, d):
     return L.max_batch_backfill(fx.log_lines(spark, d), fx.run_models(spark, d), fx.models(spark, d))
 

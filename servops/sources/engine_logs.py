@@ -8,6 +8,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.logs import log_tail
+
 #: ``03-15 10:20:30`` or ``2024-03-15 10:20:30`` in a line
 LINE_TIME = r"(?:(\d{4})-)?(\d{2}-\d{2} \d{2}:\d{2}:\d{2})"
 
@@ -45,6 +47,16 @@ def read_engine_logs(spark: SparkSession, path: str) -> DataFrame:
         "run_id", (F.col("_row") + F.col("_shift")).alias("line_no"), F.coalesce("ts", "_begin", "_changed").alias("ts"), "line")
 
 
+def tail_newest_log(spark: SparkSession, path: str, n: int = 100) -> DataFrame:
+    """Last ``n`` lines of the newest log under ``path`` (largest file name, which holds the date); no other file is read.
+
+    The newest one is told from the listing. No file under ``path`` gives no lines.
+    """
+    newest = spark.read.format("binaryFile").load(path).agg(F.max("path")).first()[0]
+    lines = read_engine_logs(spark, newest if newest else path)
+    return log_tail(lines, n)
+
+
 def _filled(batches):
     """Rows of a scan partition with a null ``ts`` replaced by the last one before it in the split."""
     split, known = None, pa.scalar(None, pa.timestamp("us"))

@@ -222,6 +222,11 @@ def api_log_lines(spark: SparkSession, d: str) -> DataFrame:
 
 def messages(spark: SparkSession, d: str) -> DataFrame:
     """Live-channel messages: JSON ``{type, data}`` or bare text."""
+    return channel_messages(spark, d).select("msg_id", "message")
+
+
+def channel_messages(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the run whose channel they came by."""
     lines = log_lines(spark, d)
     k_line = F.col("line")
     ln = F.col("line_no")
@@ -242,7 +247,7 @@ def messages(spark: SparkSession, d: str) -> DataFrame:
            .when(ln % 11 == 0, F.lit('"x"'))
            .when(ln % 13 == 0, ln.cast("string"))
            .otherwise(js("output", q(k_line))))
-    return _as_table(lines.select(ln.alias("msg_id"), msg.alias("message")))
+    return _as_table(lines.select("run_id", ln.alias("msg_id"), msg.alias("message")))
 
 
 def prompts(spark: SparkSession, d: str) -> DataFrame:

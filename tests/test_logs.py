@@ -43,6 +43,20 @@ def test_state_timeline_stop_wins(spark):
     assert got == [(1, "running", True), (2, "running", False), (3, "stopped", True)]
 
 
+def test_live_state_timeline_last_writer_wins(spark):
+    rows = [(1, 1, '{"type": "output", "data": "Server is running"}'), (1, 2, '{"type": "status", "data": {"running": true}}'),
+            (1, 3, '{"type": "status", "data": {"running": false}}'), (1, 4, '{"type": "progress", "data": "Server is running"}'),
+            (1, 5, "Server is running"), (1, 6, '{"type": "output", "data": "Server started successfully"}'),
+            (1, 7, '{"type": "status", "data": {}}'), (1, 8, '{"type": "error", "data": {"message": "Server is running"}}'),
+            (2, 9, '{"type": "pong"}'), (2, 10, '{"type": "status", "data": {"running": 0}}'), (2, 11, None),
+            (1, 1 << 20, '{"type": "output", "data": "Server is running but Server stopped"}')]
+    msgs = spark.createDataFrame(rows, "run_id long, msg_id long, message string")
+    got = sorted((r.run_id, r.msg_id, r.source, r.state, r.changed) for r in L.live_state_timeline(msgs).collect())
+    assert got == [(1, 1, "output", "running", True), (1, 2, "status", "running", False), (1, 3, "status", "stopped", True),
+                   (1, 6, "output", "running", True), (1, 7, "status", "stopped", True), (1, 1 << 20, "output", "stopped", False),
+                   (2, 10, "status", "stopped", True)]
+
+
 def test_concurrency_truncates_and_last_wins(spark):
     df = _lines(spark, [(1, 1, 0, "INFO x Maximum concurrency for 4096 tokens per request: 17.93x"),
                         (1, 2, 1, "INFO x Maximum concurrency for 4096 tokens per request: 3.2x"),

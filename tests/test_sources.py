@@ -106,3 +106,15 @@ def test_lines_without_a_time_have_that_of_the_line_before(spark):
         got = sorted((r.line_no, r.line, r.ts) for r in rows if r.run_id.endswith(f))
         changed = got[0][2]
         assert [(x, t) for _, x, t in got] == [(x, t or changed) for x, t in lines] and changed.year > 2024
+
+
+def test_tail_reads_only_the_newest_log(spark, tmp_path):
+    from servops.sources.engine_logs import tail_newest_log
+    for day, n in (("20240314", 50), ("20240316", 7), ("20240315", 60)):
+        (tmp_path / f"server_{day}.log").write_text("".join(f"{day} line {k}\n" for k in range(n)))
+    got = tail_newest_log(spark, str(tmp_path), 5)
+    assert [r.line for r in got.collect()] == [f"20240316 line {k}" for k in range(2, 7)]
+    assert [f.rsplit("_", 1)[1] for f in got.inputFiles()] == ["20240316.log"]
+    assert tail_newest_log(spark, str(tmp_path), 0).count() == 0
+    (tmp_path / "none").mkdir()
+    assert tail_newest_log(spark, str(tmp_path / "none")).count() == 0

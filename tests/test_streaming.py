@@ -183,3 +183,29 @@ def test_late_lines_change_hits_and_withdraw_mined_errors(spark):
     everything = {r.error_message for r in spark.read.parquet(mined).collect()}
     left = {r.error_message for r in crash_stream.current_new_errors(spark, catalog, hits, mined).collect()}
     assert len(everything) == 2 and left == {m for m in everything if m.endswith("new")}
+
+
+def test_live_processes_replace_the_list(spark):
+    d = _scratch()
+    polls = [("a", "0, 11, python, 100\n0, 12, x/y, 5\n1, 13, z, 7\n"), ("b", "0, 21, q, 1\nbad line\n"),
+             ("a", "0, 12, x/y, 6\n\n1, 14, w, nan-ish\n"), ("b", "\n"), ("a", "0, 12, x/y, 8\n")]
+    want = [[("a", 0, 11, 100.0), ("a", 0, 12, 5.0), ("a", 1, 13, 7.0)], [("b", 0, 21, 1.0)],
+            [("a", 0, 12, 6.0), ("a", 1, 14, None)], [], [("a", 0, 12, 8.0)]]
+    src = os.path.join(d, "polls")
+    for h in "ab":
+        os.makedirs(os.path.join(src, h))
+    live = gpu_stream.live_gpu_processes(spark, os.path.join(src, "*"))
+    now = {}
+    for k, (host, text) in enumerate(polls):
+        file = os.path.join(src, host, f"{k}.csv")
+        with open(file, "w") as f:
+            f.write(text)
+        os.utime(file, (1_700_000_000 + k, 1_700_000_000 + k))
+        live.writeStream.outputMode("complete").format("memory").queryName("procs").option(
+            "checkpointLocation", os.path.join(d, "ck")).trigger(availableNow=True).start().awaitTermination()
+        now[host] = want[k]
+        from servops.operators.gpu import latest_processes
+        batch = latest_processes(gpu_stream.process_polls(spark.read, os.path.join(src, "*")))
+        for df in (spark.table("procs"), batch):
+            got = sorted((r.host[-1], r.gpu_id, r.pid, r.memory_usage) for r in df.collect())
+            assert got == sorted(x for rows in now.values() for x in rows), k
