@@ -33,20 +33,45 @@ def start(df: DataFrame, checkpoint: str, sink: str = "memory", query_name: str
     return w.start()
 
 
-def start_to_parquet(df: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
-    """Write every micro-batch of changed totals as its epoch's partition (restartable).
+#: epochs after which the totals are written anew
+EPOCHS_A_TABLE = 50
 
-    A replayed epoch replaces its rows; readers keep the latest epoch per model (``current_totals``).
+
+def start_to_parquet(df: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, every: int = EPOCHS_A_TABLE):
+    """Write every micro-batch of changed totals as its epoch's folder, and every ``every`` epochs the totals so far (restartable).
+
+    A replayed epoch replaces its rows and the totals written with it. Readers (``current_totals``) need the last totals and the
+    epochs since, so what they read doesn't grow with the age of the stream. ``every`` must stay the same for a ``path``.
     """
     def write(batch: DataFrame, epoch_id: int) -> None:
-        batch.withColumn("epoch", F.lit(epoch_id).cast("long")).write.mode("overwrite") \
-            .option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(path)
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{path}/epochs/group={epoch_id // every}/epoch={epoch_id}")
+        if epoch_id % every == 0:
+            before = _latest(_since(spark, path, epoch_id - every, every)) if epoch_id else \
+                batch.withColumn("epoch", F.lit(0).cast("long")).limit(0)
+            before.withColumn("every", F.lit(every)).write.mode("overwrite").parquet(f"{path}/totals/upto={epoch_id}")
     return (df.writeStream.outputMode("update").foreachBatch(write)
               .option("checkpointLocation", checkpoint)
               .trigger(**(trigger or {"processingTime": "5 seconds"})).start())
 
 
+def _since(spark: SparkSession, path: str, upto: int, every: int) -> DataFrame:
+    """The totals of the epochs before ``upto`` and the rows of the ``every`` epochs from there on."""
+    group = spark.read.option("basePath", f"{path}/epochs").parquet(f"{path}/epochs/group={upto // every}")
+    totals = spark.read.parquet(f"{path}/totals/upto={upto}").drop("every")
+    return group.drop("group").withColumn("epoch", F.col("epoch").cast("long")).unionByName(totals)
+
+
+def _latest(rows: DataFrame) -> DataFrame:
+    cols = [c for c in rows.columns if c != "model_id"]
+    return rows.groupBy("model_id").agg(F.max_by(F.struct(*cols), "epoch").alias("_t")).select("model_id", "_t.*")
+
+
 def current_totals(spark: SparkSession, path: str) -> DataFrame:
-    t = spark.read.parquet(path)
-    cols = [c for c in t.columns if c not in ("model_id", "epoch")]
-    return t.groupBy("model_id").agg(F.max_by(F.struct(*cols), "epoch").alias("_t")).select("model_id", "_t.*")
+    """Latest totals of each model: the last table of totals and at most as many epochs as lie between two of them."""
+    last = spark.read.parquet(f"{path}/totals").agg(F.max(F.struct("upto", "every"))).first()[0]
+    # the first table, and any of a stream without rows until then, has none
+    upto, every = (last["upto"], last["every"]) if last else (0, None)
+    if every is None:
+        return _latest(spark.read.parquet(f"{path}/epochs").drop("group").withColumn("epoch", F.col("epoch").cast("long"))).drop("epoch")
+    return _latest(_since(spark, path, upto, every)).drop("epoch")

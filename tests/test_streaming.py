@@ -209,3 +209,19 @@ def test_live_processes_replace_the_list(spark):
         for df in (spark.table("procs"), batch):
             got = sorted((r.host[-1], r.gpu_id, r.pid, r.memory_usage) for r in df.collect())
             assert got == sorted(x for rows in now.values() for x in rows), k
+
+
+def test_totals_are_read_from_a_bounded_number_of_files(spark):
+    d = _scratch()
+    src, out = os.path.join(d, "src"), os.path.join(d, "out")
+    read = {}
+    for k in range(8):
+        rows = [(k % 3, 10 * k + 1, 1.0, None), (7, 1, 0.5, None)]
+        spark.createDataFrame(rows, usage_stream.GENERATION_SCHEMA).coalesce(1).write.mode("append").parquet(src)
+        usage_stream.start_to_parquet(usage_stream.live_usage(spark, src), out, os.path.join(d, "ck"), {"availableNow": True},
+                                      every=2).awaitTermination()
+        now = usage_stream.current_totals(spark, out)
+        want = usage_stream.usage_rollup(spark.read.schema(usage_stream.GENERATION_SCHEMA).parquet(src))
+        assert sorted(map(tuple, now.select(*want.columns).collect())) == sorted(map(tuple, want.collect())), k
+        read[k] = {f.split("/out/")[1].rsplit("/", 1)[0] for f in now.inputFiles()}
+    assert max(len(x) for k, x in read.items() if k > 3) <= 3
