@@ -3,17 +3,21 @@
 Texts become sequences of tokens in which numbers, units (after a number) and names (capitalised words
 inside a sentence) are replaced by typed placeholders, the slots. Windows of such tokens are joined by hash
 between documents and benchmark items. Windows with the item's own slots count always. Those with other slots
-count if along one alignment of a document with an item the slots are filled consistently: each value of the
-item stands for one value of the document and the other way round. So a question is found again verbatim, verbatim
-but for some values, or with other numbers and names.
+count if their slots are filled consistently along one alignment of a document with an item: of the pairs of an item's
+and a document's value, the largest one-to-one set is taken, and a window counts whose pairs are all in it. So a
+question is found again verbatim, verbatim but for some values, or with other numbers and names, also where one
+of them is used twice for different ones.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut_lineage
 from . import sieve
@@ -135,6 +139,86 @@ def _window_rows(batches, widths: list[tuple[int, bool]], widest: int, only: byt
              pa.array(width_of), pa.array(kind)], names=names)
 
 
+def assign(weight: np.ndarray) -> np.ndarray:
+    """The column of each row in the assignment of rows to columns, at least as many, with the highest sum of weights.
+
+    Shortest augmenting paths with potentials, a row at a time; place 0 of the columns' arrays is the new row's.
+    """
+    rows, cols = weight.shape
+    u, v = np.zeros(rows, np.int64), np.zeros(cols + 1, np.int64)
+    owner = np.full(cols + 1, -1)
+    for new in range(rows):
+        owner[0], at = new, 0
+        least, before, seen = np.full(cols + 1, 1 << 62), np.zeros(cols + 1, np.int64), np.zeros(cols + 1, bool)
+        while owner[at] >= 0:
+            seen[at] = True
+            left = np.append(0, -weight[owner[at]] - u[owner[at]]) - v
+            nearer = ~seen & (left < least)
+            nearer[0] = False
+            least[nearer], before[nearer] = left[nearer], at
+            free = np.flatnonzero(~seen)
+            at = int(free[least[free].argmin()])
+            step = least[at]
+            u[owner[seen]] += step
+            v[seen] -= step
+            least[free] -= step
+        while at:
+            owner[at] = owner[before[at]]
+            at = int(before[at])
+    out = np.empty(rows, np.int64)
+    out[owner[1:][owner[1:] >= 0]] = np.flatnonzero(owner[1:] >= 0)
+    return out
+
+
+def largest_consistent(windows: list[tuple]) -> set[tuple]:
+    """Of the pairs (item's value, document's value) in windows, one list of pairs each, the largest one-to-one set.
+
+    A pair weighs the windows that hold it; of sets of the same weight one with more equal values is taken, then one by the
+    order of the values. Values linked by pairs are decided together, apart from all others.
+    """
+    weight = Counter(p for w in windows for p in set(w))
+    top: dict = {}
+
+    def root(x):
+        while top.setdefault(x, x) != x:
+            x = top[x]
+        return x
+    for i, d in weight:
+        a, b = root((0, i)), root((1, d))
+        top[max(a, b)] = min(a, b)
+    parts: dict = {}
+    for p in sorted(weight):
+        parts.setdefault(root((0, p[0])), []).append(p)
+    out = set()
+    for pairs in parts.values():
+        if len(pairs) == 1:
+            out.add(pairs[0])
+            continue
+        own, other = sorted({i for i, _ in pairs}), sorted({d for _, d in pairs})
+        table = np.zeros((len(own), len(other)), np.int64)
+        for i, d in pairs:
+            table[own.index(i), other.index(d)] = weight[i, d] * (len(pairs) + 1) + (i == d)
+        turn = len(own) > len(other)
+        for a, b in enumerate(assign(table.T if turn else table).tolist()):
+            pair = (own[b], other[a]) if turn else (own[a], other[b])
+            if pair in weight:
+                out.add(pair)
+    return out
+
+
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _covered(alignments: pa.Array) -> pa.Array:
+    """Places of the windows (item_at, i, d) that the largest consistent set covers, alignment after alignment; null for null."""
+    out = []
+    for windows in alignments.to_pylist():
+        if windows is not None:
+            pairs = [list(zip(w["i"], w["d"])) for w in windows]
+            chosen = largest_consistent(pairs)
+            windows = [w["item_at"] for w, p in zip(windows, pairs) if chosen.issuperset(p)]
+        out.append(windows)
+    return pa.array(out, pa.list_(pa.int64()))
+
+
 def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                item_col: str = "item_id", item_text_col: str = "text", width: int = WINDOW,
                share: float = SHARE, enough: int = ENOUGH) -> DataFrame:
@@ -143,7 +227,7 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     ``id_col``, text_hash, ``item_col``, n_windows (distinct windows of the item found), item_windows,
     coverage, verbatim (no slot was filled otherwise). An item of fewer than ``width`` tokens is one window of its own
     length. A window is found by its lower-cased tokens, or by its tokens with slots where at least 4 of them
-    aren't slots; coverage is the share of the item's windows, or of those with 4 such tokens if that is
+    aren't slots, if the largest consistent set of an alignment (see ``largest_consistent``) covers it; coverage is the share of the item's windows, or of those with 4 such tokens if that is
     higher. Null and empty texts hold nothing and are never found. Repeated rows of documents give one
     row. Other columns aren't read.
 
@@ -170,11 +254,14 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     exact = F.col("item_slots") == F.col("slots")
     along = j.groupBy("id", "tie", "item", "item_tie", (F.col("at") - F.col("item_at")).alias("shift")).agg(
         F.collect_set("item_at").alias("places"), F.collect_set(F.when(exact, F.col("item_at"))).alias("sure"),
+        F.collect_set(F.when(F.size("slots") > 0, F.struct("item_at", F.col("item_slots").alias("i"), F.col("slots").alias("d")))).alias("filled"),
         F.array_distinct(F.flatten(F.collect_set(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))))).alias("pairs"))
     values = F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"])))
     others = F.size(F.array_distinct(F.transform("pairs", lambda p: p["d"])))
     one_to_one = (values == F.size("pairs")) & (others == F.size("pairs"))
-    along = along.withColumn("places", F.when(one_to_one, F.col("places")).otherwise(F.col("sure"))).where(F.size("places") > 0)
+    # only alignments whose pairs are at odds are looked at window by window
+    along = along.withColumn("part", _covered(F.when(~one_to_one, F.col("filled")))) \
+        .withColumn("places", F.coalesce(F.array_union("sure", "part"), F.col("places"))).where(F.size("places") > 0)
     same = F.forall("pairs", lambda p: p["i"] == p["d"])
     per = along.select("id", "tie", "item", "item_tie", "places", same.alias("same")) \
         .groupBy("id", "tie", "item", "item_tie").agg(
