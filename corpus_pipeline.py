@@ -38,14 +38,11 @@ def _columns(docs: DataFrame) -> list[Column]:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, gibberish, mixed ones and those in no language of the labels go; ``lang`` is left as it is.
 
-    A null or empty text has no letter. Without labelled rows, or in a language with too few of them to tell, all texts with
-    a letter stay. Rows with the same text and label have the same fate; an empty table stays empty.
+    A null or empty text has no letter. Every labelled row teaches, and sets the limits, with its whole text. Without labelled
+    rows, or in a language with too few of them to tell, all texts with a letter stay. Rows with the same text and
+    label have the same fate; an empty table stays empty.
     """
-    labelled = docs.where(~langid.held_out("doc_id") & F.col("doc_id").isNotNull())
-    aside = langid.aside(F.col("doc_id"))
-    words = labelled.where(~aside).select("doc_id", "lang", langid.letters(F.col("text")).alias("text"))
-    model = langid.learn(words, key=F.col("doc_id"))
-    return langid.clear_texts(docs, model, langid.calibrate(labelled.where(aside), model, key=F.col("doc_id")))
+    return langid.clear_texts(docs, *langid.learn_with_limits(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

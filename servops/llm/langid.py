@@ -11,13 +11,15 @@ length in every language is a sum of table rows.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textarrays import byte_view
+from ..session import cut_lineage
+from .textarrays import byte_view, small_batches
 
 UNDECIDED = "und"
 #: labelled texts a language is learnt from, expected number (chosen by a hash of the key)
@@ -26,13 +28,14 @@ TEXTS_A_LANGUAGE = 600
 SEEN, ORDER = 4, 3
 #: bytes of evidence the score counts at most
 EVIDENCE = 64
-#: one labelled text in so many sets the limits of ``clear_texts`` and doesn't teach; texts a language must have for that
-ASIDE, ENOUGH = 4, 10
+#: parts of the labelled texts, each measured by what the others taught to set the limits of ``clear_texts``; texts a
+#: language must have for that
+PARTS, ENOUGH = 2, 10
 #: bits by which a text must be beyond a limit; part of a text that must speak for one language
 BEYOND, PART = 32, 2 / 3
-#: code points of a text that the limits are set from
-_HEAD = 1 << 16
 _PIECE = 1 << 19
+#: bytes of text measured at once; counts a task sums up before it sends them
+_BATCH, _HELD = 1 << 20, 1 << 20
 
 
 @dataclass
@@ -76,42 +79,80 @@ def _pieces(data: np.ndarray, off: np.ndarray):
         i = j
 
 
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys in order, sum of the counts of each)."""
+    key, count = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key, kind="stable")
+    key, count = key[order], count[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.add.reduceat(count, first) if len(key) else count
+
+
+def _model(languages: list[str], which: np.ndarray, grams: np.ndarray, counts: np.ndarray) -> LanguageModel:
+    order = np.lexsort((grams, which))
+    return LanguageModel(languages, grams[order], which[order], counts[order])
+
+
 def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", key: Column | None = None,
-          texts_a_language: int = TEXTS_A_LANGUAGE) -> LanguageModel:
+          texts_a_language: int | None = TEXTS_A_LANGUAGE) -> LanguageModel:
     """Model from the labelled rows of ``docs`` (null labels are left out, null texts teach nothing).
 
-    Learns from a sample bounded by ``texts_a_language``: rows are chosen by a hash of ``key``
-    (default: the text) with a share per language that gives that many rows. Counts are summed on the
-    executors; what comes to the driver is bounded by the sample.
+    With ``texts_a_language``, learns from a sample bounded by it: rows are chosen by a hash of ``key``
+    (default: the text) with a share per language that gives that many rows. With None, every labelled row teaches.
+    Counts are summed in the tasks and on the executors; what comes to the driver is one row for each (context, byte)
+    that a language has.
     """
     rows = docs.where(F.col(lang_col).isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col).alias("l")).count().collect()}
-    languages = sorted(sizes)
+    if texts_a_language is None:
+        sample, languages = rows, sorted(r[0] for r in rows.select(lang_col).distinct().collect())
+    else:
+        sizes = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col).alias("l")).count().collect()}
+        languages = sorted(sizes)
     if not languages:
         return LanguageModel([], np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    scale = 1 << 20
-    share = F.create_map(*[F.lit(v) for k in languages for v in (k, min(scale, -(-scale * texts_a_language // sizes[k])))])
-    draw = F.pmod(F.xxhash64(key if key is not None else F.col(text_col), F.lit(5)), F.lit(scale))
-    sample = rows.where(draw < share[F.col(lang_col)]).select(F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
+    if texts_a_language is not None:
+        scale = 1 << 20
+        share = F.create_map(*[F.lit(v) for k in languages for v in (k, min(scale, -(-scale * texts_a_language // sizes[k])))])
+        draw = F.pmod(F.xxhash64(key if key is not None else F.col(text_col), F.lit(5)), F.lit(scale))
+        sample = rows.where(draw < share[F.col(lang_col)])
+    place = {k: i for i, k in enumerate(languages)}
 
     def run(batches):
-        for b in batches:
-            label = np.array(b.column(0).to_pylist(), object)
+        def send(held):
+            pairs, count = held
+            return pa.RecordBatch.from_arrays([pa.array((pairs >> np.uint64(32)).astype(np.int32)),
+                                               pa.array((pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(count)],
+                                              names=["l", "gram", "n"])
+        keys, counts, many = [], [], 0
+        for b in small_batches(batches, 1, _BATCH):
+            label = np.array([place[x] for x in b.column(0).to_pylist()], np.uint64) << np.uint64(32)
             data, off = byte_view(b.column(1))
             for texts, grams, starts in _pieces(data, off):
-                owner = np.repeat(texts, np.diff(np.append(starts, len(grams))))
-                names, code = np.unique(label[owner].astype(str), return_inverse=True)
-                pairs, count = np.unique(code.astype(np.uint64) << np.uint64(32) | grams, return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(names[(pairs >> np.uint64(32)).astype(np.int64)], pa.string()),
-                     pa.array((pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(count.astype(np.int64))],
-                    names=["l", "gram", "n"])
-    found = sample.mapInArrow(run, "l string, gram long, n long").groupBy("l", "gram").agg(F.sum("n").alias("n")).toArrow()
+                pairs, count = np.unique(np.repeat(label[texts], np.diff(np.append(starts, len(grams)))) | grams, return_counts=True)
+                keys.append(pairs)
+                counts.append(count.astype(np.int64))
+                many += len(pairs)
+            if many >= _HELD:
+                pairs, count = _summed(keys, counts)
+                keys, counts, many = [pairs], [count], len(pairs)
+                if many >= _HELD // 2:
+                    yield send((pairs, count))
+                    keys, counts, many = [], [], 0
+        if keys:
+            yield send(_summed(keys, counts))
+    found = sample.select(F.col(lang_col).alias("l"), F.col(text_col).alias("t")).mapInArrow(run, "l int, gram long, n long") \
+        .groupBy("l", "gram").agg(F.sum("n").alias("n")).toArrow()
+    return _model(languages, found.column("l").to_numpy().astype(np.int64), found.column("gram").to_numpy().astype(np.uint32),
+                  found.column("n").to_numpy())
+
+
+def merge(models: list[LanguageModel]) -> LanguageModel:
+    """The model of all the rows that the models have learnt from, each row in one of them."""
+    languages = sorted({k for m in models for k in m.languages})
     place = {k: i for i, k in enumerate(languages)}
-    which = np.array([place[x] for x in found.column("l").to_pylist()], np.int64)
-    grams, counts = found.column("gram").to_numpy().astype(np.uint32), found.column("n").to_numpy()
-    order = np.lexsort((grams, which))
-    return LanguageModel(languages, grams[order], which[order], counts[order])
+    keys = [np.array([place[k] for k in m.languages] or [0], np.uint64)[m.which] << np.uint64(32) | m.grams for m in models]
+    pairs, counts = _summed(keys, [m.counts for m in models])
+    return LanguageModel(languages, (pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32), (pairs >> np.uint64(32)).astype(np.int64), counts)
 
 
 class _Level:
@@ -220,9 +261,9 @@ def letters(text: Column) -> Column:
     return F.regexp_replace(plain, " {2,}+", " ")
 
 
-def aside(key: Column) -> Column:
-    """Rows set aside from teaching, to set the limits of ``clear_texts``."""
-    return F.pmod(F.xxhash64(key, F.lit(9)), F.lit(ASIDE)) == 0
+def part_of(text: Column) -> Column:
+    """Which of the ``PARTS`` a labelled text belongs to; the same for equal texts."""
+    return F.pmod(F.xxhash64(text, F.lit(9)), F.lit(PARTS))
 
 
 def _best(bits: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -232,32 +273,21 @@ def _best(bits: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return bits.argmin(1), order[:, 0] / size, (second - order[:, 0]) / size
 
 
-def calibrate(docs: DataFrame, model: LanguageModel, lang_col: str = "lang", text_col: str = "text", key: Column | None = None,
-              texts_a_language: int = TEXTS_A_LANGUAGE) -> dict[str, tuple[float, float, float]]:
-    """Language -> (bits a byte of its texts, of the same letters in random order, lead before the second language).
+def measure(docs: DataFrame, model: LanguageModel, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """(l, rate, noise, lead) of every labelled row whose ``letters`` have at least ``EVIDENCE`` bytes.
 
-    ``model`` has learnt from ``letters``. Medians over a sample of labelled rows that should not have taught
-    (so a few wrong labels move nothing), of at least ``EVIDENCE`` bytes; languages with fewer than ``ENOUGH`` of them have no entry.
+    Bits a byte of the whole text in its own language, of the same letters in random order in their best one, and the text's lead
+    before the second language. ``model`` has learnt from ``letters``, and should not from these rows; ``text_col`` holds letters.
     """
-    if not model.languages:
-        return {}
-    rows = docs.where(F.col(lang_col).isin(model.languages)).select(
-        F.col(lang_col).alias("l"), F.col(text_col).alias("t"), F.xxhash64(key if key is not None else F.col(text_col), F.lit(6)).alias("k"))
-    sizes = {r[0]: r[1] for r in rows.groupBy("l").count().collect()}
-    if not sizes:
-        return {}
-    scale = 1 << 20
-    share = F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, min(scale, -(-scale * texts_a_language // n)))])
-    sample = rows.where(F.pmod("k", F.lit(scale)) < share[F.col("l")]).select("l", letters(F.substring("t", 1, _HEAD)).alias("t"))
-    sample = sample.where(F.octet_length("t") >= EVIDENCE)
+    rows = docs.where(F.col(lang_col).isin(model.languages) & (F.octet_length(text_col) >= EVIDENCE)) \
+        .select(F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
     shared = _share(docs.sparkSession, model)
 
     def run(batches):
         place = {k: i for i, k in enumerate(shared.value["languages"])}
-        for b in batches:
-            texts = b.column(1).to_pylist()
+        for b in small_batches(batches, 1, _BATCH):
             mixed = []
-            for t in texts:
+            for t in b.column(1).to_pylist():
                 points = np.frombuffer(t.encode("utf-32-le"), np.uint32)
                 mixed.append(np.random.default_rng(len(points)).permutation(points).tobytes().decode("utf-32-le"))
             own = np.array([place[x] for x in b.column(0).to_pylist()], np.int64)
@@ -268,11 +298,43 @@ def calibrate(docs: DataFrame, model: LanguageModel, lang_col: str = "lang", tex
             noise = _best(_lengths(shared.value).of(*byte_view(pa.array(mixed, pa.string()))), size)[1]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rate), pa.array(noise), pa.array(_best(bits, size)[2])],
                                              names=["l", "rate", "noise", "lead"])
-    found = sample.mapInArrow(run, "l string, rate double, noise double, lead double").groupBy("l").agg(
-        F.count(F.lit(1)).alias("n"), *[F.percentile(c, F.lit(0.5)).alias(c) for c in ("rate", "noise", "lead")])
+    return rows.mapInArrow(run, "l string, rate double, noise double, lead double")
+
+
+def limits(measured: DataFrame) -> dict[str, tuple[float, float, float]]:
+    """Language -> medians of (rate, noise, lead) over all its rows in ``measured``, so a few wrong labels move nothing.
+
+    Values count in steps of a thousandth of a bit, so a median is found from counts of at most some thousand
+    values, however many rows there are. Languages with fewer than ``ENOUGH`` rows have no entry.
+    """
+    found = measured.groupBy("l").agg(
+        F.count(F.lit(1)).alias("n"), *[F.percentile(F.round(c, 3), F.lit(0.5)).alias(c) for c in ("rate", "noise", "lead")])
     return {r["l"]: (r["rate"], r["noise"], r["lead"]) for r in found.collect() if r["n"] >= ENOUGH}
 
 
+def calibrate(docs: DataFrame, model: LanguageModel, lang_col: str = "lang", text_col: str = "text") -> dict[str, tuple[float, float, float]]:
+    """The ``limits`` of all labelled rows, which ``model`` should not have learnt from."""
+    if not model.languages:
+        return {}
+    return limits(measure(docs.select(lang_col, letters(F.col(text_col)).alias(text_col)), model, lang_col, text_col))
+
+
+def learn_with_limits(docs: DataFrame, lang_col: str = "lang",
+                      text_col: str = "text") -> tuple[LanguageModel, dict[str, tuple[float, float, float]]]:
+    """(model of the ``letters`` of every labelled row, limits from every labelled row).
+
+    The rows are dealt into ``PARTS`` by their text. A part is measured by what the other parts taught, so no text sets limits
+    by itself; the model has learnt from all parts.
+    """
+    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = cut_lineage(rows.select(F.col(lang_col).alias("lang"), part_of(F.col(text_col)).alias("part"), letters(F.col(text_col)).alias("text")))
+    parts = [rows.where(F.col("part") == i) for i in range(PARTS)]
+    models = [learn(p, texts_a_language=None) for p in parts]
+    others = [merge(models[:i] + models[i + 1:]) for i in range(PARTS)]
+    measured = [measure(p, m) for p, m in zip(parts, others) if m.languages]
+    return merge(models), limits(reduce(DataFrame.unionByName, measured)) if measured else {}
+
+
 def clear_texts(docs: DataFrame, model: LanguageModel, limits: dict[str, tuple[float, float, float]], lang_col: str = "lang",
                 text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` whose text has a letter and isn't gibberish, foreign to all languages of the model or mixed.

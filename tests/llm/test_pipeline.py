@@ -76,6 +76,41 @@ def test_language_stage_rejects_on_the_models_evidence(spark):
     assert len(left & {r["doc_id"] for r in rows}) >= len(rows) - 2
 
 
+def test_language_stage_learns_from_every_labelled_row(spark, monkeypatch):
+    """More rows than any sample takes, ids of every kind, a text with its own words far from its begin."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from servops.llm import langid
+    from servops.llm.textarrays import byte_view
+    random.seed(6)
+    words = {"en": "the cat and dog saw a bird on that old green house".split(), "de": "der hund und die katze sind nicht im haus aber garten".split()}
+    rows = [(None if i % 50 == 7 else i, " ".join(random.choices(words[k], k=20)) + f" x{i}!", k, "s", i) for i in range(2600) for k in words]
+    rows += [(9000, "the cat and dog " * 8000 + "zyxw vuts", "en", "s", 1), (9001, None, "en", "s", 1), (9002, "12 3", "fr", "s", 1),
+             (9003, "unlabelled words", None, "s", 1)]
+    docs, seen = common.docs(spark, rows, clash=False), []
+    monkeypatch.setattr(langid, "clear_texts", lambda df, model, limits, *a: seen.append((model, limits)) or df)
+    assert corpus_pipeline.language_id(spark, docs, SF).count() == len(rows)
+    model, limits = seen[0]
+    plain = docs.where("lang is not null and text is not null").select(
+        "lang", langid.letters(F.col("text")).alias("t"), langid.part_of(F.col("text")).alias("part")).collect()
+    for k in ("en", "de"):
+        of = model.which == model.languages.index(k)
+        assert model.counts[of].sum() == sum(len(r["t"].encode()) for r in plain if r["lang"] == k)
+    assert {int.from_bytes(b"vuts", "big"), int.from_bytes(b"zyxw", "big")} <= set(model.grams.tolist())
+    rates = {"en": [], "de": []}
+    for part in range(langid.PARTS):
+        own, other = ([r for r in plain if (r["part"] == part) == x] for x in (True, False))
+        taught = langid.learn(common.docs(spark, [(1, r["t"], r["lang"], None, None) for r in other], clash=False), texts_a_language=None)
+        own = [r for r in own if r["lang"] in rates and len(r["t"].encode()) >= langid.EVIDENCE]
+        bits = langid.CodeLengths(taught).of(*byte_view(pa.array([r["t"] for r in own])))
+        for r, b in zip(own, bits):
+            rates[r["lang"]].append(b[taught.languages.index(r["lang"])] / len(r["t"].encode()))
+    assert set(limits) == set(rates) and all(abs(limits[k][0] - np.median(v)) < 2e-3 for k, v in rates.items())
+
+
 def test_language_stage_keeps_what_it_cannot_judge(spark):
     rows = [(i, f"words without any label {i}", None, None, None) for i in range(5)]
     assert corpus_pipeline.language_id(spark, common.docs(spark, rows), SF).count() == 5
