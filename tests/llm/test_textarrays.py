@@ -3,7 +3,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from servops.llm import decontam, near_dedup
+from servops.llm import decontam, line_dedup, near_dedup
 
 
 def peak(run):
@@ -29,3 +29,20 @@ def test_scratch_stays_small_whatever_the_batch():
         for b in near_dedup.small_batches([batch], 2):
             near_dedup.circulant_signatures(near_dedup.text_sets(b.column(2), 5), 180)
     assert peak(sets) < 30
+
+
+def test_scratch_of_lines_stays_small_whatever_the_batch():
+    rng = np.random.default_rng(3)
+    words = np.array([f"word{i} and" for i in range(5000)])
+    texts = ["\n".join(" ".join(words[rng.integers(0, 5000, n)]) for n in (3, 9, 40, 150, 200)) for _ in range(2000)]
+    batch, rule = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"]), line_dedup.Rule(grow=4, short=20)
+
+    def keys():
+        for b in line_dedup.small_batches([batch], 0, line_dedup._BATCH):
+            lines = line_dedup.Lines(b.column(0).to_pylist())
+            rows = np.flatnonzero(lines.full)
+            for found in (line_dedup.own_keys, line_dedup.other_keys):
+                for _ in found(lines, rows, rule):
+                    pass
+    line_dedup._power.clear()
+    assert peak(keys) < 60
